@@ -138,3 +138,14 @@ def op5_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .htmltext import extract
 
     return extract(table(spark, sf_dir, "pages")).select("page_id", "url", "text", F.char_length("text").cast("long").alias("n_chars"))
+
+
+@query
+def op6_pii_surrogates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document with its personal data exchanged for surrogates."""
+    from .pii import surrogates
+
+    done = surrogates(table(spark, sf_dir, "documents"), key="registered-query")
+    count = lambda kind: F.size(F.filter("entities", lambda e: e["kind"] == kind)).cast("long")
+    kinds = ("email", "phone", "card", "ip", "secret", "person")
+    return done.select("doc_id", "text", "n_entities", *[count(k).alias(f"n_{k}") for k in kinds])
