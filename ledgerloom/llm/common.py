@@ -30,7 +30,7 @@ def words(text: str | None) -> list[bytes]:
 
 def spaced_words(text: str | None) -> list[bytes]:
     """Lower-cased (A-Z) words between ASCII white space, as UTF-8 bytes."""
-    return [] if text is None else text.encode("utf-8", "surrogatepass").translate(SPACED_BYTES).split(b" ")
+    return [] if text is None else text.encode("utf-8", "surrogatepass").translate(SPACED_BYTES).split()
 
 
 def mix(x: np.ndarray) -> np.ndarray:
