@@ -183,3 +183,12 @@ def op1_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     done = suffix_dedup(table(spark, sf_dir, "documents"), 100)
     return done.select("doc_id", "n_bytes", "n_removed", F.size("spans").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"))
+
+
+@query
+def op3_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Lines of every document, how many of them stay when one line of each component of similar lines does, and what remains."""
+    from .linededup import fuzzy_line_dedup
+
+    done = fuzzy_line_dedup(table(spark, sf_dir, "documents"))
+    return done.select("doc_id", "n_lines", "n_blank", "n_kept", F.sha2(F.coalesce("text", F.lit("")).cast("binary"), 256).alias("kept_sha256"))
