@@ -179,3 +179,27 @@ def ngram_components(docs: DataFrame, shingle: int = SHINGLE, percent: int = PER
     least = stored(rooted.where("root is not null").groupBy("root").agg(F.min("id").alias("component_id")), "component_ids").withColumnRenamed("root", "_root")
     out = rooted.join(least, rooted["root"] == least["_root"], "left")
     return out.select(F.col("id").alias(id_col), "n_shingles", F.when(F.col("root").isNull(), F.col("id")).otherwise(F.col("component_id")).alias("component_id"))
+
+
+def drop_linked(docs: DataFrame, keep: list[str], shingle: int = SHINGLE, percent: int = PERCENT, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The columns in keep (id and text among them) of one row of each component, the one with the smallest id; equal rows of one id
+    count as one. Only rows of ids that lose something meet the decisions; all others stay where they are."""
+    decided = ngram_components(docs, shingle, percent, id_col, text_col).where(F.col(id_col).isNotNull())
+    least = F.min((F.col("component_id") == F.col(id_col)).cast("int"))
+    asked = stored(decided.groupBy(F.col(id_col).alias("_id")).agg(least.alias("stays"), F.count(F.lit(1)).alias("rows")).where("stays = 0 or rows > 1"), "decided")
+    bits = docs.sparkSession.sparkContext.broadcast(key_filter(asked, "_id"))
+    chosen = columns(docs, **{c: c for c in keep})
+
+    def split(wanted: bool):
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for b in batches:
+                ids = b.column(id_col)
+                met = in_filter(bits.value, np.asarray(ids.fill_null(0), np.int64)) & np.asarray(ids.is_valid())
+                yield b.filter(pa.array(met == wanted))
+
+        return chosen.mapInArrow(run, chosen.schema)
+
+    met = split(True).join(asked, F.col(id_col) == F.col("_id"), "left").where("stays is null or stays = 1")
+    once = met.where("rows is null or rows = 1").select(*keep)
+    several = met.where("rows > 1").select(*keep).dropDuplicates([id_col, text_col])
+    return split(False).unionByName(once).unionByName(several)
