@@ -1,3 +1,3 @@
 """Modules that register queries."""
 
-from .plans import named  # noqa: F401
+from .plans import concentration, named  # noqa: F401
