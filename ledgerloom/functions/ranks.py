@@ -21,9 +21,11 @@ def bucket(value: Column) -> Column:
     return F.floor(F.signum(value) * F.log1p(F.abs(value)) * FINENESS).cast("long")
 
 
-def value_ranks(df: DataFrame, value: str, by: tuple[str, ...] = ()) -> DataFrame:
-    """by..., value, copies, below (rows with a smaller value), n (rows) for each distinct value that isn't null."""
-    counted = df.where(F.col(value).isNotNull()).groupBy(*by, value).agg(F.count(F.lit(1)).alias("copies")).withColumn("_bucket", bucket(F.col(value)))
+def value_ranks(df: DataFrame, value: str, by: tuple[str, ...] = (), weight: str | None = None) -> DataFrame:
+    """by..., value, copies, below (rows with a smaller value), n (rows) for each distinct value that isn't null. weight: a column of
+    whole numbers, as which many rows each counts."""
+    copies = F.count(F.lit(1)) if weight is None else F.sum(weight)
+    counted = df.where(F.col(value).isNotNull()).groupBy(*by, value).agg(copies.alias("copies")).withColumn("_bucket", bucket(F.col(value)))
     order = Window.partitionBy(*by).orderBy("_bucket")
     sizes = (
         counted.groupBy(*by, "_bucket")

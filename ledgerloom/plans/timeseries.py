@@ -12,10 +12,14 @@ from pyspark.sql import functions as F
 from ..registry import register
 from ..sources.tables import SQL_RELATIONS, relation
 
-ALONG = Window.orderBy("date")
 EVENTS = ("1997-06-15", "1998-03-13", "1999-09-01")
 
 
+def along():
+    """In the order of days."""
+    return Window.orderBy("date")
+
+
 def daily(spark: SparkSession, sf_dir: str) -> DataFrame:
     """date, volume (0 on days without), legs of every day from the first to the last, with t, the day's number from 0."""
     legs = relation(spark, sf_dir, "attackers", ["block_time", "amount_usd"])
@@ -54,7 +58,7 @@ def w20_calendar_features(spark: SparkSession, sf_dir: str) -> DataFrame:
 )
 def w06_changes(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Difference, percentage and logarithmic change from day to day; undefined ones are NULL."""
-    p, v = F.lag("volume").over(ALONG), F.col("volume")
+    p, v = F.lag("volume").over(along()), F.col("volume")
     rows = daily(spark, sf_dir).select("date", "volume", p.alias("p"))
     p = F.col("p")
     return rows.select(
@@ -82,7 +86,7 @@ BACK30 = "ROWS BETWEEN 29 PRECEDING AND CURRENT ROW"
 )
 def w07_w08_rolling(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Means of the last 7, 30 and 90 days (NULL until complete), and deviation and variation of the last 30."""
-    over = lambda k: ALONG.rowsBetween(1 - k, 0)
+    over = lambda k: along().rowsBetween(1 - k, 0)
     means = [full(F.round(F.avg("volume").over(over(k)), 4), k, F.count(F.lit(1)).over(over(k))).alias(f"mean_{k}") for k in (7, 30, 90)]
     sd, mean = F.stddev_samp("volume").over(over(30)), F.avg("volume").over(over(30))
     return daily(spark, sf_dir).select("date", *means, F.round(sd, 4).alias("sd_30"), F.round(F.try_divide(sd, mean), 6).alias("cv_30"))
@@ -97,7 +101,7 @@ AROUND = "ROWS BETWEEN 3 PRECEDING AND 3 FOLLOWING"
 )
 def w09_w10_x101_centred(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Centred seven-day mean and deviation, with partial and with complete windows, and the band around them cut at 0."""
-    over = ALONG.rowsBetween(-3, 3)
+    over = along().rowsBetween(-3, 3)
     m, s = F.avg("volume").over(over), F.stddev_samp("volume").over(over)
     rows = daily(spark, sf_dir).select("date", m.alias("m"), s.alias("s"), F.count(F.lit(1)).over(over).alias("n"))
     m, s = F.col("m"), F.col("s")
@@ -115,7 +119,7 @@ def x30_autocorrelation(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Sample autocorrelation at lags 1 and 7, with the mean and variance of the whole series."""
     x = F.col("volume") - F.avg("volume").over(Window.partitionBy())
     rows = daily(spark, sf_dir).select("date", x.alias("x"))
-    lagged = rows.select("x", F.lag("x", 1).over(ALONG).alias("x1"), F.lag("x", 7).over(ALONG).alias("x7"))
+    lagged = rows.select("x", F.lag("x", 1).over(along()).alias("x1"), F.lag("x", 7).over(along()).alias("x7"))
     return lagged.agg(*[F.round(F.sum(F.col("x") * F.col(f"x{k}")) / F.sum(F.col("x") * F.col("x")), 6).alias(f"lag_{k}") for k in (1, 7)])
 
 
@@ -172,7 +176,7 @@ count(*) OVER (ORDER BY date ROWS BETWEEN 60 PRECEDING AND 59 FOLLOWING) AS n FR
 
 def pre_post(spark: SparkSession, sf_dir: str) -> DataFrame:
     """pre and post: mean volume of the 60 days before each date and of the 60 from it on, and their ratio; dates with both in full."""
-    pre, post, n = (F.avg("volume").over(ALONG.rowsBetween(-60, -1)), F.avg("volume").over(ALONG.rowsBetween(0, 59)), F.count(F.lit(1)).over(ALONG.rowsBetween(-60, 59)))
+    pre, post, n = (F.avg("volume").over(along().rowsBetween(-60, -1)), F.avg("volume").over(along().rowsBetween(0, 59)), F.count(F.lit(1)).over(along().rowsBetween(-60, 59)))
     return daily(spark, sf_dir).select("date", pre.alias("pre"), post.alias("post"), n.alias("n")).where("n = 120").select("date", "pre", "post", F.try_divide("post", "pre").alias("ratio"))
 
 
@@ -208,7 +212,7 @@ def x39_event_placebos(spark: SparkSession, sf_dir: str) -> DataFrame:
 def w18_x41_regimes(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Regimes between change dates (a change date begins the next regime) and their summary."""
     starts = F.col("date").isin(*[F.lit(e).cast("date") for e in EVENTS])
-    rows = daily(spark, sf_dir).withColumn("regime", (F.sum(starts.cast("long")).over(ALONG) + 1).cast("long"))
+    rows = daily(spark, sf_dir).withColumn("regime", (F.sum(starts.cast("long")).over(along()) + 1).cast("long"))
     v = F.col("volume")
     summary = rows.groupBy("regime").agg(
         F.min("date").alias("first_day"), F.max("date").alias("last_day"), F.count(F.lit(1)).alias("days"), F.sum(v).alias("whole"), F.round(F.avg(v), 4).alias("mean_volume"),
@@ -262,7 +266,7 @@ def x95_period_statistics(spark: SparkSession, sf_dir: str) -> DataFrame:
 )
 def x96_volatility(spark: SparkSession, sf_dir: str) -> DataFrame:
     """How volume changes from day to day."""
-    before = F.lag("volume").over(ALONG)
+    before = F.lag("volume").over(along())
     rows = daily(spark, sf_dir).select((F.col("volume") - before).alias("c"), (F.try_divide(F.col("volume"), before) - 1).alias("p"))
     c, p = F.col("c"), F.col("p")
     return rows.agg(
@@ -306,6 +310,6 @@ def w19_x98_trend(spark: SparkSession, sf_dir: str) -> DataFrame:
 )
 def t03_leading_days(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The ten days with the largest volume and the ten with the largest change."""
-    rows = daily(spark, sf_dir).select("date", "volume", F.abs(F.col("volume") - F.lag("volume").over(ALONG)).alias("change"))
+    rows = daily(spark, sf_dir).select("date", "volume", F.abs(F.col("volume") - F.lag("volume").over(along())).alias("change"))
     top = lambda c, basis: rows.orderBy(F.desc_nulls_last(c), "date").limit(10).select(F.lit(basis).alias("basis"), F.row_number().over(Window.orderBy(F.desc_nulls_last(c), "date")).cast("long").alias("rank"), "date", "volume")
     return top("volume", "value").unionAll(top("change", "change"))
