@@ -1,3 +1,3 @@
 """Modules that register queries."""
 
-from .plans import concentration, incidence, models, named, timeseries  # noqa: F401
+from .plans import concentration, incidence, models, named, relational, timeseries  # noqa: F401
