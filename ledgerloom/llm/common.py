@@ -17,9 +17,14 @@ WORD_BYTES = bytes(
 SPACED_BYTES = bytes(b + 32 if 65 <= b <= 90 else 32 if b in b" \t\n\x0b\x0c\r" else b for b in range(256))
 
 
+#: Rows of an Arrow batch: they hold whole texts, some of them very long.
+BATCH_ROWS = "spark.sql.execution.arrow.maxRecordsPerBatch"
+
+
 def columns(df: DataFrame, **kept: str) -> DataFrame:
-    """Only the named columns, under the given names; ids become long and texts string. Anything else in the
-    input, whatever its name, is left behind."""
+    """Only the named columns, under the given names. Anything else in the input, whatever its name, is left behind."""
+    if df.sparkSession.conf.get(BATCH_ROWS) == "10000":  # as Spark has it; a setting of the user's own stays
+        df.sparkSession.conf.set(BATCH_ROWS, "1000")
     return df.select(*[F.col(f"`{source}`").alias(name) for name, source in kept.items()])
 
 

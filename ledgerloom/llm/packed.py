@@ -12,24 +12,24 @@ from pyspark.sql import functions as F
 from .common import partitions
 
 PACKED = "part int, n int, data binary"
-#: Records that a task gathers before it packs them.
-FLUSH = 2_000_000
+#: Records that a task gathers before it packs them: some ten megabytes, several times over while they are packed.
+FLUSH = 200_000
 
 Columns = list[np.ndarray]
 
 
-def pack(columns: Columns, parts: int) -> pa.RecordBatch:
-    """Records dealt by their first column (a spread 64-bit hash), one row for each part."""
+def pack(columns: Columns, parts: int, key: bool = True) -> pa.RecordBatch:
+    """Records dealt by their first column (a spread 64-bit hash), one row for each part; the column itself travels only if key is set."""
     part = ((columns[0] >> np.uint64(32)) * np.uint64(parts) >> np.uint64(32)).astype(np.uint16 if parts <= 1 << 16 else np.int32)
     order = np.argsort(part, kind="stable")
     bounds = np.searchsorted(part[order], np.arange(parts + 1))
-    columns = [c[order] for c in columns]
+    columns = [c[order] for c in columns[not key :]]
     held = np.flatnonzero(np.diff(bounds))
     data = [b"".join(c[bounds[p] : bounds[p + 1]].tobytes() for c in columns) for p in held]
     return pa.RecordBatch.from_arrays([pa.array(held, pa.int32()), pa.array(np.diff(bounds)[held], pa.int32()), pa.array(data, pa.binary())], ["part", "n", "data"])
 
 
-def gathered(made: Iterable[Columns], parts: int) -> Iterator[pa.RecordBatch]:
+def gathered(made: Iterable[Columns], parts: int, key: bool = True) -> Iterator[pa.RecordBatch]:
     """Packs what comes as lists of columns, some millions of records at a time."""
     held: list[Columns] = []
     size = 0
@@ -38,10 +38,10 @@ def gathered(made: Iterable[Columns], parts: int) -> Iterator[pa.RecordBatch]:
             held.append(columns)
             size += len(columns[0])
         if size >= FLUSH:
-            yield pack([np.concatenate(c) for c in zip(*held)], parts)
+            yield pack([np.concatenate(c) for c in zip(*held)], parts, key)
             held, size = [], 0
     if held:
-        yield pack([np.concatenate(c) for c in zip(*held)], parts)
+        yield pack([np.concatenate(c) for c in zip(*held)], parts, key)
 
 
 def unpack(batches: Iterable[pa.RecordBatch], kinds: list[str]) -> Columns:
@@ -56,10 +56,10 @@ def unpack(batches: Iterable[pa.RecordBatch], kinds: list[str]) -> Columns:
     return [np.concatenate(c) if c else np.zeros(0, k) for c, k in zip(out, kinds)]
 
 
-def dealt(df: DataFrame, emit: Callable[[Iterator[pa.RecordBatch]], Iterable[Columns]]) -> DataFrame:
+def dealt(df: DataFrame, emit: Callable[[Iterator[pa.RecordBatch]], Iterable[Columns]], key: bool = True) -> DataFrame:
     """Runs emit over every partition and deals its records out, each part to a task of its own."""
     parts = partitions(df.sparkSession)
-    return df.mapInArrow(lambda batches: gathered(emit(batches), parts), PACKED).repartitionById(parts, F.col("part"))
+    return df.mapInArrow(lambda batches: gathered(emit(batches), parts, key), PACKED).repartitionById(parts, F.col("part"))
 
 
 # A filter of fixed size over 64-bit keys: rows that can't be wanted stay where they are. It never misses a wanted key.
@@ -71,12 +71,14 @@ def _places(keys: np.ndarray) -> np.ndarray:
 
 
 def key_filter(keys: DataFrame, column: str) -> np.ndarray:
-    """Bits of all keys (long): of fixed size (8 MB), put together in pieces, whatever the number of keys."""
+    """Bits of all keys (long, or binary with many of them): of fixed size (8 MB), put together in pieces, whatever the number of keys."""
     width = FILTER_BITS // FILTER_PIECES
+    many = keys.schema[column].dataType.simpleString() == "binary"
 
     def places(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            at = np.unique(_places(np.asarray(b.column("key"), np.int64))).astype(np.int64)
+            own = np.concatenate([np.zeros(0, np.int64), *(np.frombuffer(x.as_buffer(), np.int64) for x in b.column("key"))]) if many else np.asarray(b.column("key"), np.int64)
+            at = np.unique(_places(own)).astype(np.int64)
             yield pa.RecordBatch.from_arrays([pa.array(at // width, pa.int32()), pa.array(at % width, pa.int32())], ["piece", "bit"])
 
     def bits(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -89,7 +91,7 @@ def key_filter(keys: DataFrame, column: str) -> np.ndarray:
             yield pa.RecordBatch.from_arrays([pa.array(list(pieces), pa.int32()), pa.array([np.packbits(x).tobytes() for x in pieces.values()])], ["piece", "bits"])
 
     found = (
-        keys.select(F.col(column).cast("long").alias("key")).where("key is not null").mapInArrow(places, "piece int, bit int").distinct()
+        keys.select((F.col(column) if many else F.col(column).cast("long")).alias("key")).where("key is not null").mapInArrow(places, "piece int, bit int").distinct()
         .repartition(min(FILTER_PIECES, partitions(keys.sparkSession)), "piece").mapInArrow(bits, "piece int, bits binary").collect()
     )
     out = np.zeros((FILTER_PIECES, width // 8), np.uint8)

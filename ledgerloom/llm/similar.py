@@ -8,7 +8,7 @@ the pairs.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 from .common import partitions, stored
 from .components import forest
 
-BLOCK, SLICE = 64, 1 << 16
+BLOCK, SLICE = 128, 1 << 16
 
 
 def intersections(sets: list[np.ndarray], others: list[np.ndarray]) -> np.ndarray:
@@ -46,21 +46,32 @@ def links(nodes: np.ndarray, sets: list[np.ndarray], side: np.ndarray, percent:
     a = np.flatnonzero(side == side.min())
     b = np.flatnonzero(side == side.max())
     n = np.array([len(s) for s in sets], np.int64)
+    if len(nodes) == 2:
+        common = len(np.intersect1d(sets[0], sets[1], assume_unique=True))
+        linked = common > 0 and 100 * common >= percent * (n.sum() - common)
+        return forest(nodes[:1], nodes[1:]) if linked else (nodes[:0], nodes[:0])
     common = intersections([sets[i] for i in a], [sets[i] for i in b])
     linked = 100 * common >= percent * (n[a][:, None] + n[b][None, :] - common)
     x, y = np.nonzero(linked & (common > 0))
     return forest(nodes[a[x]], nodes[b[y]])
 
 
-def verified_links(members: DataFrame, percent: int, block: int = BLOCK) -> DataFrame:
-    """a, b (nodes) for members (family, node, data: sorted unsigned 64-bit hashes): edges that connect exactly what is
-    linked, directly or over others, by 100 * intersection >= percent * union."""
+def hashes_of(data: list[bytes]) -> list[np.ndarray]:
+    """Sets that travel as sorted unsigned 64-bit hashes."""
+    return [np.frombuffer(d, np.uint64) for d in data]
+
+
+def verified_links(members: DataFrame, percent: int, block: int = BLOCK, sets_of: Callable[[list[bytes]], list[np.ndarray]] = hashes_of) -> DataFrame:
+    """a, b (nodes) for members (family, node, data): edges that connect exactly what is linked, directly or over others, by
+    100 * intersection >= percent * union of the sets that sets_of makes of data."""
     members = stored(members.select("family", "node", "data"), "members")
     sizes = stored(members.groupBy("family").agg(F.count(F.lit(1)).alias("size")), "family_sizes")
     blocks = F.ceil(F.col("size") / F.greatest(F.lit(block), F.ceil(F.sqrt("size")))).cast("int")
     slot = F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int")
+    # Dealt out by node first, so that the members of a large family are copied to their blocks by all tasks alike.
     spread = (
         members.join(sizes, "family")
+        .repartition(partitions(members.sparkSession), "node")
         .withColumn("blocks", blocks)
         .withColumn("slot", slot)
         .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
@@ -74,7 +85,7 @@ def verified_links(members: DataFrame, percent: int, block: int = BLOCK) -> Data
 
         def done() -> None:
             if len(nodes) > 1 and (held_key[1] == held_key[2] or len(set(side)) == 2):
-                out.append(links(np.array(nodes, np.int64), sets, np.array(side), percent))
+                out.append(links(np.array(nodes, np.int64), sets_of(sets), np.array(side), percent))
 
         for batch in batches:
             for family, i, j, slot, node, data in zip(*(batch.column(c).to_pylist() for c in (*keys, "slot", "node", "data"))):
@@ -82,7 +93,7 @@ def verified_links(members: DataFrame, percent: int, block: int = BLOCK) -> Data
                     done()
                     held_key, nodes, sets, side = (family, i, j), [], [], []
                 nodes.append(node)
-                sets.append(np.frombuffer(data, np.uint64))
+                sets.append(data)
                 side.append(slot)
         done()
         a, b = forest(*(np.concatenate([x[k] for x in out]) if out else np.zeros(0, np.int64) for k in (0, 1)))

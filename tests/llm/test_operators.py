@@ -116,11 +116,11 @@ def brute_lines(rows, percent=80):
 
     first = {}
     for d, t in sorted({(-(10**18) if d is None else d, t or "") for d, t in rows}):
-        for i, line in enumerate(normal_lines(t)):
+        for i, line in enumerate(normal_lines(t.encode())):
             if line:
                 first.setdefault(line, (d, t, i))
     lines = list(first)
-    sets = [{x[i : i + 5] for i in range(max(1, len(x) - 4))} for x in (y.ljust(5, "\0") for y in lines)]
+    sets = [{x[i : i + 5] for i in range(max(1, len(x) - 4))} for x in (y.decode().ljust(5, "\0") for y in lines)]
     root = list(range(len(lines)))
 
     def find(x):
@@ -151,7 +151,7 @@ def test_line_dedup(spark, sf_dir):
         for d, t in rows:
             own = [] if t is None else t.split("\n")
             key = (-(10**18) if d is None else d, t or "")
-            kept = [x for i, (x, n) in enumerate(zip(own, normal_lines(t))) if not n or (*key, i) in stays]
+            kept = [x for i, (x, n) in enumerate(zip(own, normal_lines(None if t is None else t.encode()))) if not n or (*key, i) in stays]
             expected[d, None if t is None else "\n".join(kept), len(own), len(kept)] += 1
         assert Counter((r.doc_id, r.text, r.n_lines, r.n_kept) for r in fuzzy_line_dedup(docs).collect()) == expected
 
@@ -161,7 +161,7 @@ def test_signatures_do_not_depend_on_the_batch():
 
     from ledgerloom.llm.linededup import shingle_hashes, signatures
 
-    lines = [f"line number {i} of several that are not quite alike" for i in range(40)]
+    lines = [f"line number {i} of several that are not quite alike".encode() for i in range(40)]
     whole = signatures(*shingle_hashes(lines), 16, 7)
     alone = np.concatenate([signatures(*shingle_hashes([x]), 16, 7) for x in lines])
     assert (whole == alone).all()
