@@ -36,7 +36,7 @@ from .packed import PACKED, Columns, dealt, gathered, in_filter, key_filter, unp
 
 LENGTH, PIECE, STRETCHES, SHALLOW = 100, 32, 4, 64
 #: Bytes that are hashed at a time; positions in a batch fit in PLACE bits.
-BATCH_BYTES, PLACE = 2_000_000, 22
+BATCH_BYTES, PLACE = 250_000, 22
 NO_ID = -(1 << 63)
 
 _turn = np.random.default_rng(20240229)
@@ -173,12 +173,14 @@ def batches_of(batch: pa.RecordBatch) -> Iterator[tuple[list[bytes], np.ndarray,
     """Texts of some million bytes in all, with id and checksum."""
     held: list[bytes] = []
     ids: list[int] = []
-    for doc, text in zip(batch.column("id").to_pylist(), texts(batch)):
-        raw = (text or "").encode("utf-8", "surrogatepass")
-        if held and sum(map(len, held)) + len(raw) > BATCH_BYTES:
+    size = 0
+    for doc, text in zip(batch.column("id").to_pylist(), batch.column("text")):
+        raw = text.as_buffer().to_pybytes() if text.is_valid else b""
+        if held and size + len(raw) > BATCH_BYTES:
             yield held, np.array(ids, np.int64), np.array([zlib.crc32(x) for x in held], np.uint32)
-            held, ids = [], []
+            held, ids, size = [], [], 0
         held.append(raw)
+        size += len(raw)
         ids.append(NO_ID if doc is None else doc)
     if held:
         yield held, np.array(ids, np.int64), np.array([zlib.crc32(x) for x in held], np.uint32)
@@ -258,7 +260,7 @@ def segment_records(docs: DataFrame, length: int) -> DataFrame:
                 whole = hasher.of(first, first + count + length - 1)
                 held.append([anchor, mix(anchor + mix(whole)), ids[doc], tags[doc], (first - (ends[doc] - np.diff(np.append(0, ends))[doc])).astype(np.uint32), count.astype(np.uint32)])
                 size += len(first)
-                if size > 1_500_000:
+                if size > 200_000:
                     yield from reduced()
                     held, size = [], 0
         if held:
@@ -297,15 +299,6 @@ def repeats(records: DataFrame) -> DataFrame:
     return records.mapInArrow(run, PACKED)
 
 
-def asked_places(found: DataFrame) -> DataFrame:
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            for data in b.column("data"):
-                yield pa.RecordBatch.from_arrays([pa.array(np.frombuffer(data.as_buffer(), np.int64))], ["place"])
-
-    return found.where("part = -1").select("data").mapInArrow(run, "place long")
-
-
 def stretch_kinds(length: int) -> list[str]:
     width = -(-(length - PIECE + 1) // STRETCHES)
     return ["<u8", "<i8", "<u4", "<u4", "<u4", f"V{length + width - 1}"]
@@ -399,7 +392,7 @@ def suffix_dedup(docs: DataFrame, length: int = LENGTH, id_col: str = "doc_id",
     spark = docs.sparkSession
     read = columns(docs, id=id_col, text=text_col).withColumn("id", F.col("id").cast("long"))
     found = stored(repeats(segment_records(read, length)), "repeats")
-    wanted = spark.sparkContext.broadcast(key_filter(asked_places(found), "place"))
+    wanted = spark.sparkContext.broadcast(key_filter(found.where("part = -1"), "data"))
     finer = stored(sorted_repeats(stretch_records(read, length, wanted), length), "sorted_repeats")
     runs = found.where("part >= 0").unionByName(finer).repartitionById(partitions(spark), F.col("part"))
     spans = stored(removed_spans(runs, length), "removed_spans")
@@ -438,5 +431,5 @@ def suffix_dedup(docs: DataFrame, length: int = LENGTH, id_col: str = "doc_id",
             yield cut(b, b.column("spans").to_pylist())
 
     asked = read.mapInArrow(to_join, "id long, text string, key long, tag long")
-    marked = asked.join(spans.withColumnRenamed("id", "key"), ["key", "tag"], "left").select("id", "text", "spans")
+    marked = asked.join(spans.withColumnRenamed("id", "key").hint("merge"), ["key", "tag"], "left").select("id", "text", "spans")
     return read.mapInArrow(whole, schema).unionByName(marked.mapInArrow(joined, schema)).withColumnRenamed("id", id_col)
