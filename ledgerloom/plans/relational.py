@@ -7,18 +7,13 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.ranks import interpolated
+from ..operators.joins import unique_on
 from ..registry import register
 from ..sources.tables import LONGER, PRIMARY, SQL_RELATIONS, relation
 from .concentration import SQL_WINDOW
 from .named import SQL_PANEL, attack_panel, priced, q5b_tier_impact, qp_protocols
 
 
-def unique_on(df: DataFrame, keys: list[str]) -> DataFrame:
-    """df, with an error from the engine as soon as a row of a repeated key is met: a join to it can't fan out."""
-    counted = df.withColumn("_copies", F.count(F.lit(1)).over(Window.partitionBy(*keys)))
-    return counted.where(F.assert_true(F.col("_copies") == 1, F.lit(f"repeated key {keys}")).isNull()).drop("_copies")
-
-
 @register(
     f"""WITH {SQL_PANEL}, p AS (SELECT project, sum(attacked_trade_events) AS attacked FROM panel WHERE project <> 'Brand#11' GROUP BY 1), v AS (SELECT project, count(*) AS victims FROM victims WHERE amount_usd > 0 AND project <> 'Brand#12' GROUP BY 1)
     SELECT coalesce(p.project, v.project) AS project, CASE WHEN v.project IS NULL THEN 'panel_only' WHEN p.project IS NULL THEN 'protocol_only' ELSE 'both' END AS side,
