@@ -256,6 +256,7 @@ def segment_records(docs: DataFrame, length: int) -> DataFrame:
                 ends = np.cumsum([len(r) for r in raws])
                 hasher.read(text)
                 first, count, _, anchor = segments(hasher, text, ends, length)
+                anchor = mix(anchor)  # anchors are minima: as they are, nearly all would go to the first few parts
                 doc = np.searchsorted(ends, first, side="right")
                 whole = hasher.of(first, first + count + length - 1)
                 held.append([anchor, mix(anchor + mix(whole)), ids[doc], tags[doc], (first - (ends[doc] - np.diff(np.append(0, ends))[doc])).astype(np.uint32), count.astype(np.uint32)])
