@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import columns, stored, texts
+from .common import columns, mix, stored, texts
 from .components import connected, forest
 from .packed import Columns, dealt, in_filter, key_filter, unpack
 from .shingles import WordHashes, set_id, shingle_sets
@@ -82,7 +82,8 @@ def sampled_elements(docs: DataFrame, shingle: int, prefix: Prefix) -> DataFrame
                     continue
                 seen.add(node)
                 size = int(prefix.sample(np.array(len(own))))
-                yield [own[:size], np.full(size, node, np.int64), np.full(size, len(own), np.uint32)]
+                # The smallest hashes are spread anew, else only the first parts would get any.
+                yield [mix(own[:size]), np.full(size, node, np.int64), np.full(size, len(own), np.uint32)]
 
     return dealt(docs, emit)
 
