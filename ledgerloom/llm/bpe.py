@@ -31,7 +31,7 @@ WORD_END = "</w>"
 #: A vocabulary larger than this is refused: it is sent to every executor.
 MAX_MERGES = 1_000_000
 #: Chunks kept between batches of a task; beyond it the memory is started anew.
-CACHED_CHUNKS = 600_000
+CACHED_CHUNKS = 200_000
 
 
 def byte_symbols() -> list[str]:
@@ -204,7 +204,7 @@ class Encoder:
         return packed, decoded, counts
 
 
-def bpe_encode(docs: DataFrame, vocabulary: str, id_col: str = "doc_id", text_col: str = "text", rows: int = 512) -> DataFrame:
+def bpe_encode(docs: DataFrame, vocabulary: str, id_col: str = "doc_id", text_col: str = "text", rows: int = 256) -> DataFrame:
     """doc_id, n_tokens, ids (binary: little-endian unsigned 32-bit integers), decoded (string) for every row.
 
     vocabulary: path of the tokenizer file, read by the driver. rows: texts encoded together.

@@ -11,7 +11,7 @@ from .common import mix, spaced_words
 
 STEP = np.uint64(0x9E3779B97F4A7C15)
 #: Words whose hash a task remembers.
-REMEMBERED = 1_000_000
+REMEMBERED = 200_000
 
 
 class WordHashes(dict):
