@@ -24,6 +24,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType, StructField, StructType
 
 from .common import columns, mix, stored, texts
 from .components import connected, forest
@@ -169,6 +170,11 @@ def family_sets(docs: DataFrame, families: DataFrame, shingle: int) -> DataFrame
 
 def ngram_components(docs: DataFrame, shingle: int = SHINGLE, percent: int = PERCENT, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """id_col, n_shingles and component_id (the smallest id that links lead to) of every row."""
+    return named_components(docs, shingle, percent, id_col, text_col).drop("_node")
+
+
+def named_components(docs: DataFrame, shingle: int, percent: int, id_col: str, text_col: str) -> DataFrame:
+    """As ngram_components, with _node (the set's name) of every row."""
     prefix = Prefix(percent)
     read = columns(docs, id=id_col, text=text_col)
     named = stored(set_names(read, shingle), "set_names")
@@ -176,18 +182,21 @@ def ngram_components(docs: DataFrame, shingle: int = SHINGLE, percent: int = PER
     families = connected(edges)
     joined = connected(verified_links(family_sets(read, families, shingle), percent))
     joined = joined.select(F.col("node").alias("_node"), "component")
-    rooted = named.join(joined, named["node"] == joined["_node"], "left").select("id", "n_shingles", F.coalesce("component", "node").alias("root"))
+    rooted = named.join(joined, named["node"] == joined["_node"], "left").select("id", "n_shingles", "node", F.coalesce("component", "node").alias("root"))
     least = stored(rooted.where("root is not null").groupBy("root").agg(F.min("id").alias("component_id")), "component_ids").withColumnRenamed("root", "_root")
     out = rooted.join(least, rooted["root"] == least["_root"], "left")
-    return out.select(F.col("id").alias(id_col), "n_shingles", F.when(F.col("root").isNull(), F.col("id")).otherwise(F.col("component_id")).alias("component_id"))
+    component = F.when(F.col("root").isNull(), F.col("id")).otherwise(F.col("component_id")).alias("component_id")
+    return out.select(F.col("id").alias(id_col), "n_shingles", component, F.col("node").alias("_node"))
 
 
 def drop_linked(docs: DataFrame, keep: list[str], shingle: int = SHINGLE, percent: int = PERCENT, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The columns in keep (id and text among them) of one row of each component, the one with the smallest id; equal rows of one id
-    count as one. Only rows of ids that lose something meet the decisions; all others stay where they are."""
-    decided = ngram_components(docs, shingle, percent, id_col, text_col).where(F.col(id_col).isNotNull())
-    least = F.min((F.col("component_id") == F.col(id_col)).cast("int"))
-    asked = stored(decided.groupBy(F.col(id_col).alias("_id")).agg(least.alias("stays"), F.count(F.lit(1)).alias("rows")).where("stays = 0 or rows > 1"), "decided")
+    """The columns in keep (id and text among them) of the rows of each component that have its smallest id; equal rows of one id
+    count as one. Only rows of ids that lose something meet the decisions; all others stay where they are. A row falls by its own
+    component: where the rows of one id fare differently, they are told apart by the names of their sets."""
+    decided = named_components(docs, shingle, percent, id_col, text_col).where(F.col(id_col).isNotNull())
+    stays = F.col("component_id") == F.col(id_col)
+    whole = decided.groupBy(F.col(id_col).alias("_id")).agg(F.min(stays.cast("int")).alias("stays"), F.max(stays.cast("int")).alias("some"), F.count(F.lit(1)).alias("rows"))
+    asked = stored(whole.where("stays = 0 or rows > 1"), "decided")
     bits = docs.sparkSession.sparkContext.broadcast(key_filter(asked, "_id"))
     chosen = columns(docs, **{c: c for c in keep})
 
@@ -200,7 +209,21 @@ def drop_linked(docs: DataFrame, keep: list[str], shingle: int = SHINGLE, percen
 
         return chosen.mapInArrow(run, chosen.schema)
 
-    met = split(True).join(asked, F.col(id_col) == F.col("_id"), "left").where("stays is null or stays = 1")
+    met = split(True).join(asked, F.col(id_col) == F.col("_id"), "left").where("stays is null or some = 1")
     once = met.where("rows is null or rows = 1").select(*keep)
-    several = met.where("rows > 1").select(*keep).dropDuplicates([id_col, text_col])
-    return split(False).unionByName(once).unionByName(several)
+    several = met.where("rows > 1 and stays = 1").select(*keep)
+    mixed = asked.where("stays < some").select("_id")
+    if not mixed.isEmpty():
+        names = stored(decided.where(stays).select(F.col(id_col).alias("_id"), "_node").join(mixed, "_id", "left_semi").distinct(), "names")
+
+        def named(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            hashes = WordHashes()
+            for b in batches:
+                read = pa.RecordBatch.from_arrays([b.column(id_col), b.column(text_col)], ["id", "text"])
+                nodes = [set_id(own) if len(own) else None for _, own in document_sets(read, shingle, hashes)]
+                yield pa.RecordBatch.from_arrays([*b.columns, pa.array(nodes, pa.int64())], [*b.schema.names, "_own"])
+
+        torn = met.where("stays < some").select(*keep)
+        rows = torn.mapInArrow(named, StructType([*torn.schema.fields, StructField("_own", LongType())]))
+        several = several.unionByName(rows.join(names, (F.col(id_col) == F.col("_id")) & F.col("_own").eqNullSafe(F.col("_node")), "left_semi").select(*keep))
+    return split(False).unionByName(once).unionByName(several.dropDuplicates([id_col, text_col]))
