@@ -1,8 +1,9 @@
 """Main text of web pages: site templates are found by counting element subtrees per host and taken out.
 
-First pass: every block element of a page is hashed with all that stands below it; Spark counts for each host on how
-many different pages each hash stands (copies of one page count once; partial sums before the shuffle). Second pass:
-subtrees that stand on many pages of their host are deleted, then what the markup itself names as menu, header,
+First pass: every block element of a page is hashed with all that stands below it; Spark counts for each host, and for each
+section of a host (the first directory of the path), on how many different pages each hash stands (copies of one page count once;
+partial sums before the shuffle). Second pass: subtrees that stand on many pages of their host or section, at least five and a
+tenth of them, are deleted, so that a section's own template goes however large the host is, then what the markup itself names as menu, header,
 footer, sidebar, notice, advert, form, script, style or comment section, and the text blocks of the article remain.
 A text block inside the page's article is kept however often it occurs: there, frequency tells quotes, not templates.
 If there are few recurring subtrees they are broadcast, after their number has been checked; beyond that they are
@@ -154,7 +155,27 @@ def host_of(url: str | None) -> str:
         return ""
 
 
-def main_text(page: str | None, recurring: frozenset[int] | set[int]) -> str:
+def sites_of(url: str | None) -> list[str]:
+    """The host of a url, and the host with the first directory of the path if there is one."""
+    host = host_of(url)
+    try:
+        first, _, rest = urlsplit(url or "").path.lstrip("/").partition("/")
+    except ValueError:
+        return [host]
+    return [host, f"{host}/{first}"] if first and rest else [host]
+
+
+class Either:
+    """What lies in any of several sets."""
+
+    def __init__(self, *sets: frozenset[int] | set[int]):
+        self.sets = sets
+
+    def __contains__(self, x: int) -> bool:
+        return any(x in s for s in self.sets)
+
+
+def main_text(page: str | None, recurring: frozenset[int] | set[int] | Either) -> str:
     """The article's blocks, without the recurring subtrees; all other blocks where a page marks no article."""
     blocks, elements = read_page(page)
     gone = set()
@@ -168,28 +189,34 @@ def main_text(page: str | None, recurring: frozenset[int] | set[int]) -> str:
 
 
 def subtree_hashes(pages: DataFrame) -> DataFrame:
-    """host, page (hash of its html), subtree: the distinct subtree hashes of every page."""
+    """place, site, page (hash of its html), subtree: the distinct subtree hashes of every page for its host and its section; place is the
+    narrower of the two."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            hosts, ids, hashes = [], [], []
+            places, sites, ids, hashes = [], [], [], []
             for url, body, page in zip(texts(batch, "url"), batch.column("page").to_pylist(), texts(batch, "html")):
-                own = {e[0] for e in read_page(page)[1]}
-                hosts += [host_of(url)] * len(own)
-                ids += [body] * len(own)
-                hashes += own
-            yield pa.RecordBatch.from_arrays([pa.array(hosts, pa.string()), pa.array(ids, pa.int64()), pa.array(hashes, pa.int64())], ["host", "page", "subtree"])
+                own, held = {e[0] for e in read_page(page)[1]}, sites_of(url)
+                for site in held:
+                    places += [held[-1]] * len(own)
+                    sites += [site] * len(own)
+                    ids += [body] * len(own)
+                    hashes += own
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(places, pa.string()), pa.array(sites, pa.string()), pa.array(ids, pa.int64()), pa.array(hashes, pa.int64())], ["place", "site", "page", "subtree"]
+            )
 
-    return pages.select("url", "html", F.xxhash64("html").alias("page")).mapInArrow(run, "host string, page long, subtree long").withColumn("host", F.xxhash64("host"))
+    rows = pages.select("url", "html", F.xxhash64("html").alias("page")).mapInArrow(run, "place string, site string, page long, subtree long")
+    return rows.withColumns({"place": F.xxhash64("place"), "site": F.xxhash64("site")})
 
 
 def site_templates(pages: DataFrame, min_pages: int = MIN_PAGES, min_share: float = MIN_SHARE) -> DataFrame:
-    """host, subtree: what stands on at least min_pages different pages of a host and on min_share of them."""
-    hashes = subtree_hashes(pages).distinct()
-    counted = hashes.groupBy("host", "subtree").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= min_pages)
-    # The subtree that holds the whole page is one for each different page: its count is the host's number of pages.
-    total = hashes.select("host", "page").distinct().groupBy("host").agg(F.count(F.lit(1)).alias("pages"))
-    return counted.join(total, "host").where(F.col("n") >= min_share * F.col("pages")).select("host", "subtree")
+    """site, subtree: what stands on at least min_pages different pages of a host or section and on min_share of them."""
+    hashes = subtree_hashes(pages).select("site", "page", "subtree").distinct()
+    counted = hashes.groupBy("site", "subtree").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= min_pages)
+    # The subtree that holds the whole page is one for each different page: its count is the site's number of pages.
+    total = hashes.select("site", "page").distinct().groupBy("site").agg(F.count(F.lit(1)).alias("pages"))
+    return counted.join(total, "site").where(F.col("n") >= min_share * F.col("pages")).select("site", "subtree")
 
 
 def extract(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", max_broadcast: int = MAX_BROADCAST) -> DataFrame:
@@ -201,30 +228,31 @@ def extract(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", htm
     schema = f"page_id {kind}, url string, text string"
     out = ["page_id", "url", "text"]
 
-    def hosts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def sites(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(map(host_of, texts(b, "url")), pa.string())], [*b.schema.names, "host"])
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(map(sites_of, texts(b, "url")), pa.list_(pa.string()))], [*b.schema.names, "sites"])
 
-    named = chosen.mapInArrow(hosts, f"page_id {kind}, url string, html string, host string").withColumn("host", F.xxhash64("host"))
+    named = chosen.mapInArrow(sites, f"page_id {kind}, url string, html string, sites array<string>").withColumn("sites", F.transform("sites", lambda x: F.xxhash64(x)))
     if len(some) <= max_broadcast:
-        by_host: dict[int, set[int]] = {}
+        by_site: dict[int, set[int]] = {}
         for r in some:
-            by_host.setdefault(r["host"], set()).add(r["subtree"])
-        shared = pages.sparkSession.sparkContext.broadcast(by_host)
+            by_site.setdefault(r["site"], set()).add(r["subtree"])
+        shared = pages.sparkSession.sparkContext.broadcast(by_site)
 
         def direct(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for b in batches:
-                said = [main_text(p, shared.value.get(h, frozenset())) for h, p in zip(b.column("host").to_pylist(), texts(b, "html"))]
+                said = [main_text(p, Either(*[shared.value.get(x, frozenset()) for x in held])) for held, p in zip(b.column("sites").to_pylist(), texts(b, "html"))]
                 yield pa.RecordBatch.from_arrays([b.column("page_id"), b.column("url"), pa.array(said, pa.string())], out)
 
         return named.mapInArrow(direct, schema)
 
-    # Too many to broadcast: every page gets the recurring ones among its own hashes, by a join on host and hash.
-    own = subtree_hashes(chosen).distinct().join(templates, ["host", "subtree"]).groupBy("host", "page").agg(F.collect_set("subtree").alias("recurring"))
+    # Too many to broadcast: every page gets the recurring ones among its own hashes, by a join on site and hash.
+    own = subtree_hashes(chosen).distinct().join(templates, ["site", "subtree"]).groupBy("place", "page").agg(F.collect_set("subtree").alias("recurring"))
 
     def joined(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             said = [main_text(p, set(r or ())) for r, p in zip(b.column("recurring").to_pylist(), texts(b, "html"))]
             yield pa.RecordBatch.from_arrays([b.column("page_id"), b.column("url"), pa.array(said, pa.string())], out)
 
-    return named.withColumn("page", F.xxhash64("html")).join(own, ["host", "page"], "left").select("page_id", "url", "html", "recurring").mapInArrow(joined, schema)
+    placed = named.withColumns({"page": F.xxhash64("html"), "place": F.element_at("sites", -1)})
+    return placed.join(own, ["place", "page"], "left").select("page_id", "url", "html", "recurring").mapInArrow(joined, schema)
