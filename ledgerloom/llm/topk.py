@@ -68,20 +68,20 @@ def best(q_ids: np.ndarray, q: np.ndarray, c_ids: np.ndarray, c: np.ndarray, k:
     # Norms of what remains after each block of dimensions, rounded up a little: the bound must not be too small.
     cuts = [*range(0, dims, DIMENSIONS), dims]
     rest = [(np.sqrt((q[e:].astype(float) ** 2).sum(0)) * (1 + 1e-9), np.sqrt((c[e:].astype(float) ** 2).sum(0)) * (1 + 1e-9)) for e in cuts[1:]]
-    alive = np.arange(c.shape[1])
+    alive, own = np.arange(c.shape[1]), q_ids[:, None] == c_ids[None, :]
     score = np.zeros((q.shape[1], len(alive)), kind)
     for step, (a, e) in enumerate(zip(cuts, cuts[1:])):
         score += q[a:e].T @ c[a:e]
-        if e < dims and len(alive) > k + 1:
+        if e < dims and len(alive) > k:
             slack = np.outer(rest[step][0], rest[step][1])
             low = score - slack
-            # One candidate may be the query's own row, so the (k + 1)-th best lower bound is the one to beat.
-            floor = np.partition(low, len(alive) - k - 1, axis=1)[:, len(alive) - k - 1]
-            wanted = (score + slack >= floor[:, None] - 1e-6).any(axis=0)
+            # The query's own rows, however many, are no candidates and hold up no bound.
+            low[own] = -np.inf
+            floor = np.partition(low, len(alive) - k, axis=1)[:, len(alive) - k]
+            wanted = ((score + slack >= floor[:, None] - 1e-6) & ~own).any(axis=0)
             if not wanted.all():
-                alive, score, c = alive[wanted], score[:, wanted], c[:, wanted]
+                alive, own, score, c = alive[wanted], own[:, wanted], score[:, wanted], c[:, wanted]
                 rest = [(x, y[wanted]) for x, y in rest]
-    own = q_ids[:, None] == c_ids[alive][None, :]
     take = min(k, len(alive))
     floor = np.partition(np.where(own, np.iinfo(np.int64).min if kind is np.int64 else -np.inf, score), len(alive) - take, axis=1)[:, len(alive) - take]
     who, where = np.nonzero((score >= floor[:, None]) & ~own)
