@@ -66,6 +66,23 @@ class Design:
 
         return summed(self.rows, part).reshape(self.k, self.k)
 
+    def condition(self) -> float:
+        """The largest singular value over the smallest, from triangles: one of each task, and one of those."""
+        matrix, xs = self.matrix, self.xs
+
+        def triangle(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            held = None
+            for frame in frames:
+                m = matrix(frame)
+                held = np.linalg.qr(m if held is None else np.concatenate([held, m]), mode="r")
+            if held is not None:
+                yield pd.DataFrame(held, columns=xs)
+
+        schema = ", ".join(f"{c} double" for c in xs)
+        rows = self.rows.select(*xs).mapInPandas(triangle, schema).repartition(1).mapInPandas(triangle, schema).collect()
+        s = np.linalg.svd(np.array([tuple(r) for r in rows], float), compute_uv=False)
+        return float(s[0] / s[-1]) if len(s) == self.k and s[-1] > 0 else float("inf")
+
     def clustered(self, cluster: str, residual: Callable[[pd.DataFrame, np.ndarray], np.ndarray]) -> tuple[np.ndarray, int]:
         """Sum over clusters of the outer products of their summed scores, and their number."""
         matrix, xs = self.matrix, self.xs
