@@ -3,7 +3,7 @@
 LONG = "the whole passage repeats itself until it is long enough to matter to everyone who reads it, word for word and line for line. "
 TEXTS = [
     None, "", " \n\t\n ", "one", "One two three four", LONG * 3, LONG * 3, "x" + LONG * 3, LONG.upper(), "All rights reserved. Licensed under CC BY-NC 4.0.\n\nAll rights reserved.",
-    "short line\nshort line\nanother line here\nShort  line", "äöü ß Σας \x00 日本語 🙂 é", LONG * 400, "a" * 5000, "<|endoftext|> it's 123", "pf. " * 300,
+    "short line\nshort line\nanother line here\nShort  line", "äöü ß Σας \x00 日本語 🙂 é", LONG * 400, "a" * 5000, "<|endoftext|> it's 123", "pf. " * 300, "x@" + "a." * 20000 + "1",
     LONG + "and then something else follows that is different", "before it " + LONG,
 ]
 SCHEMA = "doc_id long, text string, id string, tag string, n_words string, spans string, key string, part string, node string, score string"
