@@ -56,10 +56,46 @@ def unpack(batches: Iterable[pa.RecordBatch], kinds: list[str]) -> Columns:
     return [np.concatenate(c) if c else np.zeros(0, k) for c, k in zip(out, kinds)]
 
 
-def dealt(df: DataFrame, emit: Callable[[Iterator[pa.RecordBatch]], Iterable[Columns]], key: bool = True) -> DataFrame:
-    """Runs emit over every partition and deals its records out, each part to a task of its own."""
-    parts = partitions(df.sparkSession)
-    return df.mapInArrow(lambda batches: gathered(emit(batches), parts, key), PACKED).repartitionById(parts, F.col("part"))
+#: Bytes of a plan's files for which one part is enough; a task of more works through several, one after another.
+PART_BYTES, MOST_TURNS = 32 << 20, 64
+
+
+def turns(df: DataFrame) -> int:
+    """How many parts a task gets, so that one of them fits in its memory: by the size of the files that df reads."""
+    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    return max(1, min(MOST_TURNS, -(-size // (PART_BYTES * partitions(df.sparkSession)))))
+
+
+def dealt(df: DataFrame, emit: Callable[[Iterator[pa.RecordBatch]], Iterable[Columns]], key: bool = True, each: int | None = None) -> DataFrame:
+    """Runs emit over every partition and deals its records out: a task gets each parts, in order (the engine sorts, and spills, whole rows)."""
+    tasks, each = partitions(df.sparkSession), each or turns(df)  # after a join each must be given: the engine takes its size for the product
+    rows = df.mapInArrow(lambda batches: gathered(emit(batches), tasks * each, key), PACKED)
+    return rows.repartitionById(tasks, F.col("part")) if each == 1 else rows.repartitionById(tasks, (F.col("part") / each).cast("int")).sortWithinPartitions("part")
+
+
+def by_part(batches: Iterable[pa.RecordBatch]) -> Iterator[list[pa.RecordBatch]]:
+    """The rows of a task, one part at a time; all together where none is left of a part (an empty task)."""
+    held: list[pa.RecordBatch] = []
+    for batch in batches:
+        part = np.asarray(batch.column("part"))
+        cuts = [0, *(np.flatnonzero(part[1:] != part[:-1]) + 1).tolist(), len(part)]
+        for a, b in zip(cuts, cuts[1:]):
+            if b > a:
+                if held and held[-1].column("part")[0].as_py() != part[a]:
+                    yield held
+                    held = []
+                held.append(batch.slice(a, b - a))
+    yield held
+
+
+def in_parts(df: DataFrame, run: Callable[[list[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: str) -> DataFrame:
+    """Runs run over every part that dealt has given out."""
+
+    def every(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for rows in by_part(batches):
+            yield from run(rows)
+
+    return df.mapInArrow(every, schema)
 
 
 # A filter of fixed size over 64-bit keys: rows that can't be wanted stay where they are. It never misses a wanted key.

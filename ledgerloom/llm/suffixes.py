@@ -5,24 +5,23 @@ their whole prefix are ordered by blind tries over what follows.
 
 Finding repeats over a corpus: a string of `length` bytes is named by its anchor, the 32-byte piece with the smallest
 hash inside it, so that equal strings have equal anchors at equal offsets. Neighbouring strings with the same anchor
-make up a segment. One packed record for each segment (about one for every 35 bytes) is dealt by anchor. Segments that
-are equal as a whole repeat the first of them. Where different segments share an anchor, one of each kind is fetched
-from its text, cut by offset into up to four stretches, and dealt by the bytes that all strings of a stretch
-share; the strings of all stretches that meet are suffix-sorted, and of equal ones the first stays. So no anchor,
-however frequent, gathers its surroundings in one task; equal segments of one task are reduced to the first before they
-are dealt. Texts travel only if something is removed from them.
+make up a segment. One packed record for each segment (about one for every 35 bytes) is dealt by anchor; segments of some megabytes of
+text that are equal, byte by byte, are first reduced to the first of them. Where two or more segments share an anchor, all of them are
+fetched from their texts, by an exact join, and dealt by anchor; their strings are suffix-sorted, and of equal ones the first
+stays. An anchor that very many segments share would gather its surroundings in one task: its segments are cut by offset into four
+stretches instead, dealt by the bytes that all strings of a stretch share. Texts travel only if a segment of theirs is asked
+for, or if something is removed from them.
 
-Hashes name candidates; whole segments count as equal by a 64-bit hash of all bytes together with their anchor's
-64-bit hash, strings of stretches by comparing all their bytes.
+Hashes only say what may meet; every string that is removed has been compared with an earlier one in all its bytes.
 
 Cases: a null text is empty; texts shorter than the length keep all bytes; rows of one id and text are one document; rows of one id
 with different texts are different documents, ordered by a checksum of the text; a null id comes before all others; an
-empty table gives an empty result; other columns are ignored.
+empty table gives an empty result; other columns are ignored. Ties (equal strings) go to the first in the order of id, checksum and
+place. Very long texts are read whole and give the same strings the same anchors as short ones.
 """
 
 from __future__ import annotations
 
-import hashlib
 import zlib
 from collections.abc import Iterator
 
@@ -32,11 +31,15 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import columns, mix, partitions, stored, texts
-from .packed import PACKED, Columns, dealt, gathered, in_filter, key_filter, unpack
+from .packed import PACKED, Columns, dealt, gathered, in_filter, in_parts, key_filter, turns, unpack
 
 LENGTH, PIECE, STRETCHES, SHALLOW = 100, 32, 4, 64
-#: Bytes that are hashed at a time; positions in a batch fit in PLACE bits.
-BATCH_BYTES, PLACE = 250_000, 22
+#: Bytes that are hashed at a time; places in a text of any length fit in PLACE bits, the rest orders pieces by their hash.
+BATCH_BYTES, PLACE = 250_000, np.uint64(40)
+#: Segments and bytes among which equal ones are looked for before any are dealt.
+LOT, LOT_BYTES = 200_000, 16 << 20
+#: Segments of one anchor from which on they are cut into stretches.
+CROWD = 4096
 NO_ID = -(1 << 63)
 
 _turn = np.random.default_rng(20240229)
@@ -93,24 +96,45 @@ def keys_at(text: np.ndarray, at: np.ndarray) -> np.ndarray:
     return text[at[:, None] + np.arange(8)].view(">u8").reshape(-1).astype(np.uint64)
 
 
-def deep_shallow_sort(text: np.ndarray, starts: np.ndarray, depth: int, shallow: int = SHALLOW) -> tuple[np.ndarray, np.ndarray]:
-    """Order of the suffixes by their first depth bytes, and which of them equal the one before to that depth.
-
-    text must reach at least depth bytes beyond every start."""
+def partitioned(key: np.ndarray, group: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """One step of multikey quicksort for all groups (runs of equal numbers) at once: every key goes before, to or behind the equals of its
+    group's pivot, the middle one of three. The places of the keys in the new order, and the side of each: 0, 1 or 2."""
+    first = np.flatnonzero(np.append(True, group[1:] != group[:-1]))
+    last = np.append(first[1:], len(group)) - 1
+    a, b, c = key[first], key[(first + last) // 2], key[last]
+    pivot = np.repeat(np.maximum(np.minimum(a, b), np.minimum(np.maximum(a, b), c)), last - first + 1)
+    side = (key >= pivot).astype(np.int64) + (key > pivot)
+    to, head = np.empty(len(key), np.int64), np.repeat(first, last - first + 1)
+    begin = head
+    for s in range(3):
+        mine = side == s
+        before = np.cumsum(mine) - mine
+        to[mine] = (begin + before - before[head])[mine]
+        begin = begin + np.repeat(np.add.reduceat(mine, first), last - first + 1)
+    return to, side
+
+
+def deep_shallow_sort(text: np.ndarray, starts: np.ndarray, depth: int, shallow: int = SHALLOW, group: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """Order of the suffixes by their first depth bytes, and which of them equal the one before to that depth; group, if given, has runs of
+    numbers, inside which alone suffixes are ordered and can be equal.
+
+    Groups are split by multikey quicksort; one whose keys are equal goes eight bytes deeper. text must reach at least depth bytes beyond every start."""
     shallow = min(shallow, depth) // 8 * 8
-    order = np.arange(len(starts))
-    same = np.append(False, np.ones(max(0, len(starts) - 1), bool))[: len(starts)]  # all in one group at depth 0
-    for d in range(0, shallow, 8):
+    n = len(starts)
+    order, deep = np.arange(n), np.zeros(n, np.int64)
+    same = np.append(False, np.ones(max(0, n - 1), bool) if group is None else group[1:] == group[:-1])[:n]
+    while True:
         grouped = same | np.append(same[1:], False)
-        places = np.flatnonzero(grouped)
+        places = np.flatnonzero(grouped & (deep < shallow))
         if not len(places):
             break
-        group = np.cumsum(~same)[places]
-        key = keys_at(text, starts[order[places]] + d)
-        turn = np.lexsort((key, group))
-        order[places] = order[places][turn]
-        key, group = key[turn], group[turn]
-        same[places] = np.append(False, (key[1:] == key[:-1]) & (group[1:] == group[:-1]))
+        owner = np.cumsum(~same)[places]
+        to, side = partitioned(keys_at(text, starts[order[places]] + deep[places]), owner)
+        for x, moved in ((order, order[places]), (deep, deep[places] + 8 * (side == 1))):
+            x[places[to]] = moved
+        part = np.empty(len(places), np.int64)
+        part[to] = owner * 3 + side
+        same[places] = np.append(False, part[1:] == part[:-1])
     grouped = np.flatnonzero(same | np.append(same[1:], False))
     if shallow < depth and len(grouped):
         raw, firsts = text.tobytes(), np.flatnonzero(~same[grouped])
@@ -124,6 +148,16 @@ def deep_shallow_sort(text: np.ndarray, starts: np.ndarray, depth: int, shallow:
     return order, same
 
 
+def equal_bytes(text: np.ndarray, a: np.ndarray, b: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """Whether so many bytes (eight at least) from the places a are those from the places b."""
+    equal = np.ones(len(a), bool)
+    for k in range(0, int(size.max(initial=0)), 8):
+        open_ = np.flatnonzero(equal & (size > k))
+        at = np.minimum(k, size[open_] - 8)
+        equal[open_] = keys_at(text, a[open_] + at) == keys_at(text, b[open_] + at)
+    return equal
+
+
 def window_minima(values: np.ndarray, width: int) -> np.ndarray:
     """Smallest value of every run of so many, by running minima from both ends of fixed blocks."""
     n = len(values) - width + 1
@@ -155,9 +189,8 @@ def segments(hasher: Hasher, text: np.ndarray, ends: np.ndarray, length: int) ->
         return (np.zeros(0, np.int64),) * 3 + (np.zeros(0, np.uint64),)
     at = np.arange(len(text) - PIECE + 1)
     piece = hasher.of(at, at + PIECE)
-    bits = PLACE if len(text) < 1 << PLACE else 40
-    placed = piece >> np.uint64(bits) << np.uint64(bits) | at.astype(np.uint64)
-    anchor = (window_minima(placed, length - PIECE + 1) & np.uint64((1 << bits) - 1)).astype(np.int64)
+    placed = piece >> PLACE << PLACE | at.astype(np.uint64)
+    anchor = (window_minima(placed, length - PIECE + 1) & ((np.uint64(1) << PLACE) - np.uint64(1))).astype(np.int64)
     starts = np.arange(len(anchor))
     sizes = np.diff(np.append(0, ends))
     owner_end = np.repeat(ends, sizes)[: len(anchor)]
@@ -186,16 +219,12 @@ def batches_of(batch: pa.RecordBatch) -> Iterator[tuple[list[bytes], np.ndarray,
         yield held, np.array(ids, np.int64), np.array([zlib.crc32(x) for x in held], np.uint32)
 
 
-def place_key(doc: np.ndarray, tag: np.ndarray, start: np.ndarray) -> np.ndarray:
-    return mix(mix(doc.view(np.uint64) ^ (tag.astype(np.uint64) << np.uint64(32))) + start.astype(np.uint64))
-
-
 def doc_key(doc: np.ndarray) -> np.ndarray:
     return mix(doc.view(np.uint64))
 
 
-def later_ones(name: np.ndarray, doc: np.ndarray, tag: np.ndarray, start: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Places of all records in groups of one name, and which of these are not their group's first in the order of documents."""
+def later_ones(name: np.ndarray, doc: np.ndarray, tag: np.ndarray, start: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Places of all records in groups of one name, which of these are not their group's first in the order of documents, and that first's place."""
     order = np.argsort(name)
     new = np.append(True, name[order][1:] != name[order][:-1])[: len(name)]
     group = np.cumsum(new) - 1
@@ -206,7 +235,7 @@ def later_ones(name: np.ndarray, doc: np.ndarray, tag: np.ndarray, start: np.nda
     head = np.append(True, n[1:] != n[:-1])[: len(n)]
     group = np.cumsum(head) - 1
     first = np.flatnonzero(head)[group] if len(n) else group
-    return order, (d != d[first]) | (t != t[first]) | (s != s[first])
+    return order, (d != d[first]) | (t != t[first]) | (s != s[first]), order[first]
 
 
 RUN = ["<u8", "<i8", "<u4", "<u4", "<u4"]  # key, document, checksum, first string, number of strings
@@ -229,27 +258,32 @@ def merged_runs(doc: np.ndarray, tag: np.ndarray, start: np.ndarray, count: np.n
     return [doc_key(doc[cut]), doc[cut], tag[cut], start[cut].astype(np.uint32), (ends - start[cut]).astype(np.uint32)]
 
 
-SEGMENT = ["<u8", "<u8", "<i8", "<u4", "<u4", "<u4"]  # anchor, name, document, checksum, start, number of strings; a number from REPEATED on: a run
+SEGMENT = ["<u8", "<i8", "<u4", "<u4", "<u4"]  # anchor, document, checksum, start, number of strings; a number from REPEATED on: a run
 REPEATED = np.uint32(1 << 31)
+#: What a row of repeats holds, told by its part: runs, places of segments to be fetched, and those of a crowded anchor.
+RUNS, ASKED, CROWDED = 0, 1, 2
 
 
 def segment_records(docs: DataFrame, length: int) -> DataFrame:
-    """Packed segments dealt by anchor; of equal ones of a task only the first, the others as runs to be removed."""
+    """Packed segments dealt by anchor; of equal ones among some megabytes only the first, the others as runs to be removed."""
 
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[Columns]:
-        hasher, held = Hasher(), []
+        hasher, held, raw, size, bytes_ = Hasher(), [], [], 0, 0
 
         def reduced() -> Iterator[Columns]:
-            anchor, name, doc, tag, start, count = (np.concatenate(c) for c in zip(*held))
-            order, later = later_ones(name, doc, tag, start)
-            again = order[later]
-            keep = np.ones(len(name), bool)
+            anchor, doc, tag, start, count, name, at = (np.concatenate(c) for c in zip(*held))
+            order, later, first = later_ones(name, doc, tag, start)
+            again, first = order[later], first[later]
+            equal = count[again] == count[first]
+            again, first = again[equal], first[equal]
+            equal = equal_bytes(np.frombuffer(b"".join(raw), np.uint8), at[again], at[first], count[again].astype(np.int64) + length - 1)
+            again = again[equal]
+            keep = np.ones(len(doc), bool)
             keep[again] = False
-            yield [x[keep] for x in (anchor, name, doc, tag, start, count)]
+            yield [x[keep] for x in (anchor, doc, tag, start, count)]
             key, *run = merged_runs(doc[again], tag[again], start[again], count[again])
-            yield [key, np.zeros(len(key), np.uint64), run[0], run[1], run[2], run[3] | REPEATED]
+            yield [key, run[0], run[1], run[2], run[3] | REPEATED]
 
-        size = 0
         for batch in batches:
             for raws, ids, tags in batches_of(batch):
                 text = np.frombuffer(b"".join(raws), np.uint8)
@@ -259,11 +293,14 @@ def segment_records(docs: DataFrame, length: int) -> DataFrame:
                 anchor = mix(anchor)  # anchors are minima: as they are, nearly all would go to the first few parts
                 doc = np.searchsorted(ends, first, side="right")
                 whole = hasher.of(first, first + count + length - 1)
-                held.append([anchor, mix(anchor + mix(whole)), ids[doc], tags[doc], (first - (ends[doc] - np.diff(np.append(0, ends))[doc])).astype(np.uint32), count.astype(np.uint32)])
+                base = ends[doc] - np.diff(np.append(0, ends))[doc]
+                held.append([anchor, ids[doc], tags[doc], (first - base).astype(np.uint32), count.astype(np.uint32), mix(anchor + mix(whole)), first + bytes_])
+                raw += raws
                 size += len(first)
-                if size > 200_000:
+                bytes_ += len(text)
+                if size > LOT or bytes_ > LOT_BYTES:
                     yield from reduced()
-                    held, size = [], 0
+                    held, raw, size, bytes_ = [], [], 0, 0
         if held:
             yield from reduced()
 
@@ -271,76 +308,110 @@ def segment_records(docs: DataFrame, length: int) -> DataFrame:
 
 
 def repeats(records: DataFrame) -> DataFrame:
-    """Packed runs of strings in segments that repeat an earlier one; and in rows of part -1, the places of segments whose anchor
-    is shared by a different segment."""
+    """Packed rows dealt by document: runs of strings in segments that are known to repeat, and the places of all segments whose anchor another
+    segment shares."""
     parts = partitions(records.sparkSession)
 
+    def rows(columns: Columns, kind: int) -> Iterator[pa.RecordBatch]:
+        for b in gathered([columns], parts):
+            yield b.set_column(0, "part", pa.array(np.asarray(b.column("part")) + kind * parts, pa.int32()))
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        anchor, name, doc, tag, start, count = unpack(batches, SEGMENT)
+        anchor, doc, tag, start, count = unpack(batches, SEGMENT)
         known = count >= REPEATED
-        yield from gathered([merged_runs(doc[known], tag[known], start[known], count[known] - REPEATED)], parts)
-        anchor, name, doc, tag, start, count = (x[~known] for x in (anchor, name, doc, tag, start, count))
-        order, later = later_ones(name, doc, tag, start)
-        again = order[later]
-        yield from gathered([merged_runs(doc[again], tag[again], start[again], count[again])], parts)
-        first = np.ones(len(name), bool)
-        first[order[later]] = False
-        anchor, doc, tag, start, name = (x[first] for x in (anchor, doc, tag, start, name))
+        yield from rows(merged_runs(doc[known], tag[known], start[known], count[known] - REPEATED), RUNS)
+        anchor, doc, tag, start = (x[~known] for x in (anchor, doc, tag, start))
         order = np.argsort(anchor)
         group = np.cumsum(np.append(True, anchor[order][1:] != anchor[order][:-1])[: len(anchor)]) - 1
-        if len(group):
-            # Two rows of one document give one segment twice: one name is no different segment.
-            low, high = np.full(group[-1] + 1, np.iinfo(np.uint64).max, np.uint64), np.zeros(group[-1] + 1, np.uint64)
-            np.minimum.at(low, group, name[order])
-            np.maximum.at(high, group, name[order])
-            asked = order[(low != high)[group]]
-            keys = place_key(doc[asked], tag[asked], start[asked])
-            yield pa.RecordBatch.from_arrays([pa.array([-1], pa.int32()), pa.array([len(keys)], pa.int32()), pa.array([keys.tobytes()], pa.binary())], ["part", "n", "data"])
+        size = np.bincount(group)[group] if len(group) else group
+        for kind, wanted in ((ASKED, (size > 1) & (size <= CROWD)), (CROWDED, size > CROWD)):
+            at = order[wanted]
+            yield from rows([doc_key(doc[at]), doc[at], tag[at], start[at]], kind)
+
+    return in_parts(records, run, PACKED)
 
-    return records.mapInArrow(run, PACKED)
 
+def of_kind(found: DataFrame, kind: int) -> DataFrame:
+    parts = partitions(found.sparkSession)
+    return found.where((F.col("part") >= kind * parts) & (F.col("part") < (kind + 1) * parts)).withColumn("part", F.col("part") - kind * parts)
 
-def stretch_kinds(length: int) -> list[str]:
-    width = -(-(length - PIECE + 1) // STRETCHES)
-    return ["<u8", "<i8", "<u4", "<u4", "<u4", f"V{length + width - 1}"]
 
+def asked_texts(docs: DataFrame, asked: DataFrame) -> DataFrame:
+    """id, text, starts (binary) of the documents that have a segment to be fetched: an exact join; a filter of fixed size keeps others out of it."""
 
-def stretch_records(docs: DataFrame, length: int, wanted) -> DataFrame:
-    """Packed stretches of the wanted segments, dealt by the bytes that all strings of a stretch hold."""
-    offsets = length - PIECE + 1
-    width = -(-offsets // STRETCHES)
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        _, doc, tag, start = unpack(batches, ["<u8", "<i8", "<u4", "<u4"])
+        order = np.lexsort((start, tag, doc))
+        doc, tag, start = doc[order], tag[order], start[order]
+        at = np.flatnonzero(np.append(True, (doc[1:] != doc[:-1]) | (tag[1:] != tag[:-1]))[: len(doc)])
+        starts = [np.unique(start[a:b]).tobytes() for a, b in zip(at.tolist(), [*at[1:].tolist(), len(doc)])]
+        yield pa.RecordBatch.from_arrays([pa.array(doc[at]), pa.array(tag[at].astype(np.int64)), pa.array(starts, pa.binary())], ["key", "tag", "starts"])
+
+    parts = partitions(docs.sparkSession)
+    places = stored(asked.repartitionById(parts, F.col("part")).mapInArrow(run, "key long, tag long, starts binary"), "asked_places")
+    bits = docs.sparkSession.sparkContext.broadcast(key_filter(places, "key"))
+    return tagged(docs, bits, True).join(places.hint("merge"), ["key", "tag"]).select("id", "text", "starts")
+
+
+def tagged(docs: DataFrame, bits, met: bool) -> DataFrame:
+    """The rows whose id the filter holds (or doesn't), with key (the id; a number for null) and tag (the text's checksum)."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            b = b.filter(pa.array(in_filter(bits.value, np.asarray(b.column("id").fill_null(NO_ID), np.int64)) == met))
+            tags = [zlib.crc32((t or "").encode("utf-8", "surrogatepass")) for t in texts(b)]
+            yield pa.RecordBatch.from_arrays([*b.columns, b.column("id").fill_null(NO_ID), pa.array(tags, pa.int64())], ["id", "text", "key", "tag"])
+
+    return docs.mapInArrow(run, "id long, text string, key long, tag long")
+
+
+def stretch_width(length: int, stretches: int) -> int:
+    return -(-(length - PIECE + 1) // stretches)
+
+
+def stretch_records(docs: DataFrame, length: int, stretches: int, each: int | None = None) -> DataFrame:
+    """Packed stretches of the segments that begin at starts, dealt by their anchor if there is one for each segment, else by the bytes that all
+    strings of a stretch hold."""
+    offsets, width = length - PIECE + 1, stretch_width(length, stretches)
     span = length + width - 1
 
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[Columns]:
         hasher = Hasher()
         for batch in batches:
+            wanted, done = batch.column("starts").to_pylist(), 0
             for raws, ids, tags in batches_of(batch):
                 text = np.frombuffer(b"".join([*raws, bytes(span)]), np.uint8)
-                ends = np.cumsum([len(r) for r in raws])
+                sizes = np.array([len(r) for r in raws], np.int64)
+                ends = np.cumsum(sizes)
                 hasher.read(text)
                 first, count, anchor, piece = segments(hasher, text[: ends[-1]], ends, length)
+                own = [np.frombuffer(x, np.uint32) for x in wanted[done : done + len(raws)]]
+                done += len(raws)
+                asked = np.concatenate([o + base for o, base in zip(own, (ends - sizes).tolist())]) if own else first[:0]
+                held = np.isin(first, asked)
+                first, count, anchor, piece = (x[held] for x in (first, count, anchor, piece))
                 doc = np.searchsorted(ends, first, side="right")
-                base = ends[doc] - np.diff(np.append(0, ends))[doc]
-                held = in_filter(wanted.value, place_key(ids[doc], tags[doc], first - base))
-                first, count, anchor, piece, doc, base = (x[held] for x in (first, count, anchor, piece, doc, base))
-                for q in range(STRETCHES):
+                base = ends[doc] - sizes[doc]
+                for q in range(stretches):
                     least, most = q * width, min(q * width + width, offsets) - 1
                     # Offsets of the anchor in this stretch's strings: least to most; their starts run the other way.
                     low, high = np.maximum(first, anchor - most), np.minimum(first + count - 1, anchor - least)
                     some = low <= high
                     lo, hi, a, d = low[some], high[some], anchor[some], doc[some]
-                    core = mix(hasher.of(a - least, a - most + length) + mix(piece[some] + np.uint64(q)))
+                    core = mix(piece[some] + np.uint64(q))
+                    if stretches > 1:
+                        core = mix(hasher.of(a - least, a - most + length) + core)
                     data = text[lo[:, None] + np.arange(span)]
                     data = np.where(np.arange(span) < (hi - lo + length)[:, None], data, 0).astype(np.uint8)
                     yield [core, ids[d], tags[d], (lo - base[some]).astype(np.uint32), (hi - lo + 1).astype(np.uint32), np.ascontiguousarray(data).view(f"V{span}").reshape(-1)]
 
-    return dealt(docs, emit)
+    return dealt(docs, emit, each=each)
 
 
-def sorted_repeats(stretches: DataFrame, length: int) -> DataFrame:
+def sorted_repeats(stretched: DataFrame, length: int, stretches: int) -> DataFrame:
     """Packed runs of strings that suffix sorting finds equal to an earlier one."""
-    kinds, parts = stretch_kinds(length), partitions(stretches.sparkSession)
-    span = int(kinds[-1][1:])
+    span, parts = length + stretch_width(length, stretches) - 1, partitions(stretched.sparkSession)
+    kinds = ["<u8", "<i8", "<u4", "<u4", "<u4", f"V{span}"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         core, doc, tag, start, count, data = unpack(batches, kinds)
@@ -359,15 +430,15 @@ def sorted_repeats(stretches: DataFrame, length: int) -> DataFrame:
             n = count[part].astype(np.int64)
             which = np.repeat(np.arange(len(part)), n)
             inside = np.arange(len(which)) - np.repeat(np.cumsum(n) - n, n)
-            sorted_, same = deep_shallow_sort(text, which * span + inside, length)
+            sorted_, same = deep_shallow_sort(text, which * span + inside, length, group=core[part][which])
             source = part[which[sorted_]]
             at = start[source].astype(np.int64) + inside[sorted_]
             name = np.cumsum(~same).astype(np.uint64)
-            held, later = later_ones(name, doc[source], tag[source], at)
+            held, later, _ = later_ones(name, doc[source], tag[source], at)
             again = held[later]
             yield from gathered([merged_runs(doc[source[again]], tag[source[again]], at[again], np.ones(len(again), np.int64))], parts)
 
-    return stretches.mapInArrow(run, PACKED)
+    return in_parts(stretched, run, PACKED)
 
 
 def removed_spans(runs: DataFrame, length: int) -> DataFrame:
@@ -393,9 +464,13 @@ def suffix_dedup(docs: DataFrame, length: int = LENGTH, id_col: str = "doc_id",
     spark = docs.sparkSession
     read = columns(docs, id=id_col, text=text_col).withColumn("id", F.col("id").cast("long"))
     found = stored(repeats(segment_records(read, length)), "repeats")
-    wanted = spark.sparkContext.broadcast(key_filter(found.where("part = -1"), "data"))
-    finer = stored(sorted_repeats(stretch_records(read, length, wanted), length), "sorted_repeats")
-    runs = found.where("part >= 0").unionByName(finer).repartitionById(partitions(spark), F.col("part"))
+    runs = of_kind(found, RUNS)
+    for kind, stretches in ((ASKED, 1), (CROWDED, STRETCHES)):
+        asked = of_kind(found, kind)
+        if not asked.isEmpty():
+            stretched = stretch_records(asked_texts(read, asked), length, stretches, turns(read))
+            runs = runs.unionByName(stored(sorted_repeats(stretched, length, stretches), "sorted_repeats"))
+    runs = runs.repartitionById(partitions(spark), F.col("part"))
     spans = stored(removed_spans(runs, length), "removed_spans")
     changed = spark.sparkContext.broadcast(key_filter(spans, "id"))
     out = ["id", "n_bytes", "n_removed", "spans", "kept"]
@@ -421,16 +496,9 @@ def suffix_dedup(docs: DataFrame, length: int = LENGTH, id_col: str = "doc_id",
             b = b.filter(pa.array(~touched(b)))
             yield cut(b, [None] * b.num_rows)
 
-    def to_join(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            b = b.filter(pa.array(touched(b)))
-            tags = [zlib.crc32((t or "").encode("utf-8", "surrogatepass")) for t in texts(b)]
-            yield pa.RecordBatch.from_arrays([*b.columns, b.column("id").fill_null(NO_ID), pa.array(tags, pa.int64())], ["id", "text", "key", "tag"])
-
     def joined(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             yield cut(b, b.column("spans").to_pylist())
 
-    asked = read.mapInArrow(to_join, "id long, text string, key long, tag long")
-    marked = asked.join(spans.withColumnRenamed("id", "key").hint("merge"), ["key", "tag"], "left").select("id", "text", "spans")
+    marked = tagged(read, changed, True).join(spans.withColumnRenamed("id", "key").hint("merge"), ["key", "tag"], "left").select("id", "text", "spans")
     return read.mapInArrow(whole, schema).unionByName(marked.mapInArrow(joined, schema)).withColumnRenamed("id", id_col)
