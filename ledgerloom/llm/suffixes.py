@@ -93,7 +93,7 @@ class BlindTrie:
 
 def keys_at(text: np.ndarray, at: np.ndarray) -> np.ndarray:
     """Eight bytes from each place as one number whose order is theirs."""
-    return text[at[:, None] + np.arange(8)].view(">u8").reshape(-1).astype(np.uint64)
+    return np.ndarray((max(0, len(text) - 7),), ">u8", text, strides=(1,))[at].astype(np.uint64)
 
 
 def partitioned(key: np.ndarray, group: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -138,7 +138,14 @@ def deep_shallow_sort(text: np.ndarray, starts: np.ndarray, depth: int, shallow:
     grouped = np.flatnonzero(same | np.append(same[1:], False))
     if shallow < depth and len(grouped):
         raw, firsts = text.tobytes(), np.flatnonzero(~same[grouped])
-        for a, b in zip(firsts.tolist(), [*firsts[1:].tolist(), len(grouped)]):
+        sizes = np.diff(np.append(firsts, len(grouped)))
+        mixed = np.ones(len(firsts), bool)
+        if depth - shallow >= 8:
+            # A group whose strings are all equal is a trie of one leaf.
+            at = starts[order[grouped]] + shallow
+            equal = equal_bytes(text, at, np.repeat(at[firsts], sizes), np.full(len(at), depth - shallow))
+            mixed = ~np.logical_and.reduceat(equal, firsts)
+        for a, b in zip(firsts[mixed].tolist(), (firsts + sizes)[mixed].tolist()):
             places, trie = grouped[a:b], BlindTrie()
             for member, start in zip(order[places].tolist(), starts[order[places]].tolist()):
                 trie.insert(raw[start + shallow : start + depth], member)
@@ -403,7 +410,7 @@ def stretch_records(docs: DataFrame, length: int, stretches: int, each: int | No
                         core = mix(hasher.of(a - least, a - most + length) + core)
                     data = text[lo[:, None] + np.arange(span)]
                     data = np.where(np.arange(span) < (hi - lo + length)[:, None], data, 0).astype(np.uint8)
-                    yield [core, ids[d], tags[d], (lo - base[some]).astype(np.uint32), (hi - lo + 1).astype(np.uint32), np.ascontiguousarray(data).view(f"V{span}").reshape(-1)]
+                    yield [core, ids[d], tags[d], (lo - base[some]).astype(np.uint32), (hi - lo + 1).astype(np.uint32), (a - lo).astype(np.uint32), np.ascontiguousarray(data).view(f"V{span}").reshape(-1)]
 
     return dealt(docs, emit, each=each)
 
@@ -411,10 +418,10 @@ def stretch_records(docs: DataFrame, length: int, stretches: int, each: int | No
 def sorted_repeats(stretched: DataFrame, length: int, stretches: int) -> DataFrame:
     """Packed runs of strings that suffix sorting finds equal to an earlier one."""
     span, parts = length + stretch_width(length, stretches) - 1, partitions(stretched.sparkSession)
-    kinds = ["<u8", "<i8", "<u4", "<u4", "<u4", f"V{span}"]
+    kinds = ["<u8", "<i8", "<u4", "<u4", "<u4", "<u4", f"V{span}"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        core, doc, tag, start, count, data = unpack(batches, kinds)
+        core, doc, tag, start, count, ahead, data = unpack(batches, kinds)
         order = np.argsort(core)
         new = np.append(True, core[order][1:] != core[order][:-1])[: len(core)]
         group = np.cumsum(new) - 1
@@ -430,7 +437,11 @@ def sorted_repeats(stretched: DataFrame, length: int, stretches: int) -> DataFra
             n = count[part].astype(np.int64)
             which = np.repeat(np.arange(len(part)), n)
             inside = np.arange(len(which)) - np.repeat(np.cumsum(n) - n, n)
-            sorted_, same = deep_shallow_sort(text, which * span + inside, length, group=core[part][which])
+            # Equal strings have their anchor at the same offset: only those are sorted among each other.
+            owner = np.cumsum(np.append(False, core[part][1:] != core[part][:-1]))[which] * (length + 1) + ahead[part][which] - inside
+            turn = np.argsort(owner, kind="stable")
+            which, inside = which[turn], inside[turn]
+            sorted_, same = deep_shallow_sort(text, which * span + inside, length, group=owner[turn])
             source = part[which[sorted_]]
             at = start[source].astype(np.int64) + inside[sorted_]
             name = np.cumsum(~same).astype(np.uint64)
