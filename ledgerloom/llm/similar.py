@@ -1,9 +1,11 @@
 """Exact Jaccard links inside families of candidate sets.
 
-A family is a component of the candidate graph, so that no link leaves it. A small family is verified as a whole; the
-members of a larger one are dealt into blocks, and each pair of blocks is a task's work of its own, so that no family,
-however large, has to fit into one task. What leaves a task are the edges of a spanning forest of the links found, never
-the pairs.
+A family is a component of the candidate graph, so that no link leaves it. A small family is verified as a whole. In a
+larger one a few members, its hubs, are first compared with all others, which are dealt over tasks; what hangs together by
+then is not compared again. The members that no hub has brought into the family's largest part are dealt into blocks, and so
+are all others; each pair of blocks with a block of those is a task's work of its own. So thousands of near copies of one text cost
+some comparisons each, and no family, however large, has to fit into one task. What leaves a task are the edges of a spanning
+forest of the links found, never the pairs.
 """
 
 from __future__ import annotations
@@ -12,13 +14,14 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import partitions, stored
-from .components import forest
+from .components import connected, forest
 
-BLOCK, SLICE = 128, 1 << 16
+BLOCK, SLICE, HUBS = 128, 1 << 16, 8
+Compare = Callable[[np.ndarray, list[bytes], np.ndarray, int], tuple[np.ndarray, np.ndarray]]
 
 
 def intersections(sets: list[np.ndarray], others: list[np.ndarray]) -> np.ndarray:
@@ -61,42 +64,70 @@ def hashes_of(data: list[bytes]) -> list[np.ndarray]:
     return [np.frombuffer(d, np.uint64) for d in data]
 
 
-def verified_links(members: DataFrame, percent: int, block: int = BLOCK, sets_of: Callable[[list[bytes]], list[np.ndarray]] = hashes_of) -> DataFrame:
-    """a, b (nodes) for members (family, node, data): edges that connect exactly what is linked, directly or over others, by
-    100 * intersection >= percent * union of the sets that sets_of makes of data."""
-    members = stored(members.select("family", "node", "data"), "members")
-    sizes = stored(members.groupBy("family").agg(F.count(F.lit(1)).alias("size")), "family_sizes")
-    blocks = F.ceil(F.col("size") / F.greatest(F.lit(block), F.ceil(F.sqrt("size")))).cast("int")
-    slot = F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int")
-    # Dealt out by node first, so that the members of a large family are copied to their blocks by all tasks alike.
-    spread = (
-        members.join(sizes, "family")
-        .repartition(partitions(members.sparkSession), "node")
-        .withColumn("blocks", blocks)
-        .withColumn("slot", slot)
-        .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-        .select("family", F.least("slot", "other").alias("i"), F.greatest("slot", "other").alias("j"), "slot", "node", "data")
-    )
+def plain(sets_of: Callable[[list[bytes]], list[np.ndarray]]) -> Compare:
+    """Compares all pairs, by the sets that sets_of makes of data."""
+    return lambda nodes, data, side, percent: links(nodes, sets_of(data), side, percent)
+
+
+def compared(dealt: DataFrame, percent: int, compare: Compare) -> DataFrame:
+    """a, b: the links in each cell (family, i, j) of rows with slot, node, data: across its two slots, or inside the one where i = j."""
     keys = ["family", "i", "j"]
 
     def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held_key, nodes, sets, side = None, [], [], []
+        held_key, nodes, data_of, side = None, [], [], []
         out: list[tuple[np.ndarray, np.ndarray]] = []
 
         def done() -> None:
             if len(nodes) > 1 and (held_key[1] == held_key[2] or len(set(side)) == 2):
-                out.append(links(np.array(nodes, np.int64), sets_of(sets), np.array(side), percent))
+                out.append(compare(np.array(nodes, np.int64), data_of, np.array(side), percent))
 
         for batch in batches:
             for family, i, j, slot, node, data in zip(*(batch.column(c).to_pylist() for c in (*keys, "slot", "node", "data"))):
                 if (family, i, j) != held_key:
                     done()
-                    held_key, nodes, sets, side = (family, i, j), [], [], []
+                    held_key, nodes, data_of, side = (family, i, j), [], [], []
                 nodes.append(node)
-                sets.append(data)
+                data_of.append(data)
                 side.append(slot)
         done()
         a, b = forest(*(np.concatenate([x[k] for x in out]) if out else np.zeros(0, np.int64) for k in (0, 1)))
         yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], ["a", "b"])
 
-    return spread.repartition(partitions(members.sparkSession), *keys).sortWithinPartitions(*keys).mapInArrow(verify, "a long, b long")
+    rows = dealt.select(*keys, "slot", "node", "data")
+    return rows.repartition(partitions(dealt.sparkSession), *keys).sortWithinPartitions(*keys).mapInArrow(verify, "a long, b long")
+
+
+def verified_links(members: DataFrame, percent: int, block: int = BLOCK, compare: Compare | None = None) -> DataFrame:
+    """a, b (nodes) for members (family, node, data): edges that connect exactly what is linked, directly or over others, by
+    100 * intersection >= percent * union of the sets in data, as compare finds them."""
+    spark, compare = members.sparkSession, compare or plain(hashes_of)
+    members = stored(members.select("family", "node", "data"), "members")
+    sizes = stored(members.groupBy("family").agg(F.count(F.lit(1)).alias("size")), "family_sizes")
+    zero = F.lit(0)
+    small = compared(members.join(sizes.where(F.col("size") <= block), "family").select("*", zero.alias("i"), zero.alias("j"), zero.alias("slot")), percent, compare)
+    large = sizes.where(F.col("size") > block)
+    if large.isEmpty():
+        return small
+    small = stored(small, "links")
+    # Dealt out by node first, so that the members of a large family are copied to their blocks by all tasks alike.
+    crowd = stored(members.join(large, "family").repartition(partitions(spark), "node"), "crowd")
+    first = Window.partitionBy("family").orderBy(F.xxhash64("node"), "node")
+    hubs = crowd.select("family", "node").withColumn("turn", F.row_number().over(first)).where(F.col("turn") <= HUBS).select("family", "node")
+    width = F.greatest(F.lit(block), F.ceil(F.sqrt("size")))
+    slots = F.ceil(F.col("size") / width).cast("int")
+    spread = crowd.withColumns({"i": F.pmod(F.xxhash64("node"), slots).cast("int"), "slot": zero})
+    around = crowd.join(hubs, ["family", "node"], "left_semi").withColumns({"i": F.explode(F.sequence(zero, slots - 1)), "slot": F.lit(1)})
+    by_hubs = stored(compared(spread.unionByName(around).withColumn("j", F.lit(-1)), percent, compare), "hub_links")
+    label = connected(by_hubs)
+    labelled = stored(crowd.join(label, "node", "left").withColumn("label", F.coalesce("component", "node")).drop("component"), "labelled")
+    counts = labelled.groupBy("family", "label").agg(F.count(F.lit(1)).alias("n")).groupBy("family").agg(F.max(F.struct("n", "label")).alias("main"))
+    parts = stored(counts.select("family", F.col("main.label").alias("main"), F.col("main.n").alias("n_main")), "main_parts")
+    rest = labelled.join(parts, "family").where(F.col("n_main") < F.col("size")).withColumn("alone", F.col("label") != F.col("main"))
+    n_main, n_rest = F.ceil(F.col("n_main") / width).cast("int"), F.ceil((F.col("size") - F.col("n_main")) / width).cast("int")
+    turn = F.xxhash64("node")
+    copied = (
+        rest.withColumn("slot", F.when(F.col("alone"), n_main + F.pmod(turn, n_rest)).otherwise(F.pmod(turn, n_main)).cast("int"))
+        .withColumn("other", F.explode(F.sequence(F.when(F.col("alone"), 0).otherwise(n_main), n_main + n_rest - 1)))
+        .withColumns({"i": F.least("slot", "other"), "j": F.greatest("slot", "other")})
+    )
+    return small.unionByName(by_hubs).unionByName(compared(copied, percent, compare))
