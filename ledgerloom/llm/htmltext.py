@@ -1,16 +1,20 @@
 """Main text of web pages: site templates are found by counting element subtrees per host and taken out.
 
-First pass: every block element of a page is hashed with all that stands below it; Spark counts for each host, and for each
+First pass: every block element of a page is hashed with all that stands below it. An element outside the article most of whose text is links is
+hashed a second time as a shell: tags and classes without texts, equal neighbours taken once, so that menus and lists whose
+entries differ from page to page are one. Spark counts for each host, and for each
 section of a host (the first directory of the path), on how many different pages each hash stands (copies of one page count once;
 partial sums before the shuffle). Second pass: subtrees that stand on many pages of their host or section, at least five and a
-tenth of them, are deleted, so that a section's own template goes however large the host is, then what the markup itself names as menu, header,
-footer, sidebar, notice, advert, form, script, style or comment section, and the text blocks of the article remain.
+tenth of them (half of them for shells), are deleted, so that a section's own template goes however large the host is. What is too rare to be counted is
+told by the markup itself, which names menus, headers, footers, sidebars, notices, adverts, forms, scripts, styles and comment sections; inside an
+article only unmistakable names count. The text blocks of the article remain.
 A text block inside the page's article is kept however often it occurs: there, frequency tells quotes, not templates.
 If there are few recurring subtrees they are broadcast, after their number has been checked; beyond that they are
 joined to the hashes of each page.
 
 Cases: a null or empty page has an empty text; a null or unreadable url counts as a host of its own; repeated rows are
-extracted each; an empty table gives an empty result; other columns are ignored.
+extracted each; an empty table gives an empty result; other columns are ignored. Very long and very deep pages are read whole, in time
+proportional to their length; ties don't arise.
 """
 
 from __future__ import annotations
@@ -46,12 +50,14 @@ DROPPED_NAMES = re.compile(
     r"|menu|nav|navbar|navigation|breadcrumbs?|sidebar|side|widget|footer|header|masthead|toolbar|pagination|pager|share|sharing|social|related|recommended"
     r"|comments?|commentlist|respond|replies|disqus|login|signup|search)(?:$|[\s_-])"
 )
+#: Classes and ids that say even inside an article that an element is none of it.
+FOREIGN_NAMES = frozenset("ad ads advert advertisement adsbygoogle comments commentlist comment-list disqus_thread newsletter-signup cookie-notice share-buttons related-posts".split())
 TEXT_BLOCKS = frozenset("p h1 h2 h3 h4 h5 h6 blockquote pre dd dt figcaption td th li".split())
 SPACE = re.compile(r"[\t-\r \x85\xa0  -     　]+")
 TOKEN = re.compile(r"""<!--.*?(?:-->|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>"']++|"[^"]*+"|'[^']*+')*+)>|<(/?)([a-zA-Z][^\s/>]*)([^>]*)>|<[!?/][^>]*>""", re.S)
 ATTRIBUTE = re.compile(r"""\b(class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""", re.I)
 
-MIN_PAGES, MIN_SHARE, MAX_BROADCAST = 5, 0.1, 200_000
+MIN_PAGES, MIN_SHARE, SHELL_SHARE, MAX_BROADCAST = 5, 0.1, 0.5, 200_000
 
 
 def dropped(tag: str, attributes: str, in_article: bool) -> bool:
@@ -64,25 +70,46 @@ def dropped(tag: str, attributes: str, in_article: bool) -> bool:
         return False
     for name, *values in ATTRIBUTE.findall(attributes):
         value = "".join(values).lower()
-        if value in DROPPED_ROLES if name.lower() == "role" else DROPPED_NAMES.search(value):
+        if name.lower() == "role":
+            if value in DROPPED_ROLES:
+                return True
+        elif in_article:
+            if not FOREIGN_NAMES.isdisjoint(value.split()):
+                return True
+        elif DROPPED_NAMES.search(value):
             return True
     return False
 
 
 class Element:
-    __slots__ = ("tag", "dropped", "in_article", "parts", "hash", "first")
+    __slots__ = ("tag", "label", "dropped", "in_article", "parts", "shells", "first", "said", "linked")
 
-    def __init__(self, tag: str, is_dropped: bool, in_article: bool, first: int):
-        self.tag, self.dropped, self.in_article, self.parts, self.first = tag, is_dropped, in_article, [], first
+    def __init__(self, tag: str, label: str, is_dropped: bool, in_article: bool, first: int, said: int, linked: int):
+        self.tag, self.label, self.dropped, self.in_article, self.first, self.said, self.linked = tag, label, is_dropped, in_article, first, said, linked
+        self.parts, self.shells = [], []
 
 
-def read_page(page: str | None) -> tuple[list[tuple[str, bool, bool]], list[tuple[int, str, bool, int, int]]]:
+def label_of(attributes: str) -> str:
+    """Class, id and role of an element, without numbers."""
+    found = [(name.lower(), "".join(values)) for name, *values in ATTRIBUTE.findall(attributes)] if attributes else []
+    return " ".join(f"{name}={re.sub('[0-9]+', '', value)}" for name, value in sorted(found))
+
+
+def short_hash(parts: list[str]) -> int:
+    return int.from_bytes(hashlib.blake2b("\x00".join(parts).encode("utf-8", "surrogatepass"), digest_size=8).digest(), "little", signed=True)
+
+
+def read_page(page: str | None, names: bool = True) -> tuple[list[tuple[str, bool, bool]], list[tuple[int, int | None, str, bool, int, int]]]:
     """The text blocks of a page in order (text, inside an element that the markup drops, inside an article), and for each closed
-    block element its hash, tag, whether it lies in an article, and the range of blocks that it holds."""
+    block element its hash, its shell's (None unless most of its text is links and it lies in no article), tag, whether it lies in an article, and
+    the range of blocks that it holds. Without names, elements are not judged by what they are called."""
     blocks: list[tuple[str, bool, bool]] = []
-    elements: list[tuple[int, str, bool, int, int]] = []
-    stack = [Element("", False, False, 0)]
+    elements: list[tuple[int, int | None, str, bool, int, int]] = []
+    stack = [Element("", "", False, False, 0, 0, 0)]
+    places: dict[str, list[int]] = {}  # where in the stack the open elements of each tag are
     run: list[str] = []
+    said = linked = 0
+    in_link = False
 
     def flush() -> None:
         if run:
@@ -95,14 +122,29 @@ def read_page(page: str | None) -> tuple[list[tuple[str, bool, bool]], list[tupl
     def close(depth: int) -> None:
         while len(stack) > depth:
             e = stack.pop()
-            digest = hashlib.blake2b("\x00".join([e.tag, *e.parts]).encode("utf-8", "surrogatepass"), digest_size=8).digest()
-            stack[-1].parts.append(digest.hex())
+            places[e.tag].pop()
+            digest = short_hash([e.tag, *e.parts])
+            shell = short_hash(["shell", e.tag, e.label, *e.shells])
+            stack[-1].parts.append(f"{digest:x}")
+            if stack[-1].shells[-1:] != [f"{shell:x}"]:
+                stack[-1].shells.append(f"{shell:x}")
             if len(blocks) > e.first and e.tag in BLOCKS:
-                elements.append((int.from_bytes(digest, "little", signed=True), e.tag, e.in_article, e.first, len(blocks)))
+                links = not e.in_article and 2 * (linked - e.linked) >= said - e.said > 0
+                elements.append((digest, shell if links else None, e.tag, e.in_article, e.first, len(blocks)))
+
+    def last(tags) -> int:
+        return max((places[t][-1] for t in tags if places.get(t)), default=0)
+
+    def hear(text: str) -> None:
+        nonlocal said, linked
+        run.append(text)
+        n = len(text.strip())
+        said += n
+        linked += n * in_link
 
     page, at = page or "", 0
     while m := TOKEN.search(page, at):
-        run.append(page[at : m.start()])
+        hear(page[at : m.start()])
         at = m.end()
         slash, tag, attributes = (m[1], m[2], m[3]) if m[2] else (m[4], m[5], m[6])
         if not tag:
@@ -112,25 +154,20 @@ def read_page(page: str | None) -> tuple[list[tuple[str, bool, bool]], list[tupl
         if tag == "br":
             run.append(" ")
             continue
+        if tag == "a":
+            in_link = not slash
         if block:
             flush()
         if slash:
-            depth = next((i for i in range(len(stack) - 1, 0, -1) if stack[i].tag == tag), 0)
-            if depth:
+            if depth := last((tag,)):
                 close(depth)
             continue
-        if tag in CLOSES_PARAGRAPH:
-            depth = next((i for i in range(len(stack) - 1, 0, -1) if stack[i].tag == "p"), 0)
-            if depth:
-                close(depth)
+        if tag in CLOSES_PARAGRAPH and (depth := last(("p",))):
+            close(depth)
         if tag in CLOSED_BY_OWN_KIND:
-            fence = CLOSED_BY_OWN_KIND[tag]
-            for i in range(len(stack) - 1, 0, -1):
-                if stack[i].tag in fence:
-                    break
-                if stack[i].tag == tag or {stack[i].tag, tag} in ({"dd", "dt"}, {"td", "th"}):
-                    close(i)
-                    break
+            own = last(("dd", "dt") if tag in ("dd", "dt") else ("td", "th") if tag in ("td", "th") else (tag,))
+            if own > last(CLOSED_BY_OWN_KIND[tag]):
+                close(own)
         if tag in VOID or attributes.endswith("/"):
             continue
         if tag in RAW:
@@ -141,8 +178,10 @@ def read_page(page: str | None) -> tuple[list[tuple[str, bool, bool]], list[tupl
             continue  # inline elements neither split text nor count as subtrees of their own
         above = stack[-1]
         in_article = above.in_article or tag in ("article", "main")
-        stack.append(Element(tag, above.dropped or dropped(tag, attributes, in_article), in_article, len(blocks)))
-    run.append(page[at:])
+        gone = above.dropped or (tag in DROPPED and tag not in BLOCKS if not names else dropped(tag, attributes, in_article))
+        places.setdefault(tag, []).append(len(stack))
+        stack.append(Element(tag, label_of(attributes), gone, in_article, len(blocks), said, linked))
+    hear(page[at:])
     flush()
     close(1)
     return blocks, elements
@@ -175,12 +214,12 @@ class Either:
         return any(x in s for s in self.sets)
 
 
-def main_text(page: str | None, recurring: frozenset[int] | set[int] | Either) -> str:
+def main_text(page: str | None, recurring: frozenset[int] | set[int] | Either, names: bool = True) -> str:
     """The article's blocks, without the recurring subtrees; all other blocks where a page marks no article."""
-    blocks, elements = read_page(page)
+    blocks, elements = read_page(page, names)
     gone = set()
-    for digest, tag, in_article, first, end in elements:
-        if digest in recurring and not (in_article and tag in TEXT_BLOCKS) and tag not in ("article", "main", "body", "html"):
+    for digest, shell, tag, in_article, first, end in elements:
+        if (digest in recurring or shell is not None and shell in recurring) and not (in_article and tag in TEXT_BLOCKS) and tag not in ("article", "main", "body", "html"):
             gone.update(range(first, end))
     kept = [(text, inside) for i, (text, is_dropped, inside) in enumerate(blocks) if not is_dropped and i not in gone]
     if any(inside for _, inside in kept):
@@ -189,38 +228,41 @@ def main_text(page: str | None, recurring: frozenset[int] | set[int] | Either) -
 
 
 def subtree_hashes(pages: DataFrame) -> DataFrame:
-    """place, site, page (hash of its html), subtree: the distinct subtree hashes of every page for its host and its section; place is the
-    narrower of the two."""
+    """place, site, page (hash of its html), subtree, shell (whether it is one): the distinct hashes of every page for its host and its section; place
+    is the narrower of the two."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            places, sites, ids, hashes = [], [], [], []
+            places, sites, ids, hashes, shells = [], [], [], [], []
             for url, body, page in zip(texts(batch, "url"), batch.column("page").to_pylist(), texts(batch, "html")):
-                own, held = {e[0] for e in read_page(page)[1]}, sites_of(url)
+                elements = read_page(page)[1]
+                whole, outer = {e[0] for e in elements}, {e[1] for e in elements if e[1] is not None}
+                held = sites_of(url)
                 for site in held:
-                    places += [held[-1]] * len(own)
-                    sites += [site] * len(own)
-                    ids += [body] * len(own)
-                    hashes += own
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(places, pa.string()), pa.array(sites, pa.string()), pa.array(ids, pa.int64()), pa.array(hashes, pa.int64())], ["place", "site", "page", "subtree"]
-            )
-
-    rows = pages.select("url", "html", F.xxhash64("html").alias("page")).mapInArrow(run, "place string, site string, page long, subtree long")
+                    places += [held[-1]] * (len(whole) + len(outer))
+                    sites += [site] * (len(whole) + len(outer))
+                    ids += [body] * (len(whole) + len(outer))
+                    hashes += [*whole, *outer]
+                    shells += [False] * len(whole) + [True] * len(outer)
+            made = [pa.array(places, pa.string()), pa.array(sites, pa.string()), pa.array(ids, pa.int64()), pa.array(hashes, pa.int64()), pa.array(shells, pa.bool_())]
+            yield pa.RecordBatch.from_arrays(made, ["place", "site", "page", "subtree", "shell"])
+
+    rows = pages.select("url", "html", F.xxhash64("html").alias("page")).mapInArrow(run, "place string, site string, page long, subtree long, shell boolean")
     return rows.withColumns({"place": F.xxhash64("place"), "site": F.xxhash64("site")})
 
 
-def site_templates(pages: DataFrame, min_pages: int = MIN_PAGES, min_share: float = MIN_SHARE) -> DataFrame:
-    """site, subtree: what stands on at least min_pages different pages of a host or section and on min_share of them."""
-    hashes = subtree_hashes(pages).select("site", "page", "subtree").distinct()
-    counted = hashes.groupBy("site", "subtree").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= min_pages)
+def site_templates(pages: DataFrame, min_pages: int = MIN_PAGES, min_share: float = MIN_SHARE, shell_share: float = SHELL_SHARE) -> DataFrame:
+    """site, subtree: what stands on at least min_pages different pages of a host or section and on min_share of them (shells: shell_share)."""
+    hashes = subtree_hashes(pages).select("site", "page", "subtree", "shell").distinct()
+    counted = hashes.groupBy("site", "subtree", "shell").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= min_pages)
     # The subtree that holds the whole page is one for each different page: its count is the site's number of pages.
     total = hashes.select("site", "page").distinct().groupBy("site").agg(F.count(F.lit(1)).alias("pages"))
-    return counted.join(total, "site").where(F.col("n") >= min_share * F.col("pages")).select("site", "subtree")
+    share = F.when(F.col("shell"), shell_share).otherwise(min_share)
+    return counted.join(total, "site").where(F.col("n") >= share * F.col("pages")).select("site", "subtree").distinct()
 
 
-def extract(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", max_broadcast: int = MAX_BROADCAST) -> DataFrame:
-    """page_id, url, text of every page."""
+def extract(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", max_broadcast: int = MAX_BROADCAST, names: bool = True) -> DataFrame:
+    """page_id, url, text of every page. Without names, only counted subtrees and elements that HTML never shows are taken out."""
     kind = pages.schema[id_col].dataType.simpleString()
     chosen = columns(pages, page_id=id_col, url=url_col, html=html_col)
     templates = site_templates(chosen)
@@ -241,17 +283,17 @@ def extract(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", htm
 
         def direct(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for b in batches:
-                said = [main_text(p, Either(*[shared.value.get(x, frozenset()) for x in held])) for held, p in zip(b.column("sites").to_pylist(), texts(b, "html"))]
+                said = [main_text(p, Either(*[shared.value.get(x, frozenset()) for x in held]), names) for held, p in zip(b.column("sites").to_pylist(), texts(b, "html"))]
                 yield pa.RecordBatch.from_arrays([b.column("page_id"), b.column("url"), pa.array(said, pa.string())], out)
 
         return named.mapInArrow(direct, schema)
 
     # Too many to broadcast: every page gets the recurring ones among its own hashes, by a join on site and hash.
-    own = subtree_hashes(chosen).distinct().join(templates, ["site", "subtree"]).groupBy("place", "page").agg(F.collect_set("subtree").alias("recurring"))
+    own = subtree_hashes(chosen).select("place", "site", "page", "subtree").distinct().join(templates, ["site", "subtree"]).groupBy("place", "page").agg(F.collect_set("subtree").alias("recurring"))
 
     def joined(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            said = [main_text(p, set(r or ())) for r, p in zip(b.column("recurring").to_pylist(), texts(b, "html"))]
+            said = [main_text(p, set(r or ()), names) for r, p in zip(b.column("recurring").to_pylist(), texts(b, "html"))]
             yield pa.RecordBatch.from_arrays([b.column("page_id"), b.column("url"), pa.array(said, pa.string())], out)
 
     placed = named.withColumns({"page": F.xxhash64("html"), "place": F.element_at("sites", -1)})
