@@ -50,10 +50,12 @@ def mix(x: np.ndarray) -> np.ndarray:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share; where the session names none (tests on one machine), one is set."""
+    """The folder that driver and executors share. Where the session names none, one is set if all run on one machine; a cluster has to name it."""
     name = spark.conf.get("spark.checkpoint.dir", None)
     if not name:
         kept = spark.sparkContext._jsc.sc().getCheckpointDir()
+        if not kept.isDefined() and not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that driver and executors share")
         name = kept.get() if kept.isDefined() else f"/tmp/checkpoints/{uuid.uuid4().hex}"
         if not kept.isDefined():
             spark.sparkContext.setCheckpointDir(name)

@@ -6,7 +6,8 @@ wording stands there exactly, word by word. Beside the templates, base phrases a
 consecutively. Everything happens inside a row, so there is no shuffle, and nothing but the compiled templates travels.
 
 Cases: null and empty texts have no words, no places and a score of 0; repeated rows are scanned each; an empty table
-gives an empty result; other columns are ignored.
+gives an empty result; other columns are ignored. Very long texts are read whole; where a template accepts several wordings from
+one place, the longest counts.
 """
 
 from __future__ import annotations
@@ -46,6 +47,43 @@ TEMPLATES = [
         " the following conditions are met",
     ),
     ("copyright-notice", "Copyright <<optional>>(c)<<end>> <<any 1..6>> All rights reserved"),
+    (
+        "mit-text",
+        "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the Software), to deal"
+        " in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies"
+        " of the Software, and to permit persons to whom the Software is furnished to do so, subject to the following conditions: The above copyright notice and this"
+        " permission notice <<optional>>(including the next paragraph)<<end>> shall be included in all copies or substantial portions of the Software. THE SOFTWARE IS"
+        " PROVIDED AS IS, WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY, FITNESS FOR A PARTICULAR"
+        " PURPOSE AND NONINFRINGEMENT. IN NO EVENT SHALL THE <<any 1..6>> BE LIABLE FOR ANY CLAIM, DAMAGES OR OTHER LIABILITY, WHETHER IN AN ACTION OF CONTRACT, TORT OR"
+        " OTHERWISE, ARISING FROM, OUT OF OR IN CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER DEALINGS IN THE SOFTWARE",
+    ),
+    (
+        "bsd-text",
+        "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met:"
+        " <<optional>>1<<end>> Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer."
+        " <<optional>>2<<end>> Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the"
+        " documentation and/or other materials provided with the distribution. <<optional>><<optional>>3<<end>> Neither the name of <<any 1..12>> may be used to endorse or"
+        " promote products derived from this software without specific prior written permission.<<end>> THIS SOFTWARE IS PROVIDED BY <<any 1..8>> AS IS AND ANY EXPRESS OR"
+        " IMPLIED WARRANTIES, INCLUDING, BUT NOT LIMITED TO, THE IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS FOR A PARTICULAR PURPOSE ARE DISCLAIMED. IN NO EVENT"
+        " SHALL <<any 1..8>> BE LIABLE FOR ANY DIRECT, INDIRECT, INCIDENTAL, SPECIAL, EXEMPLARY, OR CONSEQUENTIAL DAMAGES (INCLUDING, BUT NOT LIMITED TO, PROCUREMENT OF"
+        " SUBSTITUTE GOODS OR SERVICES; LOSS OF USE, DATA, OR PROFITS; OR BUSINESS INTERRUPTION) HOWEVER CAUSED AND ON ANY THEORY OF LIABILITY, WHETHER IN CONTRACT, STRICT"
+        " LIABILITY, OR TORT (INCLUDING NEGLIGENCE OR OTHERWISE) ARISING IN ANY WAY OUT OF THE USE OF THIS SOFTWARE, EVEN IF ADVISED OF THE POSSIBILITY OF SUCH DAMAGE",
+    ),
+    (
+        "isc-text",
+        "Permission to use, copy, modify, and<<optional>>/or<<end>> distribute this software for any purpose with or without fee is hereby granted, provided that the above"
+        " copyright notice and this permission notice appear in all copies. THE SOFTWARE IS PROVIDED AS IS AND <<any 1..8>> ALL WARRANTIES WITH REGARD TO THIS"
+        " SOFTWARE INCLUDING ALL IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS. IN NO EVENT SHALL <<any 1..8>> BE LIABLE FOR ANY SPECIAL, DIRECT, INDIRECT, OR"
+        " CONSEQUENTIAL DAMAGES OR ANY DAMAGES WHATSOEVER RESULTING FROM LOSS OF USE, DATA OR PROFITS, WHETHER IN AN ACTION OF CONTRACT, NEGLIGENCE OR OTHER TORTIOUS"
+        " ACTION, ARISING OUT OF OR IN CONNECTION WITH THE USE OR PERFORMANCE OF THIS SOFTWARE",
+    ),
+    (
+        "apache-2.0-notice",
+        "Licensed under the Apache License, Version 2.0 (the License); you may not use this <<any 1..2>> except in compliance with the License. You may obtain a copy of"
+        " the License at <<optional>>http<<end>><<optional>>https<<end>> www.apache.org/licenses/LICENSE-2.0<<optional>>.txt<<end>> Unless required by applicable law or agreed"
+        " to in writing, software distributed under the License is distributed on an AS IS BASIS, WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied."
+        " See the License for the specific language governing permissions and limitations under the License",
+    ),
 ]
 
 
@@ -148,7 +186,7 @@ def license_scan(
     templates: list[tuple[str, str]] | None = None,
     phrases: dict[str, str] | None = None,
 ) -> DataFrame:
-    """doc_id, n_words, base (array of label, start, end), found (array of label, start, end, mandatory) and score for every row;
+    """id_col, n_words, base (array of label, start, end), found (array of label, start, end, mandatory) and score for every row;
     words count from 0 and end is exclusive.
 
     score: 0 without any place; otherwise m / (m + 2), m the mandatory words of the longest accepted wording, so that
@@ -180,13 +218,13 @@ def license_scan(
                 founds.append(found)
                 scores.append(longest / (longest + 2))
             yield pa.RecordBatch.from_arrays(
-                [batch.column("doc_id"), pa.array(counts, pa.int64()), pa.array(bases, base_type), pa.array(founds, found_type), pa.array(scores, pa.float64())],
-                ["doc_id", "n_words", "base", "found", "score"],
+                [batch.column("id"), pa.array(counts, pa.int64()), pa.array(bases, base_type), pa.array(founds, found_type), pa.array(scores, pa.float64())],
+                ["id", "n_words", "base", "found", "score"],
             )
 
     kind = docs.schema[id_col].dataType.simpleString()
     place = "label: string, start: long, end: long"
-    return columns(docs, doc_id=id_col, text=text_col).mapInArrow(
+    return columns(docs, id=id_col, text=text_col).mapInArrow(
         scan,
-        f"doc_id {kind}, n_words long, base array<struct<{place}>>, found array<struct<{place}, mandatory: long>>, score double",
-    )
+        f"id {kind}, n_words long, base array<struct<{place}>>, found array<struct<{place}, mandatory: long>>, score double",
+    ).withColumnRenamed("id", id_col)
