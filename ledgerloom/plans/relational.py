@@ -147,10 +147,14 @@ def bots(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.withColumns({"lifespan": F.datediff("last_seen", "first_seen") + 1, "cohort": half})
 
 
-@register(f"WITH {SQL_BOTS} SELECT count(*) AS entities, round(count(*) FILTER (days = 1) * 1.0 / count(*), 8) AS single_day_share, round(sum(volume) FILTER (days >= 5) / sum(volume), 8) AS persistent_volume_share, round(avg(days * 1.0 / lifespan), 8) AS mean_intensity FROM f")
-def x19_longevity(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Share of entities active on one day, share of volume of those active on five days or more, and mean activity over lifespan."""
-    one, many = F.col("days") == 1, F.col("days") >= 5
+#: Days of activity from which an entity is persistent, and senders from which a taker looks like a router.
+PERSISTENT_DAYS, ROUTER_SENDERS = 30, 1000
+
+
+@register(f"WITH {SQL_BOTS} SELECT count(*) AS entities, round(count(*) FILTER (days = 1) * 1.0 / count(*), 8) AS single_day_share, round(sum(volume) FILTER (days >= {PERSISTENT_DAYS}) / sum(volume), 8) AS persistent_volume_share, round(avg(days * 1.0 / lifespan), 8) AS mean_intensity FROM f")
+def x19_longevity(spark: SparkSession, sf_dir: str, persistent_days: int = PERSISTENT_DAYS) -> DataFrame:
+    """Share of entities active on one day, share of volume of those active on thirty days or more (NULL if there are none), and mean activity over lifespan."""
+    one, many = F.col("days") == 1, F.col("days") >= persistent_days
     return bots(spark, sf_dir).agg(
         F.count(F.lit(1)).alias("entities"), F.round(F.count_if(one) / F.count(F.lit(1)), 8).alias("single_day_share"), F.round(F.sum(F.when(many, F.col("volume"))) / F.sum("volume"), 8).alias("persistent_volume_share"),
         F.round(F.avg(F.col("days") / F.col("lifespan")), 8).alias("mean_intensity"),
@@ -183,12 +187,12 @@ def x22_cohorts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @register(
     f"""WITH {SQL_RELATIONS}, t AS (SELECT taker, count(*) AS n, count(DISTINCT tx_from) AS s FROM victims WHERE amount_usd > 0 GROUP BY 1), r AS (SELECT *, row_number() OVER (ORDER BY n DESC, taker) AS i FROM t)
-    SELECT CAST(sum(n) FILTER (i <= 30) AS BIGINT) AS top30_trades, round(sum(n) FILTER (i <= 30) * 1.0 / sum(n), 8) AS top30_share, count(*) FILTER (i <= 30 AND s >= 100) AS many_senders, round(sum(s) FILTER (i <= 30) * 100.0 / sum(n) FILTER (i <= 30), 6) AS senders_per_100_trades FROM r"""
+    SELECT CAST(sum(n) FILTER (i <= 30) AS BIGINT) AS top30_trades, round(sum(n) FILTER (i <= 30) * 1.0 / sum(n), 8) AS top30_share, count(*) FILTER (i <= 30 AND s >= {ROUTER_SENDERS}) AS many_senders, round(sum(s) FILTER (i <= 30) * 100.0 / sum(n) FILTER (i <= 30), 6) AS senders_per_100_trades FROM r"""
 )
-def x100_routers(spark: SparkSession, sf_dir: str) -> DataFrame:
+def x100_routers(spark: SparkSession, sf_dir: str, senders: int = ROUTER_SENDERS) -> DataFrame:
     """How far the thirty leading takers look like routers: their share, and how many senders stand behind them."""
     takers = priced(relation(spark, sf_dir, "victims", ["taker", "tx_from", "amount_usd"])).groupBy("taker").agg(F.count(F.lit(1)).alias("n"), F.count_distinct("tx_from").alias("s"))
-    top = takers.orderBy(F.desc("n"), "taker").limit(30).agg(F.sum("n").alias("top30_trades"), F.sum("s").alias("s"), F.count_if(F.col("s") >= 100).alias("many_senders"))
+    top = takers.orderBy(F.desc("n"), "taker").limit(30).agg(F.sum("n").alias("top30_trades"), F.sum("s").alias("s"), F.count_if(F.col("s") >= senders).alias("many_senders"))
     whole = takers.agg(F.sum("n").alias("all"))
     return top.crossJoin(F.broadcast(whole)).select("top30_trades", F.round(F.col("top30_trades") / F.col("all"), 8).alias("top30_share"), "many_senders", F.round(F.col("s") * 100 / F.col("top30_trades"), 6).alias("senders_per_100_trades"))
 

@@ -22,12 +22,14 @@ def session(cores: str = "*", shuffle_partitions: int = 8, memory: str = "8g") -
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share; one is set only where the session names none."""
+    """The folder that driver and executors share. Where the session names none, one is set if all run on one machine; a cluster has to name it."""
     name = spark.conf.get("spark.checkpoint.dir", None)
     if name:
         return name
     kept = spark.sparkContext._jsc.sc().getCheckpointDir()
     if not kept.isDefined():
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that driver and executors share")
         spark.sparkContext.setCheckpointDir(f"/tmp/checkpoints/{uuid.uuid4().hex}")
         kept = spark.sparkContext._jsc.sc().getCheckpointDir()
     return kept.get()

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import os
+import uuid
 
 from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -63,14 +64,38 @@ def read_optional(spark: SparkSession, path: str, schema: T.StructType, aliases:
 
 
 def write_extract(df: DataFrame, path: str) -> None:
-    """A folder of CSV parts with headers; it appears as a whole or not at all, for the committer renames at the end."""
-    df.write.mode("overwrite").option("header", True).csv(path)
-
-
-def inventory(spark: SparkSession, folder: str, pattern: str = "*.csv") -> DataFrame:
-    """path, bytes, sha256, header of every file below a folder. Files are extracts: each is read whole by one task."""
+    """A folder of CSV parts with headers. It is written beside the path and takes its place when it is whole; until then the old one stays."""
+    spark, beside = df.sparkSession, f"{path.rstrip('/')}.{uuid.uuid4().hex}"
+    df.write.option("header", True).csv(beside)
+    jvm = spark._jvm.org.apache.hadoop.fs
+    new, target, old = (jvm.Path(x) for x in (beside, path, f"{beside}.old"))
+    fs = new.getFileSystem(spark._jsc.hadoopConfiguration())
+    held = fs.exists(target)
+    if held and not fs.rename(target, old):
+        fs.delete(new, True)
+        raise OSError(f"{path} can't be moved aside")
+    if not fs.rename(new, target):
+        if held:
+            fs.rename(old, target)
+        raise OSError(f"{path} can't be replaced")
+    if held:
+        fs.delete(old, True)
+
+
+def columns_of(spark: SparkSession, path: str) -> list[str]:
+    """The column names of an extract; its rows aren't read."""
+    return spark.read.csv(path, header=True, inferSchema=False).columns
+
+
+def inventory(spark: SparkSession, folder: str, pattern: str = "*.csv", roles: dict[str, str] | None = None) -> DataFrame:
+    """path, bytes, sha256, header, n_rows and role of every file below a folder (role: of the first key of roles that the name contains, else
+    'other'). Files are extracts: each is read whole by one task."""
     files = spark.read.format("binaryFile").option("pathGlobFilter", pattern).option("recursiveFileLookup", True).load(folder)
-    return files.select("path", F.col("length").alias("bytes"), F.sha2("content", 256).alias("sha256"), F.substring_index(F.decode("content", "UTF-8"), "\n", 1).alias("header"))
+    text, role = F.decode("content", "UTF-8"), F.lit("other")
+    for key, label in reversed((roles or {}).items()):
+        role = F.when(F.substring_index("path", "/", -1).contains(key), label).otherwise(role)
+    rows = F.greatest(F.lit(0), F.size(F.filter(F.split(text, "\n"), lambda x: F.trim(x) != "")) - 1)
+    return files.select("path", F.col("length").alias("bytes"), F.sha2("content", 256).alias("sha256"), F.substring_index(text, "\n", 1).alias("header"), rows.alias("n_rows"), role.alias("role"))
 
 
 def contained(root: str, path: str) -> str:
