@@ -1,3 +1,3 @@
 """Modules that register queries."""
 
-from .plans import audits, concentration, incidence, models, named, relational, timeseries  # noqa: F401
+from .plans import audits, concentration, incidence, models, named, relational, robustness, timeseries  # noqa: F401

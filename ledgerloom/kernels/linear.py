@@ -193,3 +193,16 @@ def wald(fit: Fit, contrast: np.ndarray) -> tuple[float, int]:
     value = c @ fit.beta
     q = int(np.linalg.matrix_rank(c))
     return float(value @ np.linalg.pinv(c @ fit.covariance @ c.T) @ value) / q, q
+
+
+def local_logit(x: np.ndarray, y: np.ndarray, n: np.ndarray, tolerance: float = 1e-8, most: int = 60) -> tuple[np.ndarray, np.ndarray, bool]:
+    """Coefficients, inverse information and convergence of a grouped logit whose cells fit in one task."""
+    beta = np.zeros(x.shape[1])
+    for _ in range(most):
+        p = 1 / (1 + np.exp(-np.clip(x @ beta, -35, 35)))
+        inverse = np.linalg.pinv(x.T @ (x * (n * p * (1 - p))[:, None]))
+        step = inverse @ (x.T @ (y - n * p))
+        if np.abs(step).max() < tolerance:
+            return beta, inverse, True
+        beta = beta + step
+    return beta, inverse, False
