@@ -19,17 +19,17 @@ proportional to their length; ties don't arise.
 
 from __future__ import annotations
 
-import hashlib
 import html
 import re
 from collections.abc import Iterator
 from urllib.parse import urlsplit
 
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import columns, texts
+from .common import columns, stored, texts
 
 #: Element names as HTML defines them.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
@@ -82,21 +82,25 @@ def dropped(tag: str, attributes: str, in_article: bool) -> bool:
 
 
 class Element:
-    __slots__ = ("tag", "label", "dropped", "in_article", "parts", "shells", "first", "said", "linked")
+    __slots__ = ("tag", "attributes", "dropped", "in_article", "parts", "shells", "first", "said", "linked")
 
-    def __init__(self, tag: str, label: str, is_dropped: bool, in_article: bool, first: int, said: int, linked: int):
-        self.tag, self.label, self.dropped, self.in_article, self.first, self.said, self.linked = tag, label, is_dropped, in_article, first, said, linked
+    def __init__(self, tag: str, attributes: str, is_dropped: bool, in_article: bool, first: int, said: int, linked: int):
+        self.tag, self.attributes, self.dropped, self.in_article, self.first, self.said, self.linked = tag, attributes, is_dropped, in_article, first, said, linked
         self.parts, self.shells = [], []
 
 
 def label_of(attributes: str) -> str:
     """Class, id and role of an element, without numbers."""
-    found = [(name.lower(), "".join(values)) for name, *values in ATTRIBUTE.findall(attributes)] if attributes else []
+    if not attributes:
+        return ""
+    found = [(name.lower(), "".join(values)) for name, *values in ATTRIBUTE.findall(attributes)]
     return " ".join(f"{name}={re.sub('[0-9]+', '', value)}" for name, value in sorted(found))
 
 
-def short_hash(parts: list[str]) -> int:
-    return int.from_bytes(hashlib.blake2b("\x00".join(parts).encode("utf-8", "surrogatepass"), digest_size=8).digest(), "little", signed=True)
+def short_hash(parts: list[str], shell: int) -> int:
+    """A signed 64-bit hash whose last bit says whether it is a shell's."""
+    h = xxhash.xxh3_64_intdigest("\x00".join(parts).encode("utf-8", "surrogatepass")) & ~1 | shell
+    return h - (1 << 64) if h >> 63 else h
 
 
 def read_page(page: str | None, names: bool = True) -> tuple[list[tuple[str, bool, bool]], list[tuple[int, int | None, str, bool, int, int]]]:
@@ -123,11 +127,13 @@ def read_page(page: str | None, names: bool = True) -> tuple[list[tuple[str, boo
         while len(stack) > depth:
             e = stack.pop()
             places[e.tag].pop()
-            digest = short_hash([e.tag, *e.parts])
-            shell = short_hash(["shell", e.tag, e.label, *e.shells])
+            digest = short_hash([e.tag, *e.parts], 0)
             stack[-1].parts.append(f"{digest:x}")
-            if stack[-1].shells[-1:] != [f"{shell:x}"]:
-                stack[-1].shells.append(f"{shell:x}")
+            shell = None
+            if not e.in_article:
+                shell = short_hash([e.tag, label_of(e.attributes), *e.shells], 1)
+                if stack[-1].shells[-1:] != [f"{shell:x}"]:
+                    stack[-1].shells.append(f"{shell:x}")
             if len(blocks) > e.first and e.tag in BLOCKS:
                 links = not e.in_article and 2 * (linked - e.linked) >= said - e.said > 0
                 elements.append((digest, shell if links else None, e.tag, e.in_article, e.first, len(blocks)))
@@ -180,7 +186,7 @@ def read_page(page: str | None, names: bool = True) -> tuple[list[tuple[str, boo
         in_article = above.in_article or tag in ("article", "main")
         gone = above.dropped or (tag in DROPPED and tag not in BLOCKS if not names else dropped(tag, attributes, in_article))
         places.setdefault(tag, []).append(len(stack))
-        stack.append(Element(tag, label_of(attributes), gone, in_article, len(blocks), said, linked))
+        stack.append(Element(tag, attributes, gone, in_article, len(blocks), said, linked))
     hear(page[at:])
     flush()
     close(1)
@@ -228,37 +234,42 @@ def main_text(page: str | None, recurring: frozenset[int] | set[int] | Either, n
 
 
 def subtree_hashes(pages: DataFrame) -> DataFrame:
-    """place, site, page (hash of its html), subtree, shell (whether it is one): the distinct hashes of every page for its host and its section; place
+    """place, site, page (hash of its html), subtree: the distinct hashes, of subtrees and of shells, of every page for its host and its section; place
     is the narrower of the two."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            places, sites, ids, hashes, shells = [], [], [], [], []
+            places, sites, ids, hashes = [], [], [], []
             for url, body, page in zip(texts(batch, "url"), batch.column("page").to_pylist(), texts(batch, "html")):
-                elements = read_page(page)[1]
-                whole, outer = {e[0] for e in elements}, {e[1] for e in elements if e[1] is not None}
-                held = sites_of(url)
+                own, held = {x for e in read_page(page)[1] for x in e[:2]} - {None}, sites_of(url)
                 for site in held:
-                    places += [held[-1]] * (len(whole) + len(outer))
-                    sites += [site] * (len(whole) + len(outer))
-                    ids += [body] * (len(whole) + len(outer))
-                    hashes += [*whole, *outer]
-                    shells += [False] * len(whole) + [True] * len(outer)
-            made = [pa.array(places, pa.string()), pa.array(sites, pa.string()), pa.array(ids, pa.int64()), pa.array(hashes, pa.int64()), pa.array(shells, pa.bool_())]
-            yield pa.RecordBatch.from_arrays(made, ["place", "site", "page", "subtree", "shell"])
-
-    rows = pages.select("url", "html", F.xxhash64("html").alias("page")).mapInArrow(run, "place string, site string, page long, subtree long, shell boolean")
+                    places += [held[-1]] * len(own)
+                    sites += [site] * len(own)
+                    ids += [body] * len(own)
+                    hashes += own
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(places, pa.string()), pa.array(sites, pa.string()), pa.array(ids, pa.int64()), pa.array(hashes, pa.int64())], ["place", "site", "page", "subtree"]
+            )
+
+    rows = pages.select("url", "html", F.xxhash64("html").alias("page")).mapInArrow(run, "place string, site string, page long, subtree long")
     return rows.withColumns({"place": F.xxhash64("place"), "site": F.xxhash64("site")})
 
 
 def site_templates(pages: DataFrame, min_pages: int = MIN_PAGES, min_share: float = MIN_SHARE, shell_share: float = SHELL_SHARE) -> DataFrame:
     """site, subtree: what stands on at least min_pages different pages of a host or section and on min_share of them (shells: shell_share)."""
-    hashes = subtree_hashes(pages).select("site", "page", "subtree", "shell").distinct()
-    counted = hashes.groupBy("site", "subtree", "shell").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= min_pages)
-    # The subtree that holds the whole page is one for each different page: its count is the site's number of pages.
-    total = hashes.select("site", "page").distinct().groupBy("site").agg(F.count(F.lit(1)).alias("pages"))
-    share = F.when(F.col("shell"), shell_share).otherwise(min_share)
-    return counted.join(total, "site").where(F.col("n") >= share * F.col("pages")).select("site", "subtree").distinct()
+    hashes = subtree_hashes(pages).select("site", "page", "subtree").distinct()
+    counted = stored(hashes.groupBy("site", "subtree").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= min_pages), "subtrees")
+    # Counted by the page's hash, of which there is one for each different page; only sites of enough pages matter.
+    pages_of = pages.select("url", F.xxhash64("html").alias("page")).distinct()
+
+    def sited(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            held = [(site, page) for url, page in zip(texts(b, "url"), b.column("page").to_pylist()) for site in sites_of(url)]
+            yield pa.RecordBatch.from_arrays([pa.array([x for x, _ in held], pa.string()), pa.array([x for _, x in held], pa.int64())], ["site", "page"])
+
+    total = pages_of.mapInArrow(sited, "site string, page long").select(F.xxhash64("site").alias("site"), "page").distinct().groupBy("site").agg(F.count(F.lit(1)).alias("pages"))
+    share = F.when(F.col("subtree").bitwiseAND(F.lit(1)) == 1, shell_share).otherwise(min_share)
+    return counted.join(stored(total.where(F.col("pages") >= min_pages), "site_pages"), "site").where(F.col("n") >= share * F.col("pages")).select("site", "subtree")
 
 
 def extract(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", max_broadcast: int = MAX_BROADCAST, names: bool = True) -> DataFrame:
@@ -289,7 +300,7 @@ def extract(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", htm
         return named.mapInArrow(direct, schema)
 
     # Too many to broadcast: every page gets the recurring ones among its own hashes, by a join on site and hash.
-    own = subtree_hashes(chosen).select("place", "site", "page", "subtree").distinct().join(templates, ["site", "subtree"]).groupBy("place", "page").agg(F.collect_set("subtree").alias("recurring"))
+    own = subtree_hashes(chosen).distinct().join(templates, ["site", "subtree"]).groupBy("place", "page").agg(F.collect_set("subtree").alias("recurring"))
 
     def joined(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
