@@ -63,7 +63,6 @@ def connected(edges: DataFrame, a: str = "a", b: str = "b", max_rounds: int = 10
         large = both.join(least, F.col("a") == F.col("k")).where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b").distinct()
         large = stored(large, "large_star")
         low = large.groupBy("a").agg(F.min("b").alias("m")).select(F.col("a").alias("k"), "m")
-        low = stored(low, "low")
         small = large.join(low, F.col("a") == F.col("k")).select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b")
         now = stored(small.unionByName(low.select(F.col("k").alias("a"), F.col("m").alias("b"))).distinct(), "small_star")
     raise RuntimeError(f"components are still joining after {max_rounds} rounds")
