@@ -1,3 +1,3 @@
 """Modules that register queries."""
 
-from .plans import audits, concentration, incidence, interrupted, models, named, relational, robustness, timeseries  # noqa: F401
+from .plans import audits, concentration, incidence, interrupted, models, named, protocols, relational, robustness, timeseries  # noqa: F401
