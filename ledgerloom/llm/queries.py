@@ -192,3 +192,29 @@ def op3_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     done = fuzzy_line_dedup(table(spark, sf_dir, "documents"))
     return done.select("doc_id", "n_lines", "n_blank", "n_kept", F.sha2(F.coalesce("text", F.lit("")).cast("binary"), 256).alias("kept_sha256"))
+
+
+@query
+def op11_graph_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The 10 nearest vectors found of every vector whose id is divisible by 100."""
+    from .graphsearch import build_index, nearest
+
+    vectors = table(spark, sf_dir, "embeddings")
+    found = nearest(build_index(vectors), vectors.where("vec_id % 100 = 0"))
+    return found.select("query_id", "rank", F.col("id").alias("vec_id"), "score")
+
+
+@query
+def op12_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every frequent word of the documents, its near words, and the more frequent one that it is a variant of."""
+    from .spelling import spelling_variants
+
+    return spelling_variants(table(spark, sf_dir, "documents"))
+
+
+@query
+def op13_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every conversation, harmed by a keyed draw: its faults, and the cheapest edits that repair its structure."""
+    from .conversations import damaged, repair
+
+    return repair(damaged(table(spark, sf_dir, "conversations")), present_col="present")
