@@ -27,3 +27,14 @@ def normal_two_sided(spark: SparkSession, z: float) -> float:
 
 def t_quantile(spark: SparkSession, p: float, df: float) -> float:
     return float(_distributions(spark).distribution.TDistribution(float(df)).inverseCumulativeProbability(float(p)))
+
+
+def with_holm(rows: list[list], at: int) -> None:
+    """Appends Holm's corrected p to every row, whose p stands at a place; a null p is no test and stays null."""
+    order = sorted((i for i, r in enumerate(rows) if r[at] is not None), key=lambda i: rows[i][at])
+    worst, corrected = 0.0, dict.fromkeys(range(len(rows)))
+    for turn, i in enumerate(order):
+        worst = max(worst, min(1.0, (len(order) - turn) * rows[i][at]))
+        corrected[i] = worst
+    for i, row in enumerate(rows):
+        row.append(corrected[i])

@@ -14,10 +14,9 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..kernels.series import counts, least_squares, restricted
-from ..kernels.tails import chi_square_tail, f_tail, normal_two_sided
+from ..kernels.tails import chi_square_tail, f_tail, normal_two_sided, with_holm
 from ..registry import register
 from .named import q1_daily_activity
-from .robustness import with_holm
 from .timeseries import EVENTS
 
 #: The events, the lags of the covariances (the middle one is that of all tests), and the 97.5 % point of the normal distribution.

@@ -10,15 +10,13 @@ from pyspark.sql import functions as F
 
 from ..functions.ranks import value_ranks
 from ..kernels.breaks import block_sup_f
-from ..kernels.linear import Design, Fit, grouped_logit, ols, poisson, summed, wald
+from ..kernels.linear import Fit, ols, poisson, wald
 from ..kernels.resample import POISSON, block_sums, block_tops, near_limit, turn_numbers, turned_correlations
-from ..kernels.tails import f_tail, normal_two_sided, t_quantile, t_two_sided
+from ..kernels.tails import f_tail, normal_two_sided, t_two_sided
 from ..registry import register
 from ..runtime import stored
 from ..sources.tables import LONGER, PRIMARY
 from .concentration import TOPS, mean_ranks, ranked, volumes
-from .incidence import ATTACKED, CANDIDATES, holm
-from .named import attack_panel
 from .timeseries import EVENTS, daily, splits
 
 SEED, REPLICATES, SUBSAMPLES, PERMUTATIONS, SERIES_REPLICATES, BLOCK = 42, 10_000, 2_000, 10_000, 999, 14
@@ -217,58 +215,6 @@ def x21_longevity_hc3(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, "hc3", fit, fit.rows - len(fit.names))
 
 
-#: Fixed values of the reference: bounds of a coefficient, an error and the condition number, and a fitted probability's least distance from 0 and 1.
-LARGE_BETA, LARGE_SE, LARGE_CONDITION, BOUNDARY = 15, 10, 1e10, 1e-6
-
-
-def stability_flags(cells: DataFrame, x: dict[str, Column], fit: Fit) -> str:
-    """What makes a grouped logit's estimates doubtful, as names joined by semicolons, or none."""
-    d = Design(cells, x)
-    matrix, beta = d.matrix, fit.beta
-
-    def near(frame) -> np.ndarray:
-        p = 1 / (1 + np.exp(-np.clip(matrix(frame) @ beta, -35, 35)))
-        return np.array([float(((p < BOUNDARY) | (p > 1 - BOUNDARY)).sum())])
-
-    none, every = F.sum(ATTACKED) == 0, F.sum(ATTACKED) == F.sum(CANDIDATES)
-    kinds = lambda *by: cells.groupBy(*by).agg(none.alias("none"), every.alias("every")).agg(F.count_if("none").alias("none"), F.count_if("every").alias("every")).first()
-    clusters, patterns = kinds("cluster"), kinds("cluster", "trade_size_bin")
-    found = {
-        "very_large_coefficient": np.abs(fit.beta).max() > LARGE_BETA,
-        "very_large_standard_error": fit.se().max() > LARGE_SE,
-        "near_boundary_fitted_probabilities": summed(d.rows, near)[0] > 0,
-        "all_zero_outcome_protocol_clusters_present": clusters["none"] > 0,
-        "all_one_outcome_protocol_clusters_present": clusters["every"] > 0,
-        "all_zero_protocol_size_patterns_present": patterns["none"] > 0,
-        "all_one_protocol_size_patterns_present": patterns["every"] > 0,
-        "high_raw_design_condition_number_screen": d.condition() > LARGE_CONDITION,
-    }
-    return ";".join(name for name, holds in found.items() if holds) or "none"
-
-
-@register()
-def x64_x69_attack_logit(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Grouped-binomial logit of attacks on size bin, month and project with version, clustered by project and version: t-tests, and for the bins
-    odds ratios with 95 percent intervals against the smallest, Holm's correction and the joint test; every row has the fit's stability
-    flags. Effects whose level never occurs are left out."""
-    cells = attack_panel(spark, sf_dir).withColumn("cluster", F.concat_ws("::", "project", "version")).cache()
-    levels = lambda c: sorted(r[0] for r in cells.select(c).distinct().collect())
-    x = {"const": F.lit(1.0)}
-    for name, column in {"bin": "trade_size_bin", "month": "month", "project": "cluster"}.items():
-        x |= {f"{name}[{v}]": (F.col(column) == F.lit(v)).cast("double") for v in levels(column)[1:]}
-    fit = grouped_logit(cells, ATTACKED, CANDIDATES, x, "cluster")
-    flags = stability_flags(cells, x, fit)
-    cells.unpersist()
-    rows = table(spark, "logit", fit, fit.clusters - 1)
-    c = np.array([[float(i == j) for j in range(len(fit.names))] for i, n in enumerate(fit.names) if n.startswith("bin[")])
-    f, q = wald(fit, c)
-    joint = spark.createDataFrame([("logit", "joint bins", None, None, f, f_tail(spark, f, q, fit.clusters - 1), fit.rows, fit.clusters, fit.converged)], rows.schema)
-    whole, is_bin, reach = rows.unionAll(joint), F.col("term").startswith("bin["), t_quantile(spark, 0.975, fit.clusters - 1) * F.col("se")
-    corrected = holm(rows.where(is_bin), "p", "term").select("term", "p_holm")
-    ratios = {"odds_ratio": F.col("estimate"), "odds_ratio_low": F.col("estimate") - reach, "odds_ratio_high": F.col("estimate") + reach}
-    return whole.withColumns({n: F.when(is_bin, F.exp(e)) for n, e in ratios.items()}).join(corrected, "term", "left").withColumn("stability_flags", F.lit(flags))
-
-
 @register()
 def x89_x91_tail_bootstrap(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Hill index over the leading tenth and its spread over Poisson replicates of the tail, beside the asymptotic error."""

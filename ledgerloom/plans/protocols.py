@@ -1,4 +1,4 @@
-"""Protocols by year and one by one: refits, what can be identified, tests that are left out with their reason, and the size of coefficients.
+"""Protocols by year and one by one: refits, what can be identified, and tests that are left out with their reason.
 
 Cells are summed over versions first: a group holds a row for each month, size bin (and project), whatever the number of events.
 """
@@ -10,12 +10,10 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ..kernels.linear import grouped_logit, local_logit
+from ..kernels.linear import local_logit
 from ..registry import register
 from .incidence import ATTACKED, CANDIDATES
-from .models import LARGE_BETA
 from .named import SQL_PANEL, attack_panel
-from .robustness import dummies
 
 #: A fit whose shares all lie this close to the observed ones separates its cells.
 EXACT = 1e-8
@@ -128,16 +126,3 @@ def x86_omitted_tests(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     over_time = record("project by time", F.lit(None).cast("int"), rows.groupBy(), F.col("whole") > 0, TIME_REASON)
     return over_time.unionByName(record("projects in a year", F.col("year"), rows.groupBy("year"), F.col("own") > 0, YEAR_REASON))
-
-
-@register()
-def x107_coefficient_sizes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every coefficient of the logit on size, month and project with version, with its kind, by falling size; those beyond the bound are marked."""
-    rows = attack_panel(spark, sf_dir).withColumn("cluster", F.concat_ws("::", "project", "version")).withColumn("month", F.col("month").cast("string")).cache()
-    x = {"const": F.lit(1.0)} | dummies(rows, "bin", "trade_size_bin") | dummies(rows, "month", "month") | dummies(rows, "project", "cluster")
-    fit = grouped_logit(rows, ATTACKED, CANDIDATES, x, "cluster")
-    rows.unpersist()
-    term, size = F.col("coefficient"), F.abs("estimate")
-    kinds = F.when(term.startswith("bin["), "trade_size").when(term.startswith("project["), "protocol_version").when(term.startswith("month["), "month").otherwise("intercept_or_other")
-    table = spark.createDataFrame(list(zip(fit.names, fit.beta.tolist())), "coefficient string, estimate double")
-    return table.select(term, kinds.alias("kind"), "estimate", size.alias("size"), (size > LARGE_BETA).alias("exceeds")).orderBy(F.desc("size"), "coefficient")

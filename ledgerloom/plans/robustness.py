@@ -1,155 +1,18 @@
-"""Models of incidence by protocol and how far they hold, generalised Pareto tails, and diagnostics of the daily series.
-
-The panel and the series of days are what is fitted; they don't grow with the number of events. Refits run side by side as groups of one job.
-"""
+"""Generalised Pareto tails, and diagnostics of the daily series, which has a number for each day."""
 
 from __future__ import annotations
 
 import numpy as np
-import pandas as pd
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..kernels.breaks import adf, binary_segmentation, kpss, pelt_mean_variance
-from ..kernels.linear import Design, Fit, grouped_logit, local_logit, summed, wald
-from ..kernels.tails import f_tail, t_two_sided
 from ..registry import register
 from .concentration import SQL_VOLUMES, ranked, volumes
-from .incidence import ATTACKED, CANDIDATES
-from .named import BINS, attack_panel
 from .timeseries import daily
 
-#: How far odds ratios of refits may lie apart; projects beyond which refits aren't run side by side; critical values at 5 %, with a trend.
-APART, MOST_PROJECTS, ADF_5, KPSS_5 = 1.2, 200, -3.41, 0.146
-
-
-def dummies(df: DataFrame, name: str, column: str) -> dict:
-    values = sorted(r[0] for r in df.select(column).distinct().collect())
-    return {f"{name}[{v}]": (F.col(column) == F.lit(v)).cast("double") for v in values[1:]}
-
-
-def protocol_design(cells: DataFrame) -> dict:
-    return {"const": F.lit(1.0)} | dummies(cells, "project", "project") | dummies(cells, "bin", "trade_size_bin")
-
-
-def panel(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return attack_panel(spark, sf_dir).withColumns({"month": F.col("month").cast("string"), "both": F.concat_ws("|", "month", "project")}).cache()
-
-
-def with_holm(rows: list[list], at: int) -> None:
-    """Appends Holm's corrected p to every row, whose p stands at a place."""
-    order, k, worst = sorted(range(len(rows)), key=lambda i: rows[i][at]), len(rows), 0.0
-    for turn, i in enumerate(order):
-        worst = max(worst, min(1.0, (k - turn) * rows[i][at]))
-        rows[i].append(worst)
-
-
-@register()
-def x78_x79_protocol_logit(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Grouped logit of attacks on project and size, clustered by month: the projects' joint test, and all their pairwise contrasts with Holm's correction."""
-    cells = panel(spark, sf_dir)
-    x = protocol_design(cells)
-    fit = grouped_logit(cells, ATTACKED, CANDIDATES, x, "month")
-    first = cells.agg(F.min("project")).first()[0]
-    cells.unpersist()
-    at = {n[8:-1]: i for i, n in enumerate(fit.names) if n.startswith("project[")}
-    free = fit.clusters - 1
-    unit = lambda i: np.eye(len(fit.names))[i]
-    f, q = wald(fit, np.array([unit(i) for i in at.values()]))
-    names, rows = [first, *at], []
-    for i, a in enumerate(names):
-        for b in names[i + 1 :]:
-            c = unit(at[b]) - (unit(at[a]) if a in at else 0)
-            value, se = float(c @ fit.beta), float(np.sqrt(max(0.0, c @ fit.covariance @ c)))
-            rows.append([f"{b} - {a}", value, se, float(np.exp(value)), t_two_sided(spark, value / se, free) if se > 0 else 1.0])
-    with_holm(rows, 4)
-    rows.append(["joint projects", None, None, None, f_tail(spark, f, q, free), None])
-    return spark.createDataFrame([(*r, fit.clusters, fit.converged) for r in rows], "contrast string, estimate double, se double, odds_ratio double, p double, p_holm double, clusters long, converged boolean")
-
-
-def covariances(cells: DataFrame, x: dict, fit: Fit) -> dict[str, np.ndarray]:
-    """Covariances of a grouped logit: robust by row (HC0), scaled by Pearson's dispersion, and by clusters of month, project and both."""
-    d = Design(cells, x, ("month", "project", "both"), y=F.col(ATTACKED), n=F.col(CANDIDATES))
-    matrix, beta = d.matrix, fit.beta
-    chance = lambda m: 1 / (1 + np.exp(-np.clip(m @ beta, -35, 35)))
-    left = lambda f, m: f["y"].to_numpy(float) - f["n"].to_numpy(float) * chance(m)
-    inverse = np.linalg.pinv(d.squares(lambda f, m: f["n"].to_numpy(float) * chance(m) * (1 - chance(m))))
-
-    def pearson(f) -> np.ndarray:
-        m = matrix(f)
-        p = chance(m)
-        return np.array([(left(f, m) ** 2 / np.maximum(f["n"].to_numpy(float) * p * (1 - p), 1e-12)).sum()])
-
-    k = len(fit.names)
-    out = {"hc0": inverse @ d.squares(lambda f, m: left(f, m) ** 2) @ inverse, "pearson": inverse * float(summed(d.rows, pearson)[0]) / (fit.rows - k)}
-    for by in ("month", "project", "both"):
-        meat, groups = d.clustered(by, left)
-        out[by] = inverse @ (meat * groups / max(1, groups - 1) * (fit.rows - 1) / (fit.rows - k)) @ inverse
-    out["two_way"] = out["month"] + out["project"] - out["both"]
-    return out
-
-
-@register()
-def x67_x80_covariance_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Errors of the protocol logit under six covariances, and whether the two-way one (months and projects, less both) is positive."""
-    cells = panel(spark, sf_dir)
-    x = protocol_design(cells)
-    fit = grouped_logit(cells, ATTACKED, CANDIDATES, x, "month")
-    all_ = covariances(cells, x, fit)
-    cells.unpersist()
-    positive = bool(np.linalg.eigvalsh(all_["two_way"]).min() >= -1e-10)
-    se = {name: np.sqrt(np.clip(np.diag(v), 0, None)).tolist() for name, v in all_.items()}
-    rows = [(n, float(b), *[se[c][i] for c in se], positive) for i, (n, b) in enumerate(zip(fit.names, fit.beta))]
-    return spark.createDataFrame(rows, "term string, estimate double, " + ", ".join(f"se_{c} double" for c in se) + ", two_way_positive boolean")
-
-
-@register()
-def x82_standardised(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every project's fitted probability over the sizes of all candidates, beside its crude rate."""
-    cells = panel(spark, sf_dir)
-    fit = grouped_logit(cells, ATTACKED, CANDIDATES, protocol_design(cells), "month")
-    beta = dict(zip(fit.names, fit.beta.tolist()))
-    effect = lambda kind, column: F.coalesce(*[F.when(F.col(column) == n[len(kind) + 1 : -1], b) for n, b in beta.items() if n.startswith(f"{kind}[")], F.lit(0.0))
-    mix = cells.groupBy("trade_size_bin").agg(F.sum(CANDIDATES).alias("w"))
-    crude = cells.groupBy("project").agg(F.sum(CANDIDATES).alias("n"), F.sum(ATTACKED).alias("a"))
-    eta = F.lit(beta["const"]) + effect("project", "project") + effect("bin", "trade_size_bin")
-    both = crude.crossJoin(F.broadcast(mix)).groupBy("project").agg(F.round(F.sum(F.col("w") / (1 + F.exp(-eta))) / F.sum("w"), 8).alias("standardised"), F.round(F.max("a") / F.max("n"), 8).alias("crude"))
-    return both.withColumn("difference", F.round(F.col("standardised") - F.col("crude"), 8))
-
-
-def bin_logit(frame: pd.DataFrame) -> pd.DataFrame:
-    """Bin coefficients of a logit on size and project of the cells in a frame."""
-    kinds, groups = sorted(frame.trade_size_bin.unique()), sorted(frame.project.unique())
-    x = np.column_stack([np.ones(len(frame)), *[(frame.trade_size_bin == b) for b in kinds[1:]], *[(frame.project == g) for g in groups[1:]]]).astype(float)
-    beta, inverse, done = local_logit(x, frame[ATTACKED].to_numpy(float), frame[CANDIDATES].to_numpy(float))
-    k = len(kinds)
-    return pd.DataFrame({"left_out": frame.left_out.iloc[0], "term": kinds[1:], "beta": beta[1:k], "se": np.sqrt(np.diag(inverse))[1:k], "converged": done})
-
-
-@register()
-def x70_x72_leave_one_out(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Size effects without each project in turn, and without versions that were never attacked: the range of odds ratios, drift, and whether signs
-    hold and ratios stay within a fifth of each other; a project that holds a fifth of all candidates and moves them is named dominant and fragile."""
-    cells = panel(spark, sf_dir)
-    names = [r[0] for r in cells.select("project").distinct().limit(MOST_PROJECTS + 1).collect()]
-    if len(names) > MOST_PROJECTS:
-        raise ValueError(f"more than {MOST_PROJECTS} projects")
-    never = cells.groupBy("project", "version").agg(F.sum(ATTACKED).alias("s")).where("s = 0").select("project", "version", F.lit(True).alias("never"))
-    marked = cells.join(F.broadcast(never), ["project", "version"], "left").select("project", "trade_size_bin", ATTACKED, CANDIDATES, F.coalesce("never", F.lit(False)).alias("never"))
-    each = marked.withColumn("left_out", F.explode(F.array(*map(F.lit, [*names, "nothing", "never attacked"])))).where((F.col("left_out") != F.col("project")) & ~((F.col("left_out") == "never attacked") & F.col("never")))
-    fits = each.groupBy("left_out").applyInPandas(bin_logit, "left_out string, term string, beta double, se double, converged boolean").cache()
-    share = marked.groupBy("project").agg(F.sum(CANDIDATES).alias("n")).withColumn("share", F.col("n") / F.sum("n").over(Window.partitionBy()))
-    whole = fits.where("left_out = 'nothing'").select("term", F.col("beta").alias("b"), F.exp("beta").alias("odds_ratio"))
-    clean = fits.where("left_out = 'never attacked'").select("term", (F.exp("beta")).alias("without_never_attacked"))
-    refits = fits.where(~F.col("left_out").isin("nothing", "never attacked")).join(whole, "term").join(share.select(F.col("project").alias("left_out"), "share"), "left_out")
-    apart = F.greatest(F.exp("beta") / F.col("odds_ratio"), F.col("odds_ratio") / F.exp("beta"))
-    spread = refits.groupBy("term").agg(
-        F.exp(F.min("beta")).alias("least"), F.exp(F.max("beta")).alias("most"), (F.min(F.signum("beta") * F.signum("b")) >= 0).alias("sign_holds"),
-        F.array_join(F.array_sort(F.collect_set(F.when((F.col("share") >= 0.2) & (apart >= APART), F.col("left_out")))), ";").alias("dominant_and_fragile"), F.min("converged").alias("converged"),
-    )
-    stable = F.col("sign_holds") & (F.col("most") / F.col("least") < APART)
-    rows = whole.join(spread, "term").join(clean, "term", "left")
-    return rows.select("term", "odds_ratio", "least", "most", "without_never_attacked", (F.col("without_never_attacked") / F.col("odds_ratio") - 1).alias("drift"), "sign_holds", stable.alias("stable"), "dominant_and_fragile", "converged")
+#: Critical values at 5 %, with a trend.
+ADF_5, KPSS_5 = -3.41, 0.146
 
 
 #: The likelihood's profile is searched over a grid: steps of 2 % above zero in units of the mean excess, and fractions of the bound below.

@@ -1,4 +1,4 @@
-"""Protocol models, refits and series diagnostics against plain numpy."""
+"""Series diagnostics against plain numpy."""
 
 import itertools
 
@@ -7,77 +7,10 @@ import pytest
 
 from ledgerloom import registry
 from ledgerloom.kernels.breaks import adf, binary_segmentation, kpss, pelt_mean_variance
-from ledgerloom.kernels.linear import local_logit
-from ledgerloom.plans.named import attack_panel
 
 QUERIES, _ = registry.load()
 
 
-@pytest.fixture(scope="module")
-def cells(spark, sf_dir):
-    return attack_panel(spark, sf_dir).toPandas()
-
-
-def fitted(cells):
-    projects, bins = sorted(cells.project.unique()), sorted(cells.trade_size_bin.unique())
-    x = np.column_stack([np.ones(len(cells)), *[cells.project == p for p in projects[1:]], *[cells.trade_size_bin == b for b in bins[1:]]]).astype(float)
-    y, n = cells.attacked_trade_events.to_numpy(float), cells.candidate_trade_events.to_numpy(float)
-    beta, inverse, done = local_logit(x, y, n)
-    return projects, bins, x, y, n, beta, inverse, done
-
-
-def test_protocol_logit_and_covariances(spark, sf_dir, cells):
-    projects, bins, x, y, n, beta, inverse, done = fitted(cells)
-    assert done
-    scores = x * (y - n / (1 + np.exp(-x @ beta)))[:, None]
-
-    def by(labels):
-        sums = np.array([scores[labels == g].sum(0) for g in np.unique(labels)])
-        g = len(sums)
-        return inverse @ (sums.T @ sums * g / (g - 1) * (len(x) - 1) / (len(x) - x.shape[1])) @ inverse
-
-    month, project = cells.month.astype(str).to_numpy(), cells.project.to_numpy(str)
-    v = by(month)
-    got = {r.contrast: r for r in QUERIES["x78_x79_protocol_logit"](spark, sf_dir).collect()}
-    assert len(got) == len(projects) * (len(projects) - 1) // 2 + 1
-    for i, j in ((0, 1), (2, 5)):
-        c = np.zeros(len(beta))
-        c[j] = 1
-        if i:
-            c[i] = -1
-        r = got[f"{projects[j]} - {projects[i]}"]
-        assert r.estimate == pytest.approx(c @ beta, abs=1e-6) and r.se == pytest.approx((c @ v @ c) ** 0.5, rel=1e-4) and r.p - 1e-9 <= r.p_holm <= 1
-    audit = {r.term: r for r in QUERIES["x67_x80_covariance_audit"](spark, sf_dir).collect()}
-    two = v + by(project) - by(np.char.add(np.char.add(month, "|"), project))
-    term = audit[f"project[{projects[3]}]"]
-    assert term.se_month == pytest.approx(v[3, 3] ** 0.5, rel=1e-4) and term.se_two_way == pytest.approx(max(0, two[3, 3]) ** 0.5, rel=1e-3, abs=1e-6)
-    assert term.se_hc0 == pytest.approx((inverse @ scores.T @ scores @ inverse)[3, 3] ** 0.5, rel=1e-4)
-    p = 1 / (1 + np.exp(-x @ beta))
-    phi = ((y - n * p) ** 2 / (n * p * (1 - p))).sum() / (len(x) - x.shape[1])
-    assert term.se_pearson == pytest.approx((phi * inverse[3, 3]) ** 0.5, rel=1e-4)
-    shares = cells.groupby("trade_size_bin").candidate_trade_events.sum()
-    effect = dict(zip(bins, [0, *beta[len(projects) :]]))
-    expected = sum(w / (1 + np.exp(-beta[0] - beta[2] - effect[b])) for b, w in shares.items()) / shares.sum()
-    got = {r.project: r for r in QUERIES["x82_standardised"](spark, sf_dir).collect()}
-    assert got[projects[2]].standardised == pytest.approx(expected, abs=1e-6)
-
-
-def test_leave_one_out(spark, sf_dir, cells):
-    got = {r.term: r for r in QUERIES["x70_x72_leave_one_out"](spark, sf_dir).collect()}
-    ratios = {}
-    for left in [None, *sorted(cells.project.unique())]:
-        part = cells[cells.project != left] if left else cells
-        projects, bins, *_, beta, _, _ = fitted(part)
-        for b, x in zip(bins[1:], beta[len(projects) :]):
-            ratios.setdefault(b, {})[left] = np.exp(x)
-    for b, of in ratios.items():
-        rest = [x for left, x in of.items() if left]
-        r = got[b]
-        if np.abs(np.log(list(of.values()))).max() < 10:
-            assert r.odds_ratio == pytest.approx(of[None], rel=1e-5) and r.least == pytest.approx(min(rest), rel=1e-5) and r.most == pytest.approx(max(rest), rel=1e-5)
-            assert r.stable == (r.sign_holds and max(rest) / min(rest) < 1.2)
-
-
 def test_breaks_against_brute_force():
     rng = np.random.default_rng(1)
     y = np.concatenate([rng.normal(0, 1, 80), rng.normal(3, 1, 60), rng.normal(3, 4, 70)])
