@@ -1,7 +1,10 @@
 """Keyed draws and what resamples add up to over blocks of ranked entities, as kernels for tasks.
 
-A draw hangs on the replicate and the entity's key only. A block holds the values of some thousand entities in falling order; it says for
-each replicate what its own draws add up to, and the sums over blocks give the measures: no row is ever copied once for each replicate.
+A block holds the values of some thousand entities in falling order; it says for each replicate what its own draws add up to, and the sums over
+blocks give the measures: no row is ever copied once for each replicate. A bootstrap draws exactly n of n: how many draws fall on a block
+follows from splitting them in two over and over, down to the block, by binomials that hang on the node and the deal of replicates only, so every task finds
+the same numbers. A subsample takes the entities with the smallest keyed numbers. A tail's draws come from a generalised Pareto law, by
+equal parts of its probability, which are blocks in falling order as well.
 """
 
 from __future__ import annotations
@@ -11,11 +14,8 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 
-#: Cumulative probabilities of a Poisson variable of mean 1, for 0 to 7.
-POISSON = [0.36787944117144233, 0.7357588823428847, 0.9196986029286058, 0.9810118431238462, 0.9963401531726563, 0.9994058151824183, 0.999916758850712, 0.9999897508033253]
-STEPS = np.array([int(p * 2.0**53) for p in POISSON], np.int64)
-#: Draws that a task holds at a time.
-AT_ONCE = 1 << 20
+#: Draws that a task holds at a time, replicates of a deal, and what all draws hang on.
+AT_ONCE, DEALT, SEED = 1 << 20, 500, 42
 
 
 def keyed(keys: np.ndarray, salts: np.ndarray) -> np.ndarray:
@@ -35,40 +35,69 @@ def slices(rows: int, width: int) -> Iterator[slice]:
     return (slice(a, min(rows, a + step)) for a in range(0, rows, step))
 
 
-def times(keys: np.ndarray, salts: np.ndarray, limits: np.ndarray) -> np.ndarray:
-    """How often each entity is drawn: a Poisson number of times, or once if its number is at most the limit (where that is not negative)."""
-    h = keyed(keys, salts)
-    if (limits < 0).all():
-        return np.searchsorted(STEPS, h.reshape(-1), side="right").reshape(h.shape)
-    return (h <= limits[:, None]).astype(np.int64)
+def taken(keys: np.ndarray, salts: np.ndarray, limits: np.ndarray) -> np.ndarray:
+    """1 for the entities whose number is at most the limit, for each salt (row)."""
+    return (keyed(keys, salts) <= limits[:, None]).astype(np.int64)
+
+
+def generator(*key: int) -> np.random.Generator:
+    return np.random.default_rng([SEED, *(int(k) for k in key)])
+
+
+def allotted(counts: np.ndarray, n: int, width: int, block: int, *key: int) -> np.ndarray:
+    """How many of counts draws (one number for each replicate of a deal) fall on a block of width entities out of n."""
+    size = lambda a, b: min(n, b * width) - min(n, a * width)
+    a, b = 0, max(1, -(-n // width))
+    while b - a > 1:
+        middle = (a + b) // 2
+        left = generator(*key, a, b).binomial(counts, size(a, middle) / size(a, b))
+        counts, a, b = (left, a, middle) if block < middle else (counts - left, middle, b)
+    return counts
+
+
+def times(deal: int, n: int, width: int, block: int, size: int, draws: np.ndarray | None = None, stream: int = 0) -> np.ndarray:
+    """How often each of a block's size entities is drawn in each replicate of a deal (a row each), n of n (or draws of n) with replacement."""
+    whole = np.full(DEALT, n, np.int64) if draws is None else draws
+    own = allotted(whole, n, width, block, stream, deal)
+    places = generator(stream, deal, block).integers(0, size, own.sum())
+    return np.bincount(np.repeat(np.arange(DEALT), own) * size + places, minlength=DEALT * size).reshape(DEALT, size)
+
+
+def counts_of(row, salts: np.ndarray) -> Iterator[tuple[slice, np.ndarray]]:
+    """Draws of a block for the given salts, in parts: of a subsample where the block's row has limits, else of a bootstrap."""
+    if "cap" in row._fields and row.cap is not None:
+        limits = np.asarray(row.cap, np.int64)
+        for s in slices(len(salts), len(row.volume)):
+            yield s, taken(row.key, salts[s], limits[s])
+    else:
+        yield slice(None), times(row.deal, row.n, row.width, row.block, len(row.volume))[salts % DEALT]
+
+
+SUMS = "block long, salt long, drawn long, held double, squares double, inside double"
+
+
+def sums_of(block: int, salts: np.ndarray, parts: list[np.ndarray]) -> pd.DataFrame:
+    sums = np.concatenate(parts) if parts else np.zeros((0, 4))
+    return pd.DataFrame({"block": block, "salt": salts, "drawn": sums[:, 0].astype(np.int64), "held": sums[:, 1], "squares": sums[:, 2], "inside": sums[:, 3]})
 
 
 def block_sums(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """For pairs of a block (block, volume, key) and a list of resamples (salt, cap): what the block's draws add up to. inside: the sum of
-    volume times (twice the draws before it in the block, and its own)."""
+    """For pairs of a block and a deal: what the block's draws add up to. inside: the sum of volume times (twice the draws before it in the
+    block, and its own)."""
     for frame in frames:
         for row in frame.itertuples():
-            v, salts, limits = np.asarray(row.volume, float), np.asarray(row.salt, np.int64), np.asarray(row.cap, np.int64)
-            out = []
-            for s in slices(len(salts), len(v)):
-                w = times(row.key, salts[s], limits[s])
-                out.append(np.stack([w.sum(1), w @ v, w @ (v * v), (w * (2 * np.cumsum(w, 1) - w)) @ v], axis=1))
-            sums = np.concatenate(out)
-            yield pd.DataFrame({"block": row.block, "salt": salts, "cap": limits, "drawn": sums[:, 0].astype(np.int64), "held": sums[:, 1], "squares": sums[:, 2], "inside": sums[:, 3]})
+            v, salts = np.asarray(row.volume, float), np.asarray(row.salt, np.int64)
+            out = [np.stack([w.sum(1), w @ v, w @ (v * v), (w * (2 * np.cumsum(w, 1) - w)) @ v], axis=1) for _, w in counts_of(row, salts)]
+            yield sums_of(row.block, salts, out)
 
 
 def block_tops(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """For blocks (volume, key) with questions (salt, cap, measure, take): the volume of the block's first so many draws."""
+    """For blocks with questions (salt, cap, measure, take): the volume of the block's first so many draws."""
     for frame in frames:
         for row in frame.itertuples():
-            v, asked = np.asarray(row.volume, float), row.asked
-            salts, limits, takes = (np.array([q[c] for q in asked], np.int64) for c in ("salt", "cap", "take"))
-            out = []
-            for s in slices(len(salts), len(v)):
-                w = times(row.key, salts[s], limits[s])
-                before = np.cumsum(w, 1) - w
-                out.append(np.clip(takes[s][:, None] - before, 0, w) @ v)
-            yield pd.DataFrame({"salt": salts, "measure": [q["measure"] for q in asked], "top": np.concatenate(out)})
+            v, salts, takes = np.asarray(row.volume, float), np.asarray(row.salt, np.int64), np.asarray(row.take, np.int64)
+            out = [np.clip(takes[s][:, None] - (np.cumsum(w, 1) - w), 0, w) @ v for s, w in counts_of(row, salts)]
+            yield pd.DataFrame({"salt": salts, "measure": row.measure, "top": np.concatenate(out)})
 
 
 def near_limit(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -87,30 +116,183 @@ def near_limit(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             yield pd.DataFrame({"salt": salts, "m": np.asarray(row.m, np.int64), "below": below, "near": near})
 
 
-def turned_correlations(shared):
-    """For frames of permutation numbers: the correlation of the first list of the shared (x, y, key) with the second, in two keyed orders."""
+# A generalised Pareto law of excesses x up to M: theta = shape / scale is searched as s = log(1 + theta * M), which covers all admissible values.
+NODES = np.linspace(-6.0, 18.0, 241)
+ZERO = 60  # the node at which the law is exponential
+#: Below this the law counts as exponential: what the slope is made of cancels.
+FLAT = 1e-5
 
-    def run(frames):
-        x, y, key = shared.value
-        x, y = x - x.mean(), y - y.mean()
-        scale = np.sqrt((x @ x) * (y @ y))
-        for frame in frames:
-            rho = [float(x[a] @ y[b]) / scale for a, b in (turns(key, int(r)) for r in frame["id"])]
-            yield pd.DataFrame({"r": frame["id"], "rho_r": rho})
 
-    return run
+def profile(q: np.ndarray) -> np.ndarray:
+    """For excesses as shares q of M (a row each): log(1 + theta x) and its slope in s at all nodes, and the square of q."""
+    e, q = np.exp(NODES)[None, :], q[:, None]
+    return np.concatenate([np.log1p((e - 1) * q), e * q / (1 + (e - 1) * q), q * q], axis=1)
+
+
+def peak(means: np.ndarray, most: float) -> tuple[float, float] | None:
+    """Shape and scale where the profile likelihood has its highest peak with a shape above -1, from means of profile; None if it has none. Between nodes the
+    mean of log(1 + theta x), which is the shape, follows the cubic through its values and slopes."""
+    f, d, square = means[: len(NODES)], means[len(NODES) : -1], means[-1]
+    f[ZERO] = 0.0
+    with np.errstate(divide="ignore", invalid="ignore"):
+        rise = 1 / -np.expm1(-NODES) - d * (1 + 1 / f)
+    rise[ZERO] = square / (2 * d[ZERO]) - d[ZERO]  # the limit
+    best = None
+    for i in np.flatnonzero((rise[:-1] > 0) & (rise[1:] <= 0)).tolist():
+        width, held = NODES[i + 1] - NODES[i], (f[i], d[i], f[i + 1], d[i + 1])
 
+        def at(s: float, start: float = NODES[i], width: float = width, held: tuple = held) -> tuple[float, float]:
+            t = (s - start) / width
+            value = [2 * t**3 - 3 * t**2 + 1, (t**3 - 2 * t**2 + t) * width, -2 * t**3 + 3 * t**2, (t**3 - t**2) * width]
+            change = [(6 * t**2 - 6 * t) / width, 3 * t**2 - 4 * t + 1, (6 * t - 6 * t**2) / width, 3 * t**2 - 2 * t]
+            return float(np.dot(value, held)), float(np.dot(change, held))
 
-def turns(key: np.ndarray, r: int) -> list[np.ndarray]:
-    """The two orders of permutation r."""
-    # Equal numbers (some n * n / 2**54 of them) follow the keys, by which the lists are ordered.
-    return [np.argsort(h, kind="stable") for h in keyed(key, np.array([2 * r, 2 * r + 1]))]
+        low, high = NODES[i], NODES[i + 1]
+        for _ in range(50):
+            s = (low + high) / 2
+            if abs(s) < FLAT:
+                break
+            shape, change = at(s)
+            low, high = (s, high) if 1 / -np.expm1(-s) - change * (1 + 1 / shape) > 0 else (low, s)
+        s = (low + high) / 2
+        s = s if abs(s) >= FLAT else FLAT
+        shape = at(s)[0] if abs(s) > FLAT else d[ZERO] * s
+        scale = shape * most / np.expm1(s)
+        if shape > -1 and scale > 0 and (best is None or -np.log(scale) - shape > best[0]):
+            best = -np.log(scale) - shape, float(shape), float(scale)
+    return best and best[1:]
+
+
+def refit_sums(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """For pairs of a block of a tail (excess as shares) and a deal: of each replicate, k of k draws, the sums of profile over the block's."""
+    for frame in frames:
+        for row in frame.itertuples():
+            q = np.asarray(row.share, float)
+            w = times(row.deal, row.k, row.width, row.block, len(q), stream=1)
+            yield pd.DataFrame({"salt": row.deal * DEALT + np.arange(DEALT), "k": row.k, "most": row.most, "data": [x.tobytes() for x in w @ profile(q)]})
 
 
-def turn_numbers(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """For rows of r and key: the numbers that the two orders of permutation r follow."""
+def refits(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """Shape and scale of every replicate, from its sums over blocks; null where the likelihood has no peak."""
+    total: dict[tuple, np.ndarray] = {}
     for frame in frames:
-        parts = [keyed(g["key"].to_numpy(), np.array([2 * r, 2 * r + 1])) for r, g in frame.groupby("r", sort=False)]
-        whole = pd.concat([g for _, g in frame.groupby("r", sort=False)]) if parts else frame
-        left, right = (np.concatenate([p[i] for p in parts]) if parts else np.zeros(0, np.int64) for i in (0, 1))
-        yield whole.assign(left=left, right=right)
+        for salt, k, most, data in zip(frame["salt"], frame["k"], frame["most"], frame["data"]):
+            own, key = np.frombuffer(data, float), (salt, k, most)
+            total[key] = total[key] + own if key in total else own
+    if total:
+        found = [peak(v / k, most) or (None, None) for (_, k, most), v in total.items()]
+        yield pd.DataFrame({"salt": [s for s, _, _ in total], "shape": [f[0] for f in found], "scale": [f[1] for f in found]}).astype({"shape": float, "scale": float})
+
+
+def tail_counts(deal: int, n: int, k: int) -> np.ndarray:
+    """How many of n draws fall on the tail in each replicate of a deal; at least one, and at most all but one."""
+    return np.clip(generator(2, deal).binomial(n, k / n, DEALT), 1, max(1, n - 1))
+
+
+def tail_draws(row, salts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Place of the salt and value of the draws of a part (row.block of row.parts) of a fitted tail, by salt and falling value."""
+    own = allotted(tail_counts(row.deal, row.n, row.k), row.parts, 1, row.block, 3, row.deal)
+    u = (row.block + 1 - generator(3, row.deal, row.block).random(own.sum())) / row.parts
+    who = np.repeat(np.arange(DEALT), own)
+    place = np.full(DEALT, -1)
+    place[salts % DEALT] = np.arange(len(salts))
+    held = place[who] >= 0
+    who, u = place[who[held]], u[held]
+    shape, scale = np.asarray(row.shape, float)[who], np.asarray(row.scale, float)[who]
+    flat = np.abs(shape) < 1e-9
+    value = row.threshold + np.where(flat, -scale * np.log(u), scale * np.expm1(-shape * np.log(u)) / np.where(flat, 1, shape))
+    order = np.lexsort((u, who))  # the larger the value, the smaller what lies above it
+    return who[order], value[order]
+
+
+def tail_sums(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """SUMS for pairs of a part of a tail, or of a block of what lies below it, and a deal."""
+    for frame in frames:
+        for row in frame.itertuples():
+            salts = np.asarray(row.salt, np.int64)
+            if row.volume is None:
+                who, x = tail_draws(row, salts)
+                out = [np.bincount(who, weights, len(salts)) for weights in (None, x, x * x)]
+                yield sums_of(row.block, salts, [np.stack([*out, np.zeros(len(salts))], axis=1)])
+            else:
+                v, w = np.asarray(row.volume, float), bulk_times(row)[salts % DEALT]
+                yield sums_of(row.block, salts, [np.stack([w.sum(1), w @ v, w @ (v * v), np.zeros(len(salts))], axis=1)])
+
+
+def bulk_times(row) -> np.ndarray:
+    """How often the entities of a block below the tail are drawn; such blocks follow the tail's parts."""
+    return times(row.deal, row.n - row.k, row.width, row.block - row.parts, len(row.volume), row.n - tail_counts(row.deal, row.n, row.k), 4)
+
+
+def tail_tops(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """As block_tops, for tail_sums' blocks; a salt is asked for once for each measure."""
+    for frame in frames:
+        for row in frame.itertuples():
+            asked, takes = np.asarray(row.salt, np.int64), np.asarray(row.take, np.int64)
+            salts, at, first = np.unique(asked, return_inverse=True, return_index=True)[0], *np.unique(asked, return_inverse=True, return_index=True)[:0:-1]
+            if row.volume is None:
+                who, x = tail_draws(row._replace(shape=np.asarray(row.shape)[first], scale=np.asarray(row.scale)[first]), salts)
+                starts = np.searchsorted(who, np.arange(len(salts) + 1))
+                ahead = np.concatenate([[0.0], np.cumsum(x)])
+                top = ahead[np.minimum(starts[at] + takes, starts[at + 1])] - ahead[starts[at]]
+            else:
+                v, w = np.asarray(row.volume, float), bulk_times(row)[asked % DEALT]
+                top = np.clip(takes[:, None] - (np.cumsum(w, 1) - w), 0, w) @ v
+            yield pd.DataFrame({"salt": asked, "measure": row.measure, "top": top})
+
+
+# Permutations: a keyed bijection of places, so that no permutation is ever sorted.
+ROUNDS = 6
+
+
+def moved(places: np.ndarray, n: int, numbers: np.ndarray) -> np.ndarray:
+    """Where each of the numbered permutations of n places (a row each) puts the given ones: rounds over the halves of the place's bits, again for those that leave the range."""
+    half, u = max(1, (int(max(1, n - 1)).bit_length() + 1) // 2), np.uint64
+    mask = u((1 << half) - 1)
+    out = np.tile(places.astype(np.uint64), (len(numbers), 1)).reshape(-1)
+    own = np.repeat(np.asarray(numbers, np.int64).view(u) * u(2 * ROUNDS), len(places))
+    outside = np.arange(len(out))
+    with np.errstate(over="ignore"):
+        while len(outside):
+            a, b = out[outside] >> u(half), out[outside] & mask
+            for i in range(ROUNDS):
+                h = b + (own[outside] + u(2 * i + 1)) * u(0x9E3779B97F4A7C15)
+                for shift, factor in ((30, 0xBF58476D1CE4E5B9), (27, 0x94D049BB133111EB)):
+                    h ^= h >> u(shift)
+                    h *= u(factor)
+                a, b = b, (a ^ (h >> u(33))) & mask
+            out[outside] = a << u(half) | b
+            outside = outside[out[outside] >= u(n)]
+    return out.astype(np.int64).reshape(len(numbers), -1)
+
+
+def sent(width: int):
+    """For pairs of a block of the first list (start, n, x) and permutations: x of each place, by the block of the second list that it is sent to."""
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for frame in frames:
+            for row in frame.itertuples():
+                x, own = np.asarray(row.x, float), row.start + np.arange(len(row.x))
+                for some in slices(len(row.r), len(x)):
+                    numbers = np.asarray(row.r, np.int64)[some]
+                    to = moved(own, row.n, numbers).reshape(-1)
+                    block, which = to // width, np.repeat(np.arange(len(numbers)), len(x))
+                    order = np.argsort(block, kind="stable")
+                    cuts = np.searchsorted(block[order], np.arange(block.max() + 2))
+                    values = np.tile(x, len(numbers))
+                    for b in np.unique(block).tolist():
+                        at = order[cuts[b] : cuts[b + 1]]
+                        counts = np.bincount(which[at], minlength=len(numbers)).astype(np.int32)
+                        yield pd.DataFrame({"block": [b], "r": [numbers.tobytes()], "counts": [counts.tobytes()], "place": [(to[at] % width).astype(np.uint16).tobytes()], "x": [values[at].tobytes()]})
+
+    return run
+
+
+def met(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """r, pair, dot: products of what was sent with the block's own numbers (ys: a list for each pair), added up by permutation."""
+    for frame in frames:
+        for row in frame.itertuples():
+            r, counts, place, x = (np.frombuffer(getattr(row, c), k) for c, k in (("r", np.int64), ("counts", np.int32), ("place", np.uint16), ("x", float)))
+            which = np.repeat(np.arange(len(r)), counts)
+            for pair, y in enumerate(row.ys):
+                yield pd.DataFrame({"r": r, "pair": pair, "dot": np.bincount(which, x * np.asarray(y, float)[place], len(r))})

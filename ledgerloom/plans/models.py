@@ -1,145 +1,20 @@
-"""Resampling and regression products. Draws come from hashes of seed, replicate and entity, so they don't depend on partitioning and a lost
-task draws the same again; fits sum normal equations where the rows lie. SQL can't express them; tests hold them against brute force.
+"""Regression products and the bootstrap of the daily series. Fits sum normal equations where the rows lie. SQL can't express them; tests hold them against
+brute force.
 """
 
 from __future__ import annotations
 
 import numpy as np
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions.ranks import value_ranks
 from ..kernels.breaks import block_sup_f
 from ..kernels.linear import Fit, ols, poisson, wald
-from ..kernels.resample import POISSON, block_sums, block_tops, near_limit, turn_numbers, turned_correlations
 from ..kernels.tails import f_tail, normal_two_sided, t_two_sided
 from ..registry import register
-from ..runtime import stored
-from ..sources.tables import LONGER, PRIMARY
-from .concentration import TOPS, mean_ranks, ranked, volumes
 from .timeseries import EVENTS, daily, splits
 
-SEED, REPLICATES, SUBSAMPLES, PERMUTATIONS, SERIES_REPLICATES, BLOCK = 42, 10_000, 2_000, 10_000, 999, 14
-#: Replicates of the tail's bootstrap; entities of a block and resamples dealt at a time; entities up to which tasks share both lists of ranks.
-TAIL_REPLICATES, ENTITIES, DEALT, SHARED = 200, 4096, 500, 1 << 20
-
-
-def uniform(*keys: Column | str) -> Column:
-    """A number in [0, 1) that hangs on the keys only."""
-    return F.pmod(F.xxhash64(F.lit(SEED), *keys), F.lit(1 << 52)) / float(1 << 52)
-
-
-def poisson_draw(*keys: Column | str) -> Column:
-    u = uniform(*keys)
-    return sum((F.when(u >= p, 1).otherwise(0) for p in POISSON), F.lit(0)).cast("long")
-
-
-def replicates(n: int) -> Column:
-    return F.explode(F.sequence(F.lit(1), F.lit(n)))
-
-
-def interval(long: DataFrame, *by: str) -> DataFrame:
-    """by..., measure, mean, deviation and percentile interval over replicates of the long table of measure and value."""
-    return long.groupBy(*by, "measure").agg(
-        F.round(F.avg("value"), 8).alias("mean"), F.round(F.stddev_samp("value"), 8).alias("sd"), F.round(F.percentile("value", 0.025), 8).alias("low"),
-        F.round(F.percentile("value", 0.975), 8).alias("high"), F.count(F.lit(1)).alias("replicates"),
-    )
-
-
-def entity_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """block, n, volume, key: entities by falling volume, some thousand a row, each with the number that its draws hang on."""
-    rows = ranked(volumes(spark, sf_dir)).select(F.expr(f"(rank - 1) div {ENTITIES}").alias("block"), "n", "rank", "volume", F.xxhash64(F.lit(SEED), "entity").alias("key"))
-    held = rows.groupBy("block", "n").agg(F.array_sort(F.collect_list(F.struct("rank", "volume", "key"))).alias("rows"))
-    return held.select("block", "n", F.col("rows.volume").alias("volume"), F.col("rows.key").alias("key"))
-
-
-def dealt(resamples: DataFrame, *values: str) -> DataFrame:
-    """The resamples (salt and values) as lists of some hundreds."""
-    lists = resamples.groupBy(F.expr(f"salt div {DEALT}").alias("deal")).agg(F.array_sort(F.collect_list(F.struct("salt", *values))).alias("rows"))
-    return lists.select("deal", *[F.col(f"rows.{c}").alias(c) for c in ("salt", *values)])
-
-
-def resampled(blocks: DataFrame, resamples: DataFrame) -> DataFrame:
-    """salt, measure, value of every resample (salt, cap): Gini, Herfindahl index and the shares of the leading 1, 4, 10, 20 and one percent of its
-    draws. Blocks say what their draws add up to; only blocks in which a leading part ends are asked for it, by the same draws again."""
-    spark = blocks.sparkSession
-    tasks = max(8, int(spark.conf.get("spark.sql.shuffle.partitions")))
-    pairs = blocks.select("block", "volume", "key").crossJoin(dealt(resamples, "cap")).repartition(tasks)
-    sums = stored(pairs.mapInPandas(block_sums, "block long, salt long, cap long, drawn long, held double, squares double, inside double"))
-    order, whole = Window.partitionBy("salt").orderBy("block"), Window.partitionBy("salt")
-    placed = sums.withColumns({"ahead": F.sum("drawn").over(order) - F.col("drawn"), "above": F.sum("held").over(order) - F.col("held"), "n": F.sum("drawn").over(whole)})
-    d, v = F.col("n"), F.sum("held")
-    totals = placed.groupBy("salt").agg(
-        v.alias("total"), (10000 * F.sum("squares") / (v * v)).alias("hhi"),
-        (1 - F.sum(2 * F.col("ahead") * F.col("held") + F.col("inside")) / (F.max(d) * v)).alias("gini"),
-    )
-    ends = {**{f"cr{k}": F.lit(k) for k in TOPS}, "top_1pct": F.expr("(n + 99) div 100")}
-    parts = F.explode(F.array(*[F.struct(F.lit(m).alias("measure"), F.least(k.cast("long"), d).alias("last")) for m, k in ends.items()]))
-    asked = placed.select("*", parts.alias("part")).where("ahead < part.last and part.last <= ahead + drawn")
-    asked = stored(asked.select("block", "salt", "cap", "above", "part.measure", (F.col("part.last") - F.col("ahead")).alias("take")))
-    lists = asked.groupBy("block", F.expr(f"salt div {DEALT}").alias("deal")).agg(F.collect_list(F.struct("salt", "cap", "measure", "take")).alias("asked"))
-    tops = blocks.select("block", "volume", "key").join(lists, "block").repartition(tasks).mapInPandas(block_tops, "salt long, measure string, top double")
-    shares = asked.join(tops, ["salt", "measure"]).join(totals, "salt").select("salt", "measure", ((F.col("above") + F.col("top")) / F.col("total")).alias("value"))
-    return totals.unpivot(["salt"], ["gini", "hhi"], "measure", "value").unionByName(shares)
-
-
-@register()
-def x10_x11_bootstrap(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Percentile intervals of Gini, Herfindahl index and the leading shares: every entity is drawn a Poisson number of times in each
-    replicate, so replicates need neither a shared vector nor one task each."""
-    resamples = spark.range(1, REPLICATES + 1).select(F.col("id").alias("salt"), F.lit(-1).cast("long").alias("cap"))
-    return interval(resampled(stored(entity_blocks(spark, sf_dir)), resamples))
-
-
-@register()
-def x12_subsamples(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Spread of Gini, Herfindahl index and the leading shares over subsamples of n ** 0.5, 0.75 and 0.9 entities without replacement: those
-    with the smallest keyed numbers, up to the m-th smallest, which is found first."""
-    blocks = stored(entity_blocks(spark, sf_dir))
-    n = blocks.agg(F.max("n").alias("n"))
-    powers = F.explode(F.array(*[F.struct(F.lit(i).alias("i"), F.lit(p).alias("power")) for i, p in enumerate((0.5, 0.75, 0.9))])).alias("p")
-    asked = spark.range(1, SUBSAMPLES + 1).select("id", powers).crossJoin(F.broadcast(n))
-    asked = asked.select((F.col("id") * 3 + F.col("p.i")).alias("salt"), F.col("p.power").alias("power"), F.ceil(F.pow(F.col("n").cast("double"), F.col("p.power"))).alias("m"))
-    pairs = blocks.select("n", "key").crossJoin(dealt(asked, "m")).repartition(max(8, int(spark.conf.get("spark.sql.shuffle.partitions"))))
-    found = pairs.mapInPandas(near_limit, "salt long, m long, below long, near array<long>").groupBy("salt", "m")
-    found = found.agg((F.col("m") - F.sum("below")).alias("place"), F.array_sort(F.flatten(F.collect_list("near"))).alias("near"))
-    # The m-th smallest lies outside with a chance of some 10 ** -18; then the query fails rather than draw another number.
-    limits = stored(found.select("salt", F.when(F.expr("place between 1 and size(near)"), F.element_at("near", F.col("place").cast("int"))).otherwise(F.raise_error(F.lit("no limit"))).alias("cap")))
-    rows = resampled(blocks, limits).join(asked, "salt")
-    return interval(rows, "power", "m")
-
-
-@register()
-def x18_permutation_spearman(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Rank correlation between the windows and its two-sided permutation p, (hits + 1) / (permutations + 1). A permutation matches both lists of
-    ranks in two keyed orders."""
-    a, b = (volumes(spark, sf_dir, w) for w in (PRIMARY, LONGER))
-    both = a.join(b.withColumnRenamed("volume", "other"), "entity")
-    ranks = mean_ranks(both, "volume", "x").join(mean_ranks(both, "other", "y"), "entity")
-    ranks = stored(ranks.select("x", "y", F.xxhash64(F.lit(SEED), "entity").alias("key")))
-    observed = ranks.agg(F.corr("x", "y").alias("rho"))
-    null = turned(ranks, PERMUTATIONS, SHARED)
-    # A null that equals the observed value but for the order of summation counts as a hit.
-    hits = null.crossJoin(F.broadcast(observed)).agg(F.max("rho").alias("rho"), F.count_if(F.abs("rho_r") >= F.abs("rho") - 1e-12).alias("hits"), F.count(F.lit(1)).alias("permutations"))
-    return hits.select(F.round("rho", 8).alias("rho"), ((F.col("hits") + 1) / (F.col("permutations") + 1)).alias("p"), "permutations")
-
-
-def turned(ranks: DataFrame, permutations: int, shared_at_most: int) -> DataFrame:
-    """r, rho_r of every permutation of ranks (x, y, key). Tasks share the two lists if there are few entities; else every permutation's orders are
-    numbered by bucket offsets. Both match the same pairs."""
-    spark = ranks.sparkSession
-    if ranks.count() <= shared_at_most:
-        lists = ranks.orderBy("key").toPandas()
-        shared = spark.sparkContext.broadcast(tuple(lists[c].to_numpy() for c in ("x", "y", "key")))
-        return spark.range(1, permutations + 1).repartition(24).mapInPandas(turned_correlations(shared), "r long, rho_r double")
-    rows = ranks.withColumn("r", replicates(permutations)).mapInPandas(turn_numbers, "x double, y double, key long, r long, left long, right long")
-
-    def numbered(value: str, side: str) -> DataFrame:
-        own = rows.select("r", value, "key", F.col(side).alias("h"))
-        ties = F.row_number().over(Window.partitionBy("r", "h").orderBy("key"))
-        return own.join(value_ranks(own, "h", ("r",)), ["r", "h"]).select("r", value, (F.col("below") + ties).alias("i"))
-
-    return numbered("x", "left").join(numbered("y", "right"), ["r", "i"]).groupBy("r").agg(F.corr("x", "y").alias("rho_r"))
+SEED, SERIES_REPLICATES, BLOCK = 42, 999, 14
 
 
 @register()
@@ -213,16 +88,3 @@ def x21_longevity_hc3(spark: SparkSession, sf_dir: str) -> DataFrame:
     fit = ols(bots, F.log("total_volume_usd"), x, "hc3")
     bots.unpersist()
     return table(spark, "hc3", fit, fit.rows - len(fit.names))
-
-
-@register()
-def x89_x91_tail_bootstrap(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Hill index over the leading tenth and its spread over Poisson replicates of the tail, beside the asymptotic error."""
-    rows = ranked(volumes(spark, sf_dir)).withColumn("k", F.expr("(n + 9) div 10"))
-    cut = rows.where("rank = k + 1").select(F.log("volume").alias("threshold"))
-    tail = rows.where("rank <= k").crossJoin(F.broadcast(cut)).select("entity", (F.log("volume") - F.col("threshold")).alias("excess"), "k")
-    drawn = tail.withColumn("r", replicates(TAIL_REPLICATES)).withColumn("w", poisson_draw("r", "entity")).where("w > 0")
-    alphas = drawn.groupBy("r").agg((F.sum("w") / F.sum(F.col("w") * F.col("excess"))).alias("alpha"))
-    spread = alphas.agg(F.round(F.stddev_samp("alpha"), 8).alias("bootstrap_se"), F.round(F.percentile("alpha", 0.025), 8).alias("low"), F.round(F.percentile("alpha", 0.975), 8).alias("high"))
-    own = tail.agg(F.round(1 / F.avg("excess"), 8).alias("alpha"), F.max("k").alias("k")).withColumn("asymptotic_se", F.round(F.col("alpha") / F.sqrt("k"), 8))
-    return own.crossJoin(F.broadcast(spread))
