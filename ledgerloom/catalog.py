@@ -1,3 +1,3 @@
 """Modules that register queries."""
 
-from .plans import audits, concentration, incidence, interrupted, models, named, panelmodels, protocols, relational, resampling, robustness, timeseries  # noqa: F401
+from .plans import audits, concentration, diagnostics, incidence, interrupted, models, named, panelmodels, protocols, relational, resampling, robustness, timeseries  # noqa: F401

@@ -304,13 +304,17 @@ def x73_x75_project_concentration(spark: SparkSession, sf_dir: str) -> DataFrame
     return s.agg(F.count(F.lit(1)).alias("projects"), square("ns").alias("trades_hhi"), square("vs").alias("volume_hhi"), top(1), top(4), F.round(F.sum("vol") / F.sum("n"), 4).alias("pooled_mean"), F.round(F.median("n"), 4).alias("median_trades"))
 
 
+#: A project's mean counts as far above the pooled one from this many times on.
+FAR_ABOVE = 10
+
+
 @register(
     f"""WITH {SQL_RELATIONS}, {concentration_sql('p', PRIMARY)}, {concentration_sql('l', LONGER)}, pm AS (SELECT round(sum(vol) / sum(n), 4) AS m FROM p), lm AS (SELECT round(sum(vol) / sum(n), 4) AS m FROM l),
     j AS (SELECT l.project, p.n AS pn, l.n AS ln, p.vol / p.n AS a, l.vol / l.n AS b FROM l LEFT JOIN p USING (project)), r AS (SELECT *, rank() OVER (ORDER BY a) + (count(*) OVER (PARTITION BY a) - 1) / 2.0 AS ra, rank() OVER (ORDER BY b) + (count(*) OVER (PARTITION BY b) - 1) / 2.0 AS rb FROM j WHERE pn IS NOT NULL)
-    SELECT (SELECT count(*) FROM j) AS projects, (SELECT count(*) FROM j WHERE pn IS NULL) AS new_projects, round(corr(ra, rb), 8) AS rank_correlation, (SELECT count(*) FROM j, pm, lm WHERE a >= 1.1 * pm.m AND b >= 1.1 * lm.m) AS above_in_both FROM r"""
+    SELECT (SELECT count(*) FROM j) AS projects, (SELECT count(*) FROM j WHERE pn IS NULL) AS new_projects, round(corr(ra, rb), 8) AS rank_correlation, (SELECT count(*) FROM j, pm, lm WHERE a >= {FAR_ABOVE} * pm.m AND b >= {FAR_ABOVE} * lm.m) AS above_in_both FROM r"""
 )
-def x76_cross_window(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Means by project in the nested windows: rank correlation with average ties, new projects, and those a tenth above the pooled mean in both."""
+def x76_cross_window(spark: SparkSession, sf_dir: str, factor: float = FAR_ABOVE) -> DataFrame:
+    """Means by project in the nested windows: rank correlation with average ties, new projects, and those at least factor times the pooled mean in both."""
     def of(window, k: str) -> DataFrame:
         v = priced(relation(spark, sf_dir, "victims", ["project", "amount_usd"], window)).groupBy("project").agg(F.count(F.lit(1)).alias("n"), F.round(F.sum("amount_usd"), 2).alias("vol"))
         pooled = F.round(F.sum("vol").over(whole()) / F.sum("n").over(whole()), 4)
@@ -319,7 +323,7 @@ def x76_cross_window(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = of(LONGER, "b").join(of(PRIMARY, "a"), "project", "left")
     ties = lambda c: F.rank().over(Window.orderBy(c)) + (F.count(F.lit(1)).over(Window.partitionBy(c)) - 1) / 2.0
     common = rows.where("a is not null").select(ties("a").alias("ra"), ties("b").alias("rb")).agg(F.round(F.corr("ra", "rb"), 8).alias("rank_correlation"))
-    counts = rows.agg(F.count(F.lit(1)).alias("projects"), F.count_if(F.col("a").isNull()).alias("new_projects"), F.count_if((F.col("a") >= 1.1 * F.col("a_pooled")) & (F.col("b") >= 1.1 * F.col("b_pooled"))).alias("above_in_both"))
+    counts = rows.agg(F.count(F.lit(1)).alias("projects"), F.count_if(F.col("a").isNull()).alias("new_projects"), F.count_if((F.col("a") >= factor * F.col("a_pooled")) & (F.col("b") >= factor * F.col("b_pooled"))).alias("above_in_both"))
     return counts.crossJoin(F.broadcast(common))
 
 

@@ -19,7 +19,7 @@ from ..kernels.resample import DEALT, SEED, SUMS
 from ..registry import register
 from ..runtime import stored
 from ..sources.tables import LONGER, PRIMARY
-from .concentration import TOPS, mean_ranks, ranked, volumes
+from .concentration import SQL_VOLUMES, TOPS, mean_ranks, ranked, volumes
 
 #: Replicates: of the bootstrap, of subsamples of each size, of permutations, of a tail; entities of a block; windows that are resampled.
 REPLICATES, SUBSAMPLES, PERMUTATIONS, TAIL_REPLICATES, ENTITIES = 10_000, 2_000, 10_000, 2_000, 4096
@@ -289,3 +289,30 @@ def x89_x91_tail_bootstrap(spark: SparkSession, sf_dir: str) -> DataFrame:
     spread = alphas.agg(F.round(F.stddev_samp("alpha"), 8).alias("bootstrap_se"), F.round(F.percentile("alpha", 0.025), 8).alias("low"), F.round(F.percentile("alpha", 0.975), 8).alias("high"), F.count(F.lit(1)).alias("replicates"))
     own = tail.agg(F.round(1 / F.avg("excess"), 8).alias("alpha"), F.max("k").alias("k")).withColumn("asymptotic_se", F.round(F.col("alpha") / F.sqrt("k"), 8))
     return own.crossJoin(F.broadcast(spread))
+
+
+@register()
+def x92_pareto_quantiles(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every excess over each window's thresholds beside the quantile of the fitted law at its plotting position, (i - 0.5) / k, i counted from the smallest."""
+    rows, cuts = thresholds(spark, sf_dir)
+    fits = pareto_fits(rows, cuts, tail_blocks(rows, cuts))
+    tail = rows.drop("n").join(F.broadcast(cuts), "window").where("volume > threshold").join(F.broadcast(fits), "problem").where("shape is not null")
+    p = (F.col("k") - F.col("rank") + 0.5) / F.col("k")
+    law = F.when(F.abs("shape") < 1e-9, -F.col("scale") * F.log1p(-p)).otherwise(F.col("scale") * F.expm1(-F.col("shape") * F.log1p(-p)) / F.col("shape"))
+    return described(tail.drop("window", "share")).select("window", "share", (F.col("k") - F.col("rank") + 1).alias("i"), F.round(p, 10).alias("position"), F.round(F.col("volume") - F.col("threshold"), 2).alias("excess"), F.round(law, 4).alias("model_quantile"))
+
+
+#: Thresholds of the mean excess: so many quantiles evenly from 0.70 to 0.99.
+GRID = 60
+SQL_GRID = f"""WITH {SQL_VOLUMES}, g AS (SELECT unnest(range(0, {GRID})) AS i), u AS (SELECT i, (SELECT quantile_cont(volume, [{", ".join(f"{4130 + 29 * i}/5900.0" for i in range(GRID))}]) FROM r)[i + 1] AS u FROM g)
+    SELECT CAST(i AS INTEGER) AS i, round(u, 4) AS threshold, count(volume) AS n_above, CASE WHEN count(volume) > 5 THEN round(avg(volume - u), 4) END AS mean_excess FROM u LEFT JOIN r ON volume > u + 1e-6 GROUP BY i, u"""
+
+
+@register(SQL_GRID)
+def x92_mean_excess_grid(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Mean of what exceeds a threshold over sixty thresholds between the quantiles 0.70 and 0.99 (type 7); null where no more than five entities do."""
+    vol = stored(volumes(spark, sf_dir))
+    cuts = interpolated(vol, "volume", {f"p{i}": f"{4130 + 29 * i}/5900" for i in range(GRID)}).unpivot([], [f"p{i}" for i in range(GRID)], "i", "threshold")
+    cuts = cuts.select(F.substring("i", 2, 2).cast("int").alias("i"), "threshold")
+    above = vol.crossJoin(F.broadcast(cuts)).where("volume > threshold + 1e-6").groupBy("i").agg(F.count(F.lit(1)).alias("n_above"), F.avg(F.col("volume") - F.col("threshold")).alias("mean"))
+    return cuts.join(above, "i", "left").select("i", F.round("threshold", 4).alias("threshold"), F.coalesce("n_above", F.lit(0).cast("long")).alias("n_above"), F.when(F.col("n_above") > 5, F.round("mean", 4)).alias("mean_excess"))
