@@ -8,8 +8,8 @@ merges that make its two parts, so joining all places of one pair at once gives
 Only the vocabulary (of fixed size, checked) travels to the executors; texts never leave their partition, so there is
 no shuffle. Cases: null and empty texts have no tokens and an empty decoded text; repeated rows are encoded each; an
 empty table gives an empty result; other columns are ignored.
-Very long texts are encoded whole, some hundred texts at a time; there are no ties (equal ranks go to the leftmost pair). Characters that Unicode has assigned
-after version 16 may be split otherwise than by the library, whose tables are older.
+Very long texts are encoded whole, some hundred texts at a time; there are no ties (equal ranks go to the leftmost pair). Characters that the tables of this Python or its
+regular expressions know, and those of the library don't (or the other way round), are listed below, so that every code point is split as the library does.
 """
 
 from __future__ import annotations
@@ -27,7 +27,23 @@ from pyspark.sql import DataFrame
 from .common import columns, texts
 
 #: The pre-tokenizer's pattern and white space as the vocabulary file and its library define them.
-PIECES = r"'s|'t|'re|'ve|'m|'ll|'d|\p{L}+|\p{N}|[^\s\p{L}\p{N}]+"
+#: The first two are runs of code points, in hexadecimal, that the library's tables don't know yet as letters and as numbers.
+LATER_LETTERS = """
+558 58b-58c 88f c5c cdc 208f 209d-209f a7ce-a7cf a7d2 a7d4 a7dd a7e2 a7f1 ab6c-ab6d 107bb-107bf 10940-10959 10ec5-10ec7 10ed9-10eee 11b0a 11db0-11ddb 11df1 16ea0-16eb8
+16ebb-16ed3 16ff2-16ff3 187f8-187ff 18cd6-18cda 18d09-18d20 18d80-18df2 18e00-19191 191a0-191d2 1b123-1b128 1b168 1d6a6 1df1f-1df24 1df2b-1df81 1df90-1df96 1dfcd-1dfff
+1e6c0-1e6de 1e6e0-1e6e2 1e6e4-1e6e5 1e6e7-1e6ed 1e6f0-1e6f4 1e6fe-1e6ff 2b73a-2b73f 2b81e 2cea2-2cead 323b0-33479 3d000-3fc3f
+"""
+LATER_NUMBERS = "11de0-11de9 1246f 12475-1247f 12550-12686 16ff4-16ff6"
+
+
+def charset(runs: str) -> str:
+    """Runs of code points as the inside of a character class."""
+    return "".join("-".join(chr(int(end, 16)) for end in run.split("-")) for run in runs.split())
+
+
+PIECES = (
+    r"(?V1)'s|'t|'re|'ve|'m|'ll|'d|[\p{L}--[" + charset(LATER_LETTERS) + r"]]+|[\p{N}--[" + charset(LATER_NUMBERS) + r"]]|[[^\s\p{L}\p{N}]||[" + charset(LATER_LETTERS + LATER_NUMBERS) + "]]+"
+)
 SEPARATORS = "\x1c\x1d\x1e\x1f"
 WORD_END = "</w>"
 #: A vocabulary larger than this is refused: it is sent to every executor.
