@@ -1,13 +1,14 @@
 """Main text of web pages: site templates are found by counting element subtrees per host and taken out.
 
-First pass: every block element of a page is hashed with all that stands below it. An element outside the article most of whose text is links is
+First pass: every block element of a page is hashed with all that stands below it. An element outside the article and the main part most of whose text is links is
 hashed a second time as a shell: tags and classes without texts, equal neighbours taken once, so that menus and lists whose
 entries differ from page to page are one. Spark counts for each host, and for each
 section of a host (the first directory of the path), on how many different pages each hash stands (copies of one page count once;
 partial sums before the shuffle). Second pass: subtrees that stand on many pages of their host or section, at least five and a
 tenth of them (half of them for shells), are deleted, so that a section's own template goes however large the host is. What is too rare to be counted is
-told by the markup itself, which names menus, headers, footers, sidebars, notices, adverts, forms, scripts, styles and comment sections; inside an
-article only unmistakable names count. The text blocks of the article remain.
+told by the markup itself, by elements, roles, and parts of classes and ids that name menus, headers, footers, sidebars, notices, adverts, forms, scripts, styles and comment sections; inside an
+article only unmistakable names count, and an element that holds most of what is left never goes by its name (but for comments and adverts). The text blocks of the article, or else of the main
+part, and headings before it remain.
 A text block inside the page's article is kept however often it occurs: there, frequency tells quotes, not templates.
 If there are few recurring subtrees they are broadcast, after their number has been checked; beyond that they are
 joined to the hashes of each page.
@@ -21,7 +22,9 @@ from __future__ import annotations
 
 import html
 import re
+from collections import Counter
 from collections.abc import Iterator
+from dataclasses import dataclass
 from urllib.parse import urlsplit
 
 import pyarrow as pa
@@ -45,13 +48,19 @@ DROPPED = frozenset(
     " map dialog menu title xmp noembed noframes".split()
 )
 DROPPED_ROLES = frozenset("navigation banner contentinfo complementary search form dialog alert alertdialog menu menubar".split())
-DROPPED_NAMES = re.compile(
-    r"(?:^|[\s_-])(?:ads?|adv|advert\w*|sponsor\w*|promo\w*|banner|cookies?|consent|gdpr|notice|notification|alert|popup|modal|overlay|newsletter|subscribe"
-    r"|menu|nav|navbar|navigation|breadcrumbs?|sidebar|side|widget|footer|header|masthead|toolbar|pagination|pager|share|sharing|social|related|recommended"
-    r"|comments?|commentlist|respond|replies|disqus|login|signup|search)(?:$|[\s_-])"
+#: Parts of classes and ids (between spaces, hyphens, underscores and capitals): of comments and adverts, of what surrounds an article, of what may as well be called so inside one, and
+#: of articles themselves. The last two lists are beginnings of such parts.
+COMMENTS = frozenset("comment comments commentlist commentarea commentbox disqus respond replies ad ads adv adslot adbox adunit adsbygoogle".split())
+AROUND = frozenset(
+    "cookie cookies consent gdpr newsletter subscribe menu nav navbar navigation breadcrumb breadcrumbs sidebar footer pagination pager login signup popup modal overlay toolbar".split()
 )
-#: Classes and ids that say even inside an article that an element is none of it.
-FOREIGN_NAMES = frozenset("ad ads advert advertisement adsbygoogle comments commentlist comment-list disqus_thread newsletter-signup cookie-notice share-buttons related-posts".split())
+PERHAPS = frozenset("banner notice notification alert side widget header masthead share sharing social related recommended search".split())
+OWN = frozenset("article post entry hentry content story main body text".split())
+BEGIN_COMMENTS, BEGIN_PERHAPS = ("advert", "sponsor"), ("promo",)
+#: Parts that count inside an article only as a class: ids there are anchors of its sections.
+CLASS_ONLY = AROUND - {"cookie", "cookies", "consent", "gdpr", "newsletter"} | {"share", "sharing", "related"}
+PARTS = re.compile(r"[\s_-]+|(?<=[a-z])(?=[A-Z])")
+HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 TEXT_BLOCKS = frozenset("p h1 h2 h3 h4 h5 h6 blockquote pre dd dt figcaption td th li".split())
 SPACE = re.compile(r"[\t-\r \x85\xa0  -     　]+")
 TOKEN = re.compile(r"""<!--.*?(?:-->|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>"']++|"[^"]*+"|'[^']*+')*+)>|<(/?)([a-zA-Z][^\s/>]*)([^>]*)>|<[!?/][^>]*>""", re.S)
@@ -60,35 +69,61 @@ ATTRIBUTE = re.compile(r"""\b(class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"
 MIN_PAGES, MIN_SHARE, SHELL_SHARE, MAX_BROADCAST = 5, 0.1, 0.5, 200_000
 
 
-def dropped(tag: str, attributes: str, in_article: bool) -> bool:
-    """Whether the markup names an element as something other than the article."""
+#: What the markup says of an element: nothing, that its name is one of what surrounds articles (unless it holds most of the text), or that it is none of the article.
+STAYS, NAMED, GOES = range(3)
+
+
+def judged(tag: str, attributes: str, in_article: bool) -> int:
+    """STAYS, NAMED or GOES. Inside an article only names that can't be those of its sections count."""
     if tag in DROPPED:
-        return True
+        return GOES
     if tag == "header" and not in_article:
-        return True
-    if tag in ("html", "body", "article", "main") or not attributes:
-        return False
+        return GOES
+    if tag in ("html", "body", "main") or not attributes:
+        return STAYS
+    worst = STAYS
     for name, *values in ATTRIBUTE.findall(attributes):
-        value = "".join(values).lower()
-        if name.lower() == "role":
-            if value in DROPPED_ROLES:
-                return True
-        elif in_article:
-            if not FOREIGN_NAMES.isdisjoint(value.split()):
-                return True
-        elif DROPPED_NAMES.search(value):
-            return True
-    return False
+        name, value = name.lower(), "".join(values)
+        if tag == "article":  # readers' comments may be articles too
+            tokens = value.lower().split()
+            if name == "class" and any(x.startswith("comment") for x in tokens) and OWN.isdisjoint(tokens):
+                return GOES
+            continue
+        if name == "role":
+            if value.lower() in DROPPED_ROLES:
+                return GOES
+            continue
+        parts = {x.lower() for x in PARTS.split(value)}
+        if parts & COMMENTS or any(x.startswith(BEGIN_COMMENTS) for x in parts):
+            return GOES
+        if in_article:
+            if parts & (AROUND - CLASS_ONLY) or name == "class" and parts & CLASS_ONLY:
+                worst = NAMED
+            continue
+        if parts & AROUND or (parts & PERHAPS or any(x.startswith(BEGIN_PERHAPS) for x in parts)) and not parts & OWN:
+            worst = NAMED
+    return worst
 
 
 class Element:
-    __slots__ = ("tag", "attributes", "dropped", "in_article", "parts", "shells", "first", "said", "linked")
+    __slots__ = ("tag", "attributes", "dropped", "named", "in_article", "inside", "parts", "shells", "first", "said", "linked")
 
-    def __init__(self, tag: str, attributes: str, is_dropped: bool, in_article: bool, first: int, said: int, linked: int):
-        self.tag, self.attributes, self.dropped, self.in_article, self.first, self.said, self.linked = tag, attributes, is_dropped, in_article, first, said, linked
+    def __init__(self, tag: str, attributes: str, is_dropped: bool, named: int, in_article: bool, inside: bool, first: int, said: int, linked: int):
+        self.tag, self.attributes, self.dropped, self.named, self.in_article, self.inside, self.first, self.said, self.linked = tag, attributes, is_dropped, named, in_article, inside, first, said, linked
         self.parts, self.shells = [], []
 
 
+@dataclass(frozen=True, slots=True)
+class Block:
+    """A text block: whether the markup takes it out, the outermost named element that it lies in (-1: none), whether it lies in an article or in the main part, and whether it is a heading."""
+
+    text: str
+    dropped: bool
+    named: int
+    inside: bool
+    heading: bool
+
+
 def label_of(attributes: str) -> str:
     """Class, id and role of an element, without numbers."""
     if not attributes:
@@ -103,13 +138,13 @@ def short_hash(parts: list[str], shell: int) -> int:
     return h - (1 << 64) if h >> 63 else h
 
 
-def read_page(page: str | None, names: bool = True) -> tuple[list[tuple[str, bool, bool]], list[tuple[int, int | None, str, bool, int, int]]]:
-    """The text blocks of a page in order (text, inside an element that the markup drops, inside an article), and for each closed
+def read_page(page: str | None, names: bool = True) -> tuple[list[Block], list[tuple[int, int | None, str, bool, int, int]]]:
+    """The text blocks of a page in order, and for each closed
     block element its hash, its shell's (None unless most of its text is links and it lies in no article), tag, whether it lies in an article, and
     the range of blocks that it holds. Without names, elements are not judged by what they are called."""
-    blocks: list[tuple[str, bool, bool]] = []
+    blocks: list[Block] = []
     elements: list[tuple[int, int | None, str, bool, int, int]] = []
-    stack = [Element("", "", False, False, 0, 0, 0)]
+    stack, opened = [Element("", "", False, -1, False, False, 0, 0, 0)], 0
     places: dict[str, list[int]] = {}  # where in the stack the open elements of each tag are
     run: list[str] = []
     said = linked = 0
@@ -120,7 +155,8 @@ def read_page(page: str | None, names: bool = True) -> tuple[list[tuple[str, boo
             text = SPACE.sub(" ", html.unescape("".join(run))).strip(" ")
             run.clear()
             if text:
-                blocks.append((text, stack[-1].dropped, stack[-1].in_article))
+                e = stack[-1]
+                blocks.append(Block(text, e.dropped, e.named, e.inside, e.tag in HEADINGS))
                 stack[-1].parts.append(text)
 
     def close(depth: int) -> None:
@@ -130,13 +166,13 @@ def read_page(page: str | None, names: bool = True) -> tuple[list[tuple[str, boo
             digest = short_hash([e.tag, *e.parts], 0)
             stack[-1].parts.append(f"{digest:x}")
             shell = None
-            if not e.in_article:
+            if not e.inside:
                 shell = short_hash([e.tag, label_of(e.attributes), *e.shells], 1)
                 if stack[-1].shells[-1:] != [f"{shell:x}"]:
                     stack[-1].shells.append(f"{shell:x}")
             if len(blocks) > e.first and e.tag in BLOCKS:
-                links = not e.in_article and 2 * (linked - e.linked) >= said - e.said > 0
-                elements.append((digest, shell if links else None, e.tag, e.in_article, e.first, len(blocks)))
+                links = not e.inside and 2 * (linked - e.linked) >= said - e.said > 0
+                elements.append((digest, shell if links else None, e.tag, e.inside, e.first, len(blocks)))
 
     def last(tags) -> int:
         return max((places[t][-1] for t in tags if places.get(t)), default=0)
@@ -183,10 +219,12 @@ def read_page(page: str | None, names: bool = True) -> tuple[list[tuple[str, boo
         if not block:
             continue  # inline elements neither split text nor count as subtrees of their own
         above = stack[-1]
-        in_article = above.in_article or tag in ("article", "main")
-        gone = above.dropped or (tag in DROPPED and tag not in BLOCKS if not names else dropped(tag, attributes, in_article))
+        in_article = above.in_article or tag == "article"
+        says = judged(tag, attributes, in_article) if names else GOES if tag in DROPPED and tag not in BLOCKS else STAYS
+        opened += 1
+        named = opened if says == NAMED and above.named < 0 else above.named
         places.setdefault(tag, []).append(len(stack))
-        stack.append(Element(tag, attributes, gone, in_article, len(blocks), said, linked))
+        stack.append(Element(tag, attributes, above.dropped or says == GOES, named, in_article, above.inside or tag in ("article", "main"), len(blocks), said, linked))
     hear(page[at:])
     flush()
     close(1)
@@ -221,16 +259,22 @@ class Either:
 
 
 def main_text(page: str | None, recurring: frozenset[int] | set[int] | Either, names: bool = True) -> str:
-    """The article's blocks, without the recurring subtrees; all other blocks where a page marks no article."""
+    """The article's blocks and headings before it, without the recurring subtrees; all other blocks where a page marks no article. An element that is only named like what
+    surrounds an article stays if it holds more than half of the text that is left."""
     blocks, elements = read_page(page, names)
     gone = set()
-    for digest, shell, tag, in_article, first, end in elements:
-        if (digest in recurring or shell is not None and shell in recurring) and not (in_article and tag in TEXT_BLOCKS) and tag not in ("article", "main", "body", "html"):
+    for digest, shell, tag, inside, first, end in elements:
+        if (digest in recurring or shell is not None and shell in recurring) and not (inside and tag in TEXT_BLOCKS) and tag not in ("article", "main", "body", "html"):
             gone.update(range(first, end))
-    kept = [(text, inside) for i, (text, is_dropped, inside) in enumerate(blocks) if not is_dropped and i not in gone]
-    if any(inside for _, inside in kept):
-        kept = [x for x in kept if x[1]]
-    return "\n\n".join(text for text, _ in kept)
+    kept = [b for i, b in enumerate(blocks) if not b.dropped and i not in gone]
+    held = Counter()
+    for b in kept:
+        held[b.named] += len(b.text)
+    kept = [b for b in kept if b.named < 0 or 2 * held[b.named] > held.total()]
+    first = next((i for i, b in enumerate(kept) if b.inside), None)
+    if first is not None:
+        kept = [b for i, b in enumerate(kept) if b.inside or b.heading and i < first]
+    return "\n\n".join(b.text for b in kept)
 
 
 def subtree_hashes(pages: DataFrame) -> DataFrame:
