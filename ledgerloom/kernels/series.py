@@ -22,6 +22,18 @@ def least_squares(x: np.ndarray, y: np.ndarray, lags: int) -> tuple[np.ndarray,
     return beta, inverse @ bartlett(x * (y - x @ beta)[:, None], lags) @ inverse, True
 
 
+def by_cluster(x: np.ndarray, y: np.ndarray, labels: np.ndarray) -> tuple[np.ndarray, np.ndarray, int]:
+    """Coefficients of least squares, their CR1 covariance by label, and the number of labels."""
+    turned = np.linalg.pinv(x)
+    beta = turned @ y
+    found, at = np.unique(labels, return_inverse=True)
+    sums = np.zeros((len(found), x.shape[1]))
+    np.add.at(sums, at, x * (y - x @ beta)[:, None])
+    g, (n, k) = len(found), x.shape
+    inverse = turned @ turned.T
+    return beta, inverse @ sums.T @ sums @ inverse * g / max(1, g - 1) * (n - 1) / max(1, n - k), g
+
+
 def counts(x: np.ndarray, y: np.ndarray, lags: int, tolerance: float = 1e-8, most: int = 60) -> tuple[np.ndarray, np.ndarray, bool]:
     """The same for Poisson pseudo maximum likelihood with a log link (first column of x: ones), and whether the steps died down."""
     beta, done = np.append(np.log(max(1e-12, y.mean())), np.zeros(x.shape[1] - 1)), False

@@ -13,7 +13,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ..kernels.series import counts, least_squares, restricted
+from ..kernels.series import by_cluster, counts, least_squares, restricted
 from ..kernels.tails import chi_square_tail, f_tail, normal_two_sided, with_holm
 from ..registry import register
 from .named import q1_daily_activity
@@ -136,3 +136,34 @@ def x49_slope_tests(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = tests(spark, fitted(spark, sf_dir, [(o, "main", MAIN) for o in OUTCOMES]), SLOPES)
     with_holm(rows, 8)
     return spark.createDataFrame([tuple(r) for r in rows], f"{TESTED}, p_holm double")
+
+
+def clustered(frame: pd.DataFrame) -> pd.DataFrame:
+    """Terms and joint tests of the main model of one outcome, under clusters of calendar months of their year."""
+    frame = frame.sort_values("t")
+    names, x = design(frame, "main")
+    beta, covariance, groups = by_cluster(x, frame["y"].to_numpy(float), frame["period"].astype(str).to_numpy())
+    at, outcome = {n: i for i, n in enumerate(names)}, frame["outcome"].iloc[0]
+    rows = [(outcome, n, beta[at[n]], max(0.0, covariance[at[n], at[n]]) ** 0.5, None, 1, groups) for n in names if n in TERMS]
+    for name, parts in (JOINT | {"both_events": tuple((t,) for t in TERMS[1:])}).items():
+        c = np.zeros((len(parts), len(names)))
+        for row, terms in zip(c, parts):
+            row[[at[n] for n in terms]] = 1
+        statistic, q = restricted(beta, covariance, c)
+        rows.append((outcome, name, None, None, statistic, q, groups))
+    return pd.DataFrame(rows, columns=["outcome", "name", "estimate", "se", "statistic", "q", "clusters"])
+
+
+@register()
+def x33_clustered_series(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Trend, steps and slopes at both events of three log outcomes under clusters of months (CR1), with t-tests, and F tests of each event and of both."""
+    asked = F.explode(F.array(*[F.struct(F.lit(o).alias("outcome"), F.ln(o).alias("y")) for o in OUTCOMES])).alias("m")
+    keep = ["t", "weekday", "month", "since_1", "since_2"]
+    rows = days(spark, sf_dir).select(*keep, F.date_format("date", "yyyy-MM").alias("period"), asked).select("m.*", *keep, "period").where("y is not null")
+    found = rows.groupBy("outcome").applyInPandas(clustered, "outcome string, name string, estimate double, se double, statistic double, q int, clusters long").collect()
+    out = []
+    for r in sorted(found, key=lambda r: (r.outcome, r.statistic is not None, r.name)):
+        free = r.clusters - 1
+        f = r.statistic / r.q if r.estimate is None else (r.estimate / r.se) ** 2 if r.se else None
+        out.append((r.outcome, r.name, r.estimate, r.se, f, r.q, free, f_tail(spark, f, r.q, free) if f is not None and free > 0 else None))
+    return spark.createDataFrame(out, "outcome string, name string, estimate double, se double, f double, q int, df long, p double")

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from ..functions.ranks import interpolated
 from ..operators.joins import unique_on
-from ..registry import register
+from ..registry import ORACLE_SQL, register
 from ..sources.tables import LONGER, PRIMARY, SQL_RELATIONS, relation
 from .concentration import SQL_WINDOW
 from .named import SQL_PANEL, attack_panel, priced, q5b_tier_impact, qp_protocols
@@ -197,7 +197,19 @@ def x100_routers(spark: SparkSession, sf_dir: str, senders: int = ROUTER_SENDERS
     return top.crossJoin(F.broadcast(whole)).select("top30_trades", F.round(F.col("top30_trades") / F.col("all"), 8).alias("top30_share"), "many_senders", F.round(F.col("s") * 100 / F.col("top30_trades"), 6).alias("senders_per_100_trades"))
 
 
-@register()
+SQL_VALIDATION = f"""WITH t AS (SELECT * FROM ({ORACLE_SQL["q5b_tier_impact"]})), p AS (SELECT * FROM ({ORACLE_SQL["qp_protocols"]})), n AS (SELECT * FROM ({ORACLE_SQL["q5e_attack_rates"]})),
+    c AS (SELECT 'tiers hold every victim swap' AS "check", (SELECT total_victim_trades FROM ({ORACLE_SQL["q5a_break_points"]})) AS expected, (SELECT sum(victim_trades) FROM t) AS computed, 0.0 AS tolerance
+    UNION ALL SELECT 'protocols hold every victim swap', (SELECT total_victim_trades FROM ({ORACLE_SQL["q5a_break_points"]})), (SELECT sum(victim_trade_count) FROM p), 0.0
+    UNION ALL SELECT 'tier shares add up to 100', 100, (SELECT sum(pct_of_trades) FROM t), 1e-7
+    UNION ALL SELECT 'tiers and protocols hold the same volume', (SELECT sum(total_volume) FROM t), (SELECT sum(total_volume_usd) FROM p), 1e-9
+    UNION ALL SELECT 'candidates are attacked or not', 0, (SELECT count(*) FROM n WHERE candidate_trade_events <> attacked_trade_events + unattacked_trade_events), 0.0
+    UNION ALL SELECT 'no cell of the panel is repeated', 0, (SELECT count(*) FROM (SELECT 1 FROM n GROUP BY month, project, version, trade_size_bin HAVING count(*) > 1)), 0.0
+    UNION ALL SELECT 'means are sums over counts', 0, (SELECT count(*) FROM n WHERE abs(avg_trade_size_usd * candidate_trade_events - candidate_volume_usd) > 0.0001 * candidate_trade_events + 0.01), 0.0
+    UNION ALL SELECT 'one median cuts all tiers', 1, (SELECT count(DISTINCT cutoff_p50) FROM t), 0.0)
+    SELECT "check", round(CAST(expected AS DOUBLE), 4) AS expected, round(CAST(computed AS DOUBLE), 4) AS computed, CASE WHEN abs(expected - computed) <= tolerance * greatest(1.0, abs(expected)) THEN 'PASS' ELSE 'FAIL' END AS status FROM c"""
+
+
+@register(SQL_VALIDATION)
 def v01_v08_validation(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Identities that hold between products whatever the data: check, expected, computed, status."""
     tiers, protocols, panel = q5b_tier_impact(spark, sf_dir), qp_protocols(spark, sf_dir), attack_panel(spark, sf_dir)
@@ -207,7 +219,7 @@ def v01_v08_validation(spark: SparkSession, sf_dir: str) -> DataFrame:
         e, c = expected.toDF("expected"), computed.toDF("computed")
         both = e.crossJoin(F.broadcast(c)).select(F.lit(name).alias("check"), F.col("expected").cast("double").alias("expected"), F.col("computed").cast("double").alias("computed"))
         close = F.abs(F.col("expected") - F.col("computed")) <= F.lit(tolerance) * F.greatest(F.lit(1.0), F.abs("expected"))
-        return both.withColumn("status", F.when(close, "PASS").otherwise("FAIL"))
+        return both.withColumn("status", F.when(close, "PASS").otherwise("FAIL")).withColumns({c: F.round(c, 4) for c in ("expected", "computed")})
 
     n, zero = victims.agg(F.count(F.lit(1))), spark.range(1).select(F.lit(0))
     broken = panel.where("candidate_trade_events <> attacked_trade_events + unattacked_trade_events").agg(F.count(F.lit(1)))

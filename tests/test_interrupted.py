@@ -80,3 +80,24 @@ def test_kernels():
     assert np.allclose(v, inverse @ (scores.T @ weights @ scores) @ inverse)
     # Columns that depend on each other share their effect, and no error is raised.
     assert np.isfinite(least_squares(np.column_stack([x, x[:, 1]]), y, 5)[0]).all()
+
+
+def test_clusters_of_months(spark, sf_dir):
+    from ledgerloom.plans.interrupted import OUTCOMES, days, design
+
+    got = {(r.outcome, r.name): r for r in QUERIES["x33_clustered_series"](spark, sf_dir).collect()}
+    frame = days(spark, sf_dir).toPandas().sort_values("t")
+    for outcome in OUTCOMES:
+        own = frame[frame[outcome] > 0]
+        names, x = design(own, "main")
+        y, labels = np.log(own[outcome].to_numpy(float)), own.date.map(lambda d: f"{d.year}-{d.month:02}").to_numpy()
+        inverse = np.linalg.pinv(x.T @ x)
+        beta = inverse @ x.T @ y
+        sums = np.array([(x * (y - x @ beta)[:, None])[labels == g].sum(0) for g in np.unique(labels)])
+        g, (n, k) = len(sums), x.shape
+        v = inverse @ sums.T @ sums @ inverse * g / (g - 1) * (n - 1) / (n - k)
+        for name in ("t", "step_1", "slope_1", "step_2", "slope_2"):
+            i, r = names.index(name), got[outcome, name]
+            assert r.estimate == pytest.approx(beta[i], rel=1e-5, abs=1e-9) and r.se == pytest.approx(v[i, i] ** 0.5, rel=1e-4) and r.df == g - 1
+        at = [names.index(c) for c in ("step_2", "slope_2")]
+        assert got[outcome, "event_2"].f == pytest.approx(beta[at] @ np.linalg.pinv(v[np.ix_(at, at)]) @ beta[at] / 2, rel=1e-3) and 0 <= got[outcome, "both_events"].p <= 1
