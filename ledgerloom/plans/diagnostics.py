@@ -101,7 +101,7 @@ def x87_detectable_t(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 #: Queries that hold families of tests: hypothesis, family, rows that belong to it, the correction, what errors or bounds rest on, and how it counts.
 FAMILIES = {
-    "x10_x11_bootstrap": ("concentration", "intervals of each measure by window", "true", "none: one interval for each measure", "bootstrap of entities", "confirmatory in the primary window"),
+    "x10_x11_bootstrap": ("concentration", "intervals of each measure by window", "window <> 'all'", "none: one interval for each measure", "bootstrap of entities", "confirmatory in the primary window"),
     "x56_e_tests": ("incidence", "monthly conditional tests of bins by direction", "p_bound is not null", "Bonferroni on bounds of p", "sequential, by bin", "descriptive"),
     "x62_hoeffding": ("incidence", "simultaneous bounds of bins", "true", "inside the bound", "sequential, by bin", "descriptive interval"),
     "x72_stability_gate": ("incidence", "size bins against the smallest", "p is not null", "Holm", "clusters of project and version (CR1)", "confirmatory where the gate lets it"),

@@ -24,6 +24,7 @@ from .concentration import SQL_VOLUMES, TOPS, mean_ranks, ranked, volumes
 #: Replicates: of the bootstrap, of subsamples of each size, of permutations, of a tail; entities of a block; windows that are resampled.
 REPLICATES, SUBSAMPLES, PERMUTATIONS, TAIL_REPLICATES, ENTITIES = 10_000, 2_000, 10_000, 2_000, 4096
 WINDOWS = {"primary": PRIMARY, "longer": LONGER}
+ALSO_ALL = WINDOWS | {"all": None}
 POWERS = (0.5, 0.75, 0.9)
 #: Percent of entities beyond a threshold: the quantile of the rest (type 7).
 SHARES = {"5": "19/20", "10": "9/10", "15": "17/20", "20": "4/5"}
@@ -43,10 +44,10 @@ def numbered(names: list[str]) -> Column:
     return F.element_at(F.array(*map(F.lit, names)), (F.col("problem") + 1).cast("int"))
 
 
-def ranked_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
+def ranked_windows(spark: SparkSession, sf_dir: str, windows: dict = WINDOWS) -> DataFrame:
     """problem, entity, volume, rank, n of every window's entities."""
     rows = None
-    for i, window in enumerate(WINDOWS.values()):
+    for i, window in enumerate(windows.values()):
         own = ranked(volumes(spark, sf_dir, window)).withColumn("problem", F.lit(i).cast("long"))
         rows = own if rows is None else rows.unionByName(own)
     return rows
@@ -100,19 +101,19 @@ def resampled(blocks: DataFrame, resamples: DataFrame, sums: Callable = kernels.
 
 @register()
 def x10_x11_bootstrap(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Percentile intervals of Gini, Herfindahl index and the leading shares in both windows: every replicate draws exactly as many entities as there are, with replacement."""
-    blocks = stored(entity_blocks(ranked_windows(spark, sf_dir)))
-    return interval(resampled(blocks, plain_salts(spark, len(WINDOWS), REPLICATES)).withColumn("window", numbered(list(WINDOWS))), "window")
+    """Percentile intervals of Gini, Herfindahl index and the leading shares in both windows and over all days: every replicate draws exactly as many entities as there are, with replacement."""
+    blocks = stored(entity_blocks(ranked_windows(spark, sf_dir, ALSO_ALL)))
+    return interval(resampled(blocks, plain_salts(spark, len(ALSO_ALL), REPLICATES)).withColumn("window", numbered(list(ALSO_ALL))), "window")
 
 
 @register()
 def x12_subsamples(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Spread of Gini, Herfindahl index and the leading shares over subsamples of n ** 0.5, 0.75 and 0.9 entities of both windows without replacement: those
+    """Spread of Gini, Herfindahl index and the leading shares over subsamples of n ** 0.5, 0.75 and 0.9 entities of both windows and of all days without replacement: those
     with the smallest keyed numbers, up to the m-th smallest, which is found first."""
-    blocks = stored(entity_blocks(ranked_windows(spark, sf_dir)))
+    blocks = stored(entity_blocks(ranked_windows(spark, sf_dir, ALSO_ALL)))
     n = blocks.groupBy("problem").agg(F.max("n").alias("n"))
     powers = F.explode(F.array(*[F.struct(F.lit(i).alias("i"), F.lit(p).alias("power")) for i, p in enumerate(POWERS)])).alias("p")
-    asked = plain_salts(spark, len(WINDOWS), SUBSAMPLES).withColumnRenamed("salt", "id").select("problem", "id", powers).join(F.broadcast(n), "problem")
+    asked = plain_salts(spark, len(ALSO_ALL), SUBSAMPLES).withColumnRenamed("salt", "id").select("problem", "id", powers).join(F.broadcast(n), "problem")
     asked = asked.select("problem", (F.col("id") * len(POWERS) + F.col("p.i")).alias("salt"), F.col("p.power").alias("power"), F.ceil(F.pow(F.col("n").cast("double"), F.col("p.power"))).alias("m"))
     pairs = spread_out(blocks.select("problem", "n", "key").join(dealt(asked, "m"), "problem"))
     found = pairs.mapInPandas(kernels.near_limit, "salt long, m long, below long, near array<long>").groupBy("salt", "m")
@@ -120,7 +121,7 @@ def x12_subsamples(spark: SparkSession, sf_dir: str) -> DataFrame:
     # The m-th smallest lies outside with a chance of some 10 ** -18; then the query fails rather than draw another number.
     cap = F.when(F.expr("place between 1 and size(near)"), F.element_at("near", F.col("place").cast("int"))).otherwise(F.raise_error(F.lit("no limit")))
     limits = stored(found.select("salt", cap.alias("cap")).join(asked.select("salt", "problem"), "salt"))
-    rows = resampled(blocks, limits, values=("cap",)).join(asked.drop("problem"), "salt").withColumn("window", numbered(list(WINDOWS)))
+    rows = resampled(blocks, limits, values=("cap",)).join(asked.drop("problem"), "salt").withColumn("window", numbered(list(ALSO_ALL)))
     return interval(rows, "window", "power", "m")
 
 

@@ -59,9 +59,9 @@ def test_draws_are_multinomial():
 
 def test_numbers_of_resamples(spark, sf_dir):
     boot = QUERIES["x10_x11_bootstrap"](spark, sf_dir).collect()
-    assert {(r.window, r.measure) for r in boot} == {(w, m) for w in ("primary", "longer") for m in ("gini", "hhi", "cr1", "cr4", "cr10", "cr20", "top_1pct")} and {r.replicates for r in boot} == {10_000}
+    assert {(r.window, r.measure) for r in boot} == {(w, m) for w in ("primary", "longer", "all") for m in ("gini", "hhi", "cr1", "cr4", "cr10", "cr20", "top_1pct")} and {r.replicates for r in boot} == {10_000}
     some = QUERIES["x12_subsamples"](spark, sf_dir).collect()
-    assert {r.replicates for r in some} == {2_000} and {(r.window, r.power) for r in some} == {(w, p) for w in ("primary", "longer") for p in (0.5, 0.75, 0.9)}
+    assert {r.replicates for r in some} == {2_000} and {(r.window, r.power) for r in some} == {(w, p) for w in ("primary", "longer", "all") for p in (0.5, 0.75, 0.9)}
     rows = QUERIES["x18_permutation_spearman"](spark, sf_dir).collect()
     assert len(rows) == 4 and {r.permutations for r in rows} == {10_000} and all(1 / 10_001 <= r.p <= 1 for r in rows)
     assert QUERIES["x37_sup_f_bootstrap"](spark, sf_dir).first().replicates == 999
@@ -85,7 +85,7 @@ def test_subsamples_have_their_size(spark, sf_dir, monkeypatch):
     monkeypatch.setattr(resampling, "resampled", lambda blocks, limits, values: (caps.append((blocks.collect(), limits.collect())), limits.select("problem", "salt", F.lit("x").alias("measure"), F.lit(1.0).alias("value")))[1])
     sizes = {(r.window, r.power): r.m for r in QUERIES["x12_subsamples"](spark, sf_dir).collect()}
     blocks, limits = caps[0]
-    for i, window in enumerate(("primary", "longer")):
+    for i, window in enumerate(("primary", "longer", "all")):
         key = np.concatenate([np.array(b.key) for b in blocks if b.problem == i])
         own = [r for r in limits if r.problem == i]
         assert len(own) == 60
