@@ -185,6 +185,29 @@ def op1_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return done.select("doc_id", "n_bytes", "n_removed", F.size("spans").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"))
 
 
+#: Bytes as pairs of hexadecimal digits; texts are cut into pieces of a thousand places, so that no string is taken from far inside a long one.
+ORACLE_SQL["op1_suffix_dedup"] = """
+WITH d AS MATERIALIZED (
+    SELECT doc_id, row_number() OVER (ORDER BY doc_id NULLS FIRST, text NULLS FIRST) AS g, hex(encode(coalesce(text, ''))) AS x FROM documents
+), b AS MATERIALIZED (
+    SELECT g, o, substr(x, 2 * o + 1, 2198) AS x FROM (SELECT g, x, unnest(range(0, length(x) // 2, 1000)) AS o FROM d)
+), s AS MATERIALIZED (
+    SELECT g, o + i AS i, md5_number(substr(x, 2 * i + 1, 200)) AS h FROM (SELECT g, o, x, unnest(range(0, length(x) // 2 - 99)) AS i FROM b)
+), f AS (SELECT h, min((g, i)) AS first FROM s GROUP BY h HAVING count(*) > 1),
+r AS (SELECT g, i, i - lag(i) OVER (PARTITION BY g ORDER BY i) AS gap FROM s JOIN f USING (h) WHERE (g, i) <> first),
+p AS (SELECT g, i, sum(CASE WHEN gap <= 100 THEN 0 ELSE 1 END) OVER (PARTITION BY g ORDER BY i ROWS UNBOUNDED PRECEDING) AS span FROM r),
+c AS (SELECT g, span, min(i) AS a, max(i) + 100 AS e FROM p GROUP BY g, span),
+k AS (SELECT g, a, e, lag(e, 1, 0) OVER (PARTITION BY g ORDER BY a) AS before FROM c),
+m AS (
+    SELECT g, count(*) AS n, sum(e - a) AS removed, max(e) AS last, string_agg(substr(x, 2 * before + 1, 2 * (a - before)), '' ORDER BY a) AS head
+    FROM k JOIN d USING (g) GROUP BY g
+)
+SELECT doc_id, CAST(length(x) // 2 AS BIGINT) AS n_bytes, CAST(coalesce(removed, 0) AS BIGINT) AS n_removed, CAST(coalesce(n, 0) AS BIGINT) AS n_spans,
+    sha256(unhex(coalesce(head, '') || substr(x, 2 * coalesce(last, 0) + 1))) AS kept_sha256
+FROM d LEFT JOIN m USING (g)
+"""
+
+
 @query
 def op3_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Lines of every document, how many of them stay when one line of each component of similar lines does, and what remains."""
@@ -212,6 +235,46 @@ def op12_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spelling_variants(table(spark, sf_dir, "documents"))
 
 
+def crc_nibbles() -> list[int]:
+    """What four bits of a CRC-32 become."""
+    out = []
+    for c in range(16):
+        for _ in range(4):
+            c = c >> 1 ^ (0xEDB88320 if c & 1 else 0)
+        out.append(c)
+    return out
+
+
+def sql_crc32(text: str) -> str:
+    """CRC-32 of a text's UTF-8 bytes in SQL, four bits at a time, the lower ones of a byte first."""
+    steps = f"list_transform(string_split(regexp_replace(hex(encode({text})), '(.)(.)', '\\2\\1', 'g'), ''), lambda c: CAST(strpos('0123456789ABCDEF', c) - 1 AS BIGINT))"
+    step = f"xor(c >> 4, list_extract({crc_nibbles()}::BIGINT[], CAST((xor(c, b) & 15) + 1 AS BIGINT)))"
+    return f"xor(4294967295, list_reduce({steps}, lambda c, b: {step}, CAST(4294967295 AS BIGINT)))"
+
+
+ORACLE_SQL["op12_spelling_variants"] = f"""
+WITH RECURSIVE t AS MATERIALIZED (
+    SELECT coalesce(CAST(doc_id AS VARCHAR), 'null') AS d, w, count(*) AS n FROM (
+        SELECT doc_id, unnest(regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[a-z\\x{{C0}}-\\x{{FF}}]+')) AS w FROM documents
+    ) GROUP BY ALL
+), h AS MATERIALIZED (SELECT w, n, {sql_crc32("d || ':' || w")} AS h FROM t),
+v AS MATERIALIZED (
+    SELECT word, CAST(sum(n) AS BIGINT) AS n FROM (SELECT CASE WHEN h % 97 = 0 THEN substr(w, 1, h % length(w)) || substr(w, h % length(w) + 2) ELSE w END AS word, n FROM h)
+    WHERE length(word) >= 5 GROUP BY word HAVING sum(n) >= 3
+), e AS MATERIALIZED (SELECT word, n, i, substr(word, 1, i - 1) AS a, substr(word, i + 1) AS z FROM (SELECT word, n, unnest(range(1, length(word) + 1)) AS i FROM v)),
+s AS (SELECT DISTINCT e.word AS long, v.word AS short, e.n AS n_long, v.n AS n_short FROM e JOIN v ON v.word = e.a || e.z),
+near AS MATERIALIZED (
+    SELECT x.word, y.word AS other, y.n AS other_n FROM e x JOIN e y ON x.i = y.i AND x.a = y.a AND x.z = y.z AND x.word <> y.word
+    UNION ALL SELECT long, short, n_short FROM s UNION ALL SELECT short, long, n_long FROM s
+), b AS MATERIALIZED (
+    SELECT v.word, v.n, count(other) AS n_near, max(other_n) AS top, min(other) FILTER (other_n = m) AS best
+    FROM v LEFT JOIN (SELECT *, max(other_n) OVER (PARTITION BY word) AS m FROM near) USING (word) GROUP BY v.word, v.n
+), f AS MATERIALIZED (SELECT word, n, n_near, CASE WHEN top >= 2 * n THEN best END AS form, CASE WHEN top >= 2 * n THEN top END AS form_n FROM b),
+r AS (SELECT word, word AS last FROM f UNION ALL SELECT r.word, f.form FROM r JOIN f ON f.word = r.last WHERE f.form IS NOT NULL)
+SELECT f.word, form, last AS root, n, n_near, form_n FROM f JOIN r USING (word) JOIN (SELECT word AS last FROM f WHERE form IS NULL) USING (last)
+"""
+
+
 @query
 def op13_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every conversation, harmed by a keyed draw: its faults, and the cheapest edits that repair its structure."""
