@@ -1,12 +1,14 @@
 """Benchmark decontamination: an FM-index over each shard of training documents, searched for benchmark windows.
 
-A shard is a run of whole documents inside one task. Its words become numbers (those of the benchmark's vocabulary; any
-other word is a break), and runs shorter than the shortest window, which can hold none, are left out. Over what
-remains stand a suffix array, its Burrows-Wheeler transform in a wavelet matrix, and every eighth suffix position.
-All windows are searched backward at once; the rows found are walked to sampled positions; occurrences become word
+A shard is a run of whole documents inside one task. Its words become numbers; words that are not in the benchmark's
+vocabulary (told by a filter of fixed size, which lets a few others pass) are breaks, and runs shorter than the shortest window,
+which can hold none, are left out. Over what remains stand, once for each shard, a suffix array, its Burrows-Wheeler
+transform in a wavelet matrix, and every eighth suffix position. Blocks of windows pass by, one after another: all phrases of a
+block are searched backward at once; the rows found are walked to sampled positions; occurrences become word
 spans, which are merged in each document. Documents never leave their shard, so there is no shuffle, however often a
-passage occurs. Windows are sent out in blocks of at most block_windows, one pass over the shards for each block, so
-that what is broadcast has a bound whatever the size of the benchmark.
+passage occurs. A block has about block_windows windows or BLOCK_BYTES at most; at most PASS_BLOCKS of them are sent out
+at a time. Beyond that the result so far is written, they are taken back, and the next ones pass over it, so that what is
+broadcast has a bound whatever the size of the benchmark.
 
 Cases: null and empty texts have no words; a benchmark item without words finds nothing; an item whose id is null is
 named "null"; repeated items count once; repeated documents are judged each; empty tables give an empty result or no
@@ -15,16 +17,21 @@ hits; other columns are ignored.
 
 from __future__ import annotations
 
+import pickle
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import columns, texts, words
+from .common import columns, stored, texts, words
+from .packed import in_filter, key_filter
 
 WINDOW, BLOCK_WINDOWS, SHARD_WORDS, SAMPLE = 13, 200_000, 2_000_000, 8
+#: Bytes of a block's phrases and item names, and blocks that are broadcast at a time.
+BLOCK_BYTES, PASS_BLOCKS = 64 << 20, 8
 
 
 def suffix_array(text: np.ndarray) -> np.ndarray:
@@ -103,47 +110,87 @@ class FMIndex:
 
 
 class Windows:
-    """A block of benchmark windows as numbers; symbol 0 ends a text and 1 breaks it."""
+    """A block of benchmark windows: words by their place in the block's vocabulary, each phrase once, beside the items that have it."""
 
     def __init__(self, rows: list[tuple[str, bytes]]):
-        split = [w.split() for _, w in rows]
-        self.number = {w: i for i, w in enumerate(sorted({w for s in split for w in s}), 2)}
+        by: dict[bytes, set[str]] = {}
+        for item, phrase in rows:
+            by.setdefault(phrase, set()).add(item)
+        split = [phrase.split() for phrase in by]
+        self.words = sorted({w for s in split for w in s})
         self.items = sorted({item for item, _ in rows})
-        at = {item: i for i, item in enumerate(self.items)}
-        self.item = np.array([at[item] for item, _ in rows], np.int64)
+        place, at = ({x: i for i, x in enumerate(known)} for known in (self.words, self.items))
         self.sizes = np.array(list(map(len, split)), np.int64)
-        self.patterns = np.zeros((len(rows), int(self.sizes.max())), np.int64)
+        self.places = np.full((len(split), int(self.sizes.max(initial=0))), len(self.words), np.int32)
         for i, s in enumerate(split):
-            self.patterns[i, -len(s) :] = [self.number[w] for w in s]
+            self.places[i, -len(s) :] = [place[w] for w in s]
+        self.n_items = np.array(list(map(len, by.values())), np.int64)
+        self.item = np.array([at[x] for own in by.values() for x in own], np.int64)
 
-    def find(self, docs: list[list[bytes]]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-        """Occurrences in a shard: document, first word, end (exclusive), item."""
+
+class Shard:
+    """Whole documents under one FM-index. Symbol 0 ends the text and 1 breaks it; words are numbered as the shard holds them."""
+
+    def __init__(self, docs: list[list[bytes]], bits: np.ndarray, least: int):
         counts = np.fromiter(map(len, docs), np.int64, len(docs))
-        get = self.number.get
-        code = np.fromiter((get(w, 1) for d in docs for w in d), np.int64, int(counts.sum()))
-        owner = np.repeat(np.arange(len(docs)), counts)
-        # Runs of known words inside one document, long enough for the shortest window; each with a break after it.
-        known = code > 1
-        new = np.append(True, (known[1:] != known[:-1]) | (owner[1:] != owner[:-1])) if len(code) else np.zeros(0, bool)
+        self.first = np.cumsum(counts) - counts
+        number: dict[bytes, int] = {}
+        code = np.fromiter((number.setdefault(w, len(number)) for d in docs for w in d), np.int64, int(counts.sum()))
+        known = in_filter(bits, word_names(list(number)))[code]
+        self.owner = np.repeat(np.arange(len(docs)), counts)
+        # Runs of words that the benchmark may have, inside one document, long enough for the shortest window; each with a break after it.
+        new = np.append(True, (known[1:] != known[:-1]) | (self.owner[1:] != self.owner[:-1]))[: len(code)]
         starts = np.flatnonzero(new)
         sizes = np.diff(np.append(starts, len(code)))
-        held = known[starts] & (sizes >= self.sizes.min()) if len(starts) else np.zeros(0, bool)
+        held = known[starts] & (sizes >= least)
         starts, sizes = starts[held], sizes[held]
+        self.index, self.symbol = None, {}
         if not len(starts):
-            return (np.zeros(0, np.int64),) * 4
+            return
         ends = np.cumsum(sizes + 1)
-        source = np.repeat(starts - (ends - sizes - 1), sizes + 1) + np.arange(ends[-1])
-        text = code[np.minimum(source, len(code) - 1)]
-        text[ends - 1] = 1
-        index = FMIndex(text, len(self.number) + 2)
-        which, lo, hi = index.search(self.patterns, self.sizes)
-        n = hi - lo
+        self.source = np.repeat(starts - (ends - sizes - 1), sizes + 1) + np.arange(ends[-1])
+        text = code[np.minimum(self.source, len(code) - 1)]
+        text[ends - 1] = -1
+        left, text = np.unique(text, return_inverse=True)
+        all_words = list(number)
+        self.symbol = {all_words[c]: i + 2 for i, c in enumerate(left[1:].tolist())}
+        self.index = FMIndex(text.astype(np.int64) + 1, len(left) + 1)
+
+    def find(self, block: Windows) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """Occurrences of the block's phrases (document, first word, end), and the documents and items that they bring together."""
+        none = np.zeros(0, np.int64)
+        if self.index is None:
+            return (none,) * 5
+        get = self.symbol.get
+        symbols = np.array([*(get(w, -1) for w in block.words), 0], np.int64)
+        patterns = symbols[block.places]
+        able = np.flatnonzero((patterns >= 0).all(axis=1))
+        which, lo, hi = self.index.search(patterns[able], block.sizes[able])
+        which, n = able[which], hi - lo
         rows = np.repeat(lo - np.cumsum(n) + n, n) + np.arange(int(n.sum()))
         which = np.repeat(which, n)
-        word = source[index.locate(rows)]
-        doc = owner[word]
-        begin = word - (np.cumsum(counts) - counts)[doc]
-        return doc, begin, begin + self.sizes[which], self.item[which]
+        word = self.source[self.index.locate(rows)]
+        doc = self.owner[word]
+        begin = word - self.first[doc]
+        met = np.unique(doc * len(block.sizes) + which)
+        met_doc, phrase = met // len(block.sizes), met % len(block.sizes)
+        n = block.n_items[phrase]
+        at = np.repeat((np.cumsum(block.n_items) - block.n_items)[phrase] - np.cumsum(n) + n, n) + np.arange(int(n.sum()))
+        return doc, begin, begin + block.sizes[which], np.repeat(met_doc, n), block.item[at]
+
+
+def word_names(own: list[bytes]) -> np.ndarray:
+    return np.fromiter(map(xxhash.xxh3_64_intdigest, own), np.uint64, len(own)).view(np.int64)
+
+
+def vocabulary(phrases: DataFrame) -> DataFrame:
+    """name: hashes of all words of the phrases."""
+
+    def named(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            yield pa.RecordBatch.from_arrays([pa.array(word_names(list({w for p in texts(b, "phrase") for w in p.split()})))], ["name"])
+
+    return phrases.select("phrase").mapInArrow(named, "name long")
 
 
 def merge_spans(begin: np.ndarray, end: np.ndarray) -> list[tuple[int, int]]:
@@ -191,13 +238,15 @@ def decontaminate(
     schema = ", ".join(f"`{c}` {chosen.schema[c].dataType.simpleString()}" for c in dict.fromkeys([*out, text_col]))
     schema += ", n_words long, n_hit long, spans array<struct<start: long, end: long>>, items array<string>"
     spark = docs.sparkSession
-    phrases = benchmark_windows(benchmark, window=window)
-    blocks = max(1, -(-phrases.count() // block_windows))
+    phrases = stored(benchmark_windows(benchmark, window=window), "windows")
+    size = F.length("phrase") + F.octet_length("item")
+    whole = phrases.agg(F.count(F.lit(1)).alias("n"), F.sum(size).alias("bytes"), F.min(F.size(F.split(F.decode("phrase", "ISO-8859-1"), " "))).alias("least")).first()
+    blocks = max(1, -(-whole["n"] // block_windows), -(-(whole["bytes"] or 0) // BLOCK_BYTES))
+    least, bits = whole["least"] or window, spark.sparkContext.broadcast(key_filter(vocabulary(phrases), "name"))
     result = chosen.withColumns({"spans": F.lit(None).cast("array<struct<start: long, end: long>>"), "items": F.lit(None).cast("array<string>")})
 
-    def searched(part):
+    def searched(parts):
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            block = Windows(part.value) if part.value else None
             for whole in batches:
                 split = [words(t) for t in texts(whole, text_col)]
                 counts = np.fromiter(map(len, split), np.int64, len(split))
@@ -205,35 +254,43 @@ def decontaminate(
                 bounds = [*np.flatnonzero(np.append(True, shard[1:] != shard[:-1])).tolist(), len(split)] if len(split) else [0]
                 for a, e in zip(bounds, bounds[1:]):
                     batch = whole.slice(a, e - a)
-                    doc, begin, end, item = block.find(split[a:e]) if block else (np.zeros(0, np.int64),) * 4
+                    own = Shard(split[a:e], bits.value, least)
+                    items = [set(t or ()) for t in batch.column("items").to_pylist()]
+                    before = [(i, x["start"], x["end"]) for i, s in enumerate(batch.column("spans").to_pylist()) for x in s or ()]
+                    met = [[np.array(x, np.int64) for x in zip(*before)]] if before else []
+                    for part in parts if own.index is not None else ():
+                        block = pickle.loads(part.value)
+                        *at, doc, item = own.find(block)
+                        met.append(at)
+                        for d, x in zip(doc.tolist(), item.tolist()):
+                            items[d].add(block.items[x])
+                    doc, begin, end = (np.concatenate(x) for x in zip(*met)) if met else (np.zeros(0, np.int64),) * 3
                     order = np.argsort(doc, kind="stable")
                     cut = np.searchsorted(doc[order], np.arange(e - a + 1))
-                    spans, items, hits = [], [], []
-                    for i, (s, t) in enumerate(zip(batch.column("spans").to_pylist(), batch.column("items").to_pylist())):
-                        own = order[cut[i] : cut[i + 1]]
-                        b, f = begin[own], end[own]
-                        if s:
-                            b, f = np.append(b, [x["start"] for x in s]), np.append(f, [x["end"] for x in s])
-                        merged = merge_spans(b, f)
-                        spans.append([{"start": x, "end": y} for x, y in merged])
-                        items.append(sorted({*(t or ()), *(block.items[x] for x in np.unique(item[own]))}) if len(own) or t else [])
-                        hits.append(sum(y - x for x, y in merged))
+                    merged = [merge_spans(begin[order[x:y]], end[order[x:y]]) for x, y in zip(cut, cut[1:])]
                     yield pa.RecordBatch.from_arrays(
                         [
                             *(batch.column(c) for c in dict.fromkeys([*out, text_col])),
                             pa.array(counts[a:e], pa.int64()),
-                            pa.array(hits, pa.int64()),
-                            pa.array(spans, span),
-                            pa.array(items, pa.list_(pa.string())),
+                            pa.array([sum(y - x for x, y in m) for m in merged], pa.int64()),
+                            pa.array([[{"start": x, "end": y} for x, y in m] for m in merged], span),
+                            pa.array(list(map(sorted, items)), pa.list_(pa.string())),
                         ],
                         [*dict.fromkeys([*out, text_col]), "n_words", "n_hit", "spans", "items"],
                     )
 
         return run
 
-    for b in range(blocks):
-        rows = [(r["item"], bytes(r["phrase"])) for r in phrases.where(F.pmod(F.xxhash64("phrase"), F.lit(blocks)) == b).collect()]
-        result = result.mapInArrow(searched(spark.sparkContext.broadcast(rows)), schema)
+    for first in range(0, blocks, PASS_BLOCKS):
+        parts = []
+        for b in range(first, min(first + PASS_BLOCKS, blocks)):
+            rows = phrases.where(F.pmod(F.xxhash64("item", "phrase"), F.lit(blocks)) == b).collect()
+            parts.append(spark.sparkContext.broadcast(pickle.dumps(Windows([(r["item"], bytes(r["phrase"])) for r in rows]))))
+        result = result.mapInArrow(searched(parts), schema)
+        if first + PASS_BLOCKS < blocks:
+            result = stored(result, "searched")
+            for part in parts:
+                part.destroy()
     return result.select(*out, "n_words", "n_hit", "spans", "items")
 
 
