@@ -241,58 +241,101 @@ def tail_tops(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             yield pd.DataFrame({"salt": asked, "measure": row.measure, "top": top})
 
 
-# Permutations: a keyed bijection of places, so that no permutation is ever sorted.
-ROUNDS = 6
-
-
-def moved(places: np.ndarray, n: int, numbers: np.ndarray) -> np.ndarray:
-    """Where each of the numbered permutations of n places (a row each) puts the given ones: rounds over the halves of the place's bits, again for those that leave the range."""
-    half, u = max(1, (int(max(1, n - 1)).bit_length() + 1) // 2), np.uint64
-    mask = u((1 << half) - 1)
-    out = np.tile(places.astype(np.uint64), (len(numbers), 1)).reshape(-1)
-    own = np.repeat(np.asarray(numbers, np.int64).view(u) * u(2 * ROUNDS), len(places))
-    outside = np.arange(len(out))
-    with np.errstate(over="ignore"):
-        while len(outside):
-            a, b = out[outside] >> u(half), out[outside] & mask
-            for i in range(ROUNDS):
-                h = b + (own[outside] + u(2 * i + 1)) * u(0x9E3779B97F4A7C15)
-                for shift, factor in ((30, 0xBF58476D1CE4E5B9), (27, 0x94D049BB133111EB)):
-                    h ^= h >> u(shift)
-                    h *= u(factor)
-                a, b = b, (a ^ (h >> u(33))) & mask
-            out[outside] = a << u(half) | b
-            outside = outside[out[outside] >= u(n)]
-    return out.astype(np.int64).reshape(len(numbers), -1)
-
-
-def sent(width: int):
-    """For pairs of a block of the first list (start, n, x) and permutations: x of each place, by the block of the second list that it is sent to."""
-
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for frame in frames:
-            for row in frame.itertuples():
-                x, own = np.asarray(row.x, float), row.start + np.arange(len(row.x))
-                for some in slices(len(row.r), len(x)):
-                    numbers = np.asarray(row.r, np.int64)[some]
-                    to = moved(own, row.n, numbers).reshape(-1)
-                    block, which = to // width, np.repeat(np.arange(len(numbers)), len(x))
-                    order = np.argsort(block, kind="stable")
-                    cuts = np.searchsorted(block[order], np.arange(block.max() + 2))
-                    values = np.tile(x, len(numbers))
-                    for b in np.unique(block).tolist():
-                        at = order[cuts[b] : cuts[b + 1]]
-                        counts = np.bincount(which[at], minlength=len(numbers)).astype(np.int32)
-                        yield pd.DataFrame({"block": [b], "r": [numbers.tobytes()], "counts": [counts.tobytes()], "place": [(to[at] % width).astype(np.uint16).tobytes()], "x": [values[at].tobytes()]})
+# Permutations: how many places of a shard go to which other is drawn as a uniform permutation has it; which ones, and where to, say keyed bijections of either shard's places, so
+# that no permutation is ever sorted or exchanged.
+#: Places of a shard; rounds of a scramble; places scrambled at a time.
+SHARD, ROUNDS, STEP = 1 << 18, 3, 1 << 14
+
+
+def shard_starts(n: int, shard: int = SHARD) -> np.ndarray:
+    """Where the shards of n places, equal but for one place, begin, and the end of the last."""
+    count = max(1, -(-n // shard))
+    return np.arange(count + 1) * n // count
+
+
+def transports(deal: int, n: int, shard: int = SHARD) -> np.ndarray:
+    """How many places of each shard (second axis) each permutation of a deal (first axis) puts in each shard (third axis)."""
+    sizes, draws = np.diff(shard_starts(n, shard)), generator(5, deal)
+    out, free = np.zeros((DEALT, len(sizes), len(sizes)), np.int64), np.tile(sizes, (DEALT, 1))
+    for a, size in enumerate(sizes):
+        rest = np.full(DEALT, size)
+        for b in range(len(sizes) - 1):
+            out[:, a, b] = draws.hypergeometric(free[:, b], free[:, b + 1 :].sum(1), rest)
+            rest -= out[:, a, b]
+        out[:, a, -1] = rest
+        free -= out[:, a]
+    return out
+
+
+def runs(moves: np.ndarray) -> np.ndarray:
+    """From transports, for each permutation and pair of shards: the number of places, and where their runs begin in the scrambled order of the first and of the second shard (last axis)."""
+    return np.stack([moves, np.cumsum(moves, 2) - moves, np.cumsum(moves, 1) - moves], axis=3)
+
+
+def turns(size: int, *key: int) -> list[tuple[np.ndarray, np.ndarray]]:
+    """Random turns of the rows and of the columns of the square that size places fill, for each round."""
+    shift, draws = (max(0, size - 1).bit_length() + 1) // 2, generator(6, *key)
+    rows = -(-size // (1 << shift))
+    return [(draws.integers(0, 1 << shift, rows), draws.integers(0, rows, 1 << shift)) for _ in range(ROUNDS)]
+
+
+def scrambled(at: np.ndarray, size: int, rounds: list[tuple[np.ndarray, np.ndarray]]) -> np.ndarray:
+    """Where turning each row and then each column by its own number puts the given places, again for those that leave the range."""
+    shift, rows = (max(0, size - 1).bit_length() + 1) // 2, np.uint64(len(rounds[0][0]))
+    mask = (1 << shift) - 1
+    row, col = at >> shift, at & mask
+    for by_row, by_col in rounds:
+        col += by_row.take(row)
+        col &= mask
+        row += by_col.take(col)
+        high = row.view(np.uint64)
+        np.minimum(high, high - rows, out=high)  # below rows the difference wraps round
+    out = row << shift | col
+    outside = np.flatnonzero(out >= size)
+    if len(outside):
+        out[outside] = scrambled(out[outside], size, rounds)
+    return out
+
+
+def matches(run: np.ndarray, sizes: tuple[int, int], number: int, a: int, b: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Places of shard a, and those of shard b (from 0 in each) that a permutation puts them at, in parts."""
+    first, second = turns(sizes[0], number, 0, a), turns(sizes[1], number, 1, b)
+    for start in range(0, int(run[0]), STEP):
+        at = np.arange(start, min(start + STEP, int(run[0])))
+        yield scrambled(at + run[1], sizes[0], first), scrambled(at + run[2], sizes[1], second)
+
+
+def moved(places: np.ndarray, n: int, numbers: np.ndarray, shard: int = SHARD) -> np.ndarray:
+    """Where each of the numbered permutations of n places (a row each) puts the given ones."""
+    starts, out = shard_starts(n, shard), np.empty((len(numbers), len(places)), np.int64)
+    sizes = np.diff(starts).tolist()
+    held = {deal: runs(transports(deal, n, shard)) for deal in {int(r) // DEALT for r in numbers}}
+    for i, r in enumerate(np.asarray(numbers).tolist()):
+        whole = np.empty(n, np.int64)
+        for a, b in np.ndindex(len(sizes), len(sizes)):
+            for x, y in matches(held[r // DEALT][r % DEALT, a, b], (sizes[a], sizes[b]), r, a, b):
+                whole[starts[a] + x] = starts[b] + y
+        out[i] = whole[places]
+    return out
+
+
+def met(n: int, permutations: int, shard: int = SHARD):
+    """For a pair of shards (a, b): r, pair, dot: products of x of the places of a with each list of b (side from 1; x is side 0) where a permutation puts them. Side -1 has the runs of
+    whole deals (start)."""
+    sizes = np.diff(shard_starts(n, shard)).tolist()
+
+    def run(key: tuple, frame: pd.DataFrame) -> pd.DataFrame:
+        a, b = int(key[0]), int(key[1])
+        held = {side: rows.sort_values("start") for side, rows in frame.groupby("side")}
+        x, *ys = (np.concatenate(held[side]["data"].to_numpy()) for side in sorted(held) if side >= 0)
+        y, r, dots = np.stack(ys, axis=1), [], []
+        for deal, data in zip(held[-1]["start"].tolist(), held[-1]["data"]):
+            for j, own in enumerate(np.asarray(data).astype(np.int64).reshape(DEALT, 3)):
+                number = deal * DEALT + j
+                if 1 <= number <= permutations:
+                    r.append(number)
+                    dots.append(sum((x.take(at) @ y.take(to, axis=0) for at, to in matches(own, (sizes[a], sizes[b]), number, a, b)), np.zeros(len(ys))))
+        whole = np.array(dots).reshape(-1, len(ys))
+        return pd.concat([pd.DataFrame({"r": r, "pair": pair, "dot": whole[:, pair]}) for pair in range(len(ys))])
 
     return run
-
-
-def met(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """r, pair, dot: products of what was sent with the block's own numbers (ys: a list for each pair), added up by permutation."""
-    for frame in frames:
-        for row in frame.itertuples():
-            r, counts, place, x = (np.frombuffer(getattr(row, c), k) for c, k in (("r", np.int64), ("counts", np.int32), ("place", np.uint16), ("x", float)))
-            which = np.repeat(np.arange(len(r)), counts)
-            for pair, y in enumerate(row.ys):
-                yield pd.DataFrame({"r": r, "pair": pair, "dot": np.bincount(which, x * np.asarray(y, float)[place], len(r))})

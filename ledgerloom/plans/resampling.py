@@ -125,9 +125,10 @@ def x12_subsamples(spark: SparkSession, sf_dir: str) -> DataFrame:
     return interval(rows, "window", "power", "m")
 
 
-def turned(rows: DataFrame, x: str, ys: dict[str, str], permutations: int, width: int = ENTITIES) -> DataFrame:
+def turned(rows: DataFrame, x: str, ys: dict[str, str], permutations: int, width: int = ENTITIES, shard: int = kernels.SHARD) -> DataFrame:
     """pair, rho, hits, permutations: rank correlation of x with each of ys (name -> column) over rows (entity, x and ys, none null), and how many of the permutations give one at
-    least as large. A permutation is a keyed bijection of places: blocks of x send their ranks to the blocks of the places they are put at, whatever the number of entities."""
+    least as large. A permutation deals the places of each shard out to the shards; a task has the places of two shards and adds up what permutations match between them, so that no rank is
+    sent once for each permutation, and work grows with entities times permutations."""
     ranks = mean_ranks(rows, x, "x")
     for name, y in ys.items():
         ranks = ranks.join(mean_ranks(rows, y, f"y_{name}"), "entity")
@@ -136,12 +137,30 @@ def turned(rows: DataFrame, x: str, ys: dict[str, str], permutations: int, width
     centred = F.col("x") - (F.col("n") + 1) / 2
     names = list(ys)
     placed = stored(placed.select("place", "n", centred.alias("x"), *[(F.col(f"y_{name}") - (F.col("n") + 1) / 2).alias(f"y{i}") for i, name in enumerate(names)]))
-    held = placed.groupBy(F.expr(f"place div {width}").alias("block"), "n").agg(F.array_sort(F.collect_list(F.struct("place", "x", *[f"y{i}" for i in range(len(names))]))).alias("rows"))
-    blocks = held.select("block", "n", (F.col("block") * width).alias("start"), F.col("rows.x").alias("x"), F.array(*[F.col(f"rows.y{i}") for i in range(len(names))]).alias("ys"))
-    blocks = stored(blocks)
-    deals = placed.sparkSession.range(1, permutations + 1).groupBy(F.expr(f"id div {DEALT}").alias("deal")).agg(F.collect_list("id").alias("r"))
-    moved = spread_out(blocks.select("start", "n", "x").crossJoin(F.broadcast(deals))).mapInPandas(kernels.sent(width), "block long, r binary, counts binary, place binary, x binary")
-    dots = moved.join(blocks.select("block", "ys"), "block").mapInPandas(kernels.met, "r long, pair int, dot double").groupBy("r", "pair").agg(F.sum("dot").alias("dot"))
+    n = placed.agg(F.max("n")).first()[0] or 0
+    count, spark = max(1, -(-n // shard)), placed.sparkSession
+    deals = permutations // DEALT + 1
+    parts = max(1, min(deals, 96 // count**2))  # some tasks at least
+    # Lists of a shard: side 0 of x, sides from 1 of ys, in blocks by place; every list goes to as many tasks as there are shards, the runs of each deal (side -1) to their own.
+    own, start = F.expr(f"((place + 1) * {count} - 1) div n").alias("own"), F.expr("(own * n) div " + str(count))
+    held = placed.select("*", own).withColumn("block", ((F.col("place") - start) / width).cast("long")).groupBy("own", "block").agg(F.array_sort(F.collect_list(F.struct("place", "x", *[f"y{i}" for i in range(len(names))]))).alias("rows"))
+    sides = F.explode(F.array(*[F.struct(F.lit(i).alias("side"), F.col(f"rows.{c}").alias("data")) for i, c in enumerate(["x", *[f"y{i}" for i in range(len(names))]])])).alias("s")
+    others = F.explode(F.sequence(F.lit(0).cast("long"), F.lit(count - 1).cast("long"))).alias("other")
+    lists = stored(held.select("own", "block", sides)).select("own", F.col("block").alias("start"), "s.side", "s.data", others).withColumn("part", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(parts - 1).cast("long"))))
+    of_x = F.col("side") == 0
+    lists = lists.select(F.when(of_x, F.col("own")).otherwise(F.col("other")).alias("a"), F.when(of_x, F.col("other")).otherwise(F.col("own")).alias("b"), "part", "side", "start", "data")
+
+    def dealt_out(frames):
+        for frame in frames:
+            for deal in frame["id"].tolist():
+                runs = kernels.runs(kernels.transports(deal, n, shard)).astype(float)
+                for a, b in np.ndindex(count, count):
+                    yield pd.DataFrame({"a": a, "b": b, "part": deal % parts, "side": -1, "start": deal, "data": [runs[:, a, b].reshape(-1)]})
+
+    tasks = count**2 * parts
+    runs = spark.range(0, deals if n else 0, 1, deals).mapInPandas(dealt_out, "a long, b long, part long, side int, start long, data array<double>")
+    groups = lists.unionByName(runs).repartition(min(4 * tasks, 2000), "a", "b", "part").groupBy("a", "b", "part")
+    dots = groups.applyInPandas(kernels.met(n, permutations, shard), "r long, pair int, dot double").groupBy("r", "pair").agg(F.sum("dot").alias("dot"))
     own = placed.agg(*[F.struct(F.sum(F.col("x") * F.col(f"y{i}")).alias("dot"), F.sqrt(F.sum(F.col("x") * F.col("x")) * F.sum(F.col(f"y{i}") * F.col(f"y{i}"))).alias("norm")).alias(f"o{i}") for i in range(len(names))])
     observed = own.select(F.posexplode(F.array(*[f"o{i}" for i in range(len(names))])).alias("pair", "o")).select("pair", F.col("o.dot").alias("observed"), "o.norm")
     # A null that equals the observed value but for the order of summation counts as a hit.

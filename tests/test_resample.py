@@ -203,3 +203,31 @@ def test_tail_intervals(spark, sf_dir):
 def test_allotments_are_shared():
     counts = np.arange(DEALT)
     assert (sum(allotted(counts, 100, 9, b, 5) for b in range(12)) == counts).all()
+
+
+@pytest.mark.parametrize(("n", "shard"), [(1, 1), (5, 2), (100, 30), (1000, 256)])
+def test_permutations_over_shards_are_bijections(n, shard):
+    whole = moved(np.arange(n), n, np.arange(1, 40), shard)
+    assert (np.sort(whole, axis=1) == np.arange(n)).all()
+    if n == 1000:
+        rho = [np.corrcoef(np.arange(n), r)[0, 1] for r in moved(np.arange(n), n, np.arange(1, 1000), shard)]
+        assert abs(np.var(rho) * (n - 1) - 1) < 0.15 and abs(np.mean(rho)) < 0.004
+
+
+def test_every_small_permutation_comes_up_over_shards():
+    rows, counts = np.unique(moved(np.arange(4), 4, np.arange(6000), 2), axis=0, return_counts=True)
+    assert len(rows) == 24 and counts.min() > 150 and counts.max() < 360
+
+
+def test_turned_ranks_over_shards(spark):
+    """No rank leaves its pair of shards, whatever the number of shards: what a task returns is one sum for each permutation and pair."""
+    rng = np.random.default_rng(6)
+    frame = pd.DataFrame({"entity": [f"e{i:03}" for i in range(203)], "volume": rng.permutation(203).astype(float)})
+    frame["a"], frame["b"] = frame.volume + rng.normal(size=203) * 900, rng.integers(0, 4, 203).astype(float)
+    got = {r.pair: r for r in resampling.turned(spark.createDataFrame(frame), "volume", {"a": "a", "b": "b"}, 700, 16, 60).collect()}
+    ranks = frame.assign(**{c: frame[c].rank() for c in ("volume", "a", "b")}).sort_values("volume", ascending=False)
+    to = moved(np.arange(203), 203, np.arange(1, 701), 60)
+    for pair in ("a", "b"):
+        x, y = ranks.volume.to_numpy() - 102, ranks[pair].to_numpy() - 102
+        dots, norm = np.array([x @ y[p] for p in to]), ((x @ x) * (y @ y)) ** 0.5
+        assert got[pair].permutations == 700 and got[pair].rho == pytest.approx(x @ y / norm) and got[pair].hits == (np.abs(dots) >= abs(x @ y) - 1e-12 * norm).sum()
