@@ -14,8 +14,8 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 
-#: Draws that a task holds at a time, replicates of a deal, and what all draws hang on.
-AT_ONCE, DEALT, SEED = 1 << 20, 500, 42
+#: Numbers worked on at a time (they stay in a core's cache), replicates of a deal, and what all draws hang on.
+AT_ONCE, DEALT, SEED = 1 << 15, 500, 42
 
 
 def keyed(keys: np.ndarray, salts: np.ndarray) -> np.ndarray:
@@ -55,22 +55,45 @@ def allotted(counts: np.ndarray, n: int, width: int, block: int, *key: int) -> n
     return counts
 
 
-def times(deal: int, n: int, width: int, block: int, size: int, draws: np.ndarray | None = None, stream: int = 0) -> np.ndarray:
-    """How often each of a block's size entities is drawn in each replicate of a deal (a row each), n of n (or draws of n) with replacement."""
+def places(deal: int, n: int, width: int, block: int, size: int, draws: np.ndarray | None = None, stream: int = 0) -> tuple[np.ndarray, np.ndarray]:
+    """How many of the draws, n of n (or draws of n) with replacement, fall on a block's size entities in each replicate of a deal, and on which of them, replicate by replicate."""
     whole = np.full(DEALT, n, np.int64) if draws is None else draws
     own = allotted(whole, n, width, block, stream, deal)
-    places = generator(stream, deal, block).integers(0, size, own.sum())
-    return np.bincount(np.repeat(np.arange(DEALT), own) * size + places, minlength=DEALT * size).reshape(DEALT, size)
+    return own, generator(stream, deal, block).integers(0, size, own.sum())
+
+
+def times(deal: int, n: int, width: int, block: int, size: int, draws: np.ndarray | None = None, stream: int = 0) -> np.ndarray:
+    """How often each of a block's size entities is drawn in each replicate of a deal (a row each)."""
+    own, at = places(deal, n, width, block, size, draws, stream)
+    out, ends = np.empty((DEALT, size), np.int64), np.cumsum(own)
+    for i, (end, k) in enumerate(zip(ends.tolist(), own.tolist())):
+        out[i] = np.bincount(at[end - k : end], minlength=size)
+    return out
+
+
+def drawn_up_to(own: np.ndarray, at: np.ndarray, size: int, which: np.ndarray) -> Iterator[tuple[slice, np.ndarray]]:
+    """From places, for some replicates, a few at a time: how many draws fall on each entity and those before it."""
+    ends, held = np.cumsum(own), np.empty((max(1, AT_ONCE // size), size))
+    for s in slices(len(which), size):
+        out = held[: len(which[s])]
+        for i, j in enumerate(which[s].tolist()):
+            out[i] = np.bincount(at[ends[j] - own[j] : ends[j]], minlength=size)
+        yield s, np.cumsum(out, axis=1, out=out)  # the same numbers' place every time
 
 
 def counts_of(row, salts: np.ndarray) -> Iterator[tuple[slice, np.ndarray]]:
-    """Draws of a block for the given salts, in parts: of a subsample where the block's row has limits, else of a bootstrap."""
+    """For the given salts, in parts, how many draws fall on each entity of a block and those before it: of a subsample where the block's row has limits, else of a bootstrap."""
     if "cap" in row._fields and row.cap is not None:
-        limits = np.asarray(row.cap, np.int64)
-        for s in slices(len(salts), len(row.volume)):
-            yield s, taken(row.key, salts[s], limits[s])
+        limits, key = np.asarray(row.cap, np.int64), np.asarray(row.key, np.int64)
+        for s in slices(len(salts), len(key)):
+            yield s, np.cumsum(keyed(key, salts[s]) <= limits[s][:, None], axis=1, dtype=float)
     else:
-        yield slice(None), times(row.deal, row.n, row.width, row.block, len(row.volume))[salts % DEALT]
+        yield from drawn_up_to(*places(row.deal, row.n, row.width, row.block, len(row.volume)), len(row.volume), salts % DEALT)
+
+
+def falls(v: np.ndarray) -> np.ndarray:
+    """By how much each value exceeds the next: sums of draws follow from these and from how many draws fall on each entity and those before it."""
+    return -np.diff(v, append=0.0)
 
 
 SUMS = "block long, salt long, drawn long, held double, squares double, inside double"
@@ -87,7 +110,10 @@ def block_sums(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for frame in frames:
         for row in frame.itertuples():
             v, salts = np.asarray(row.volume, float), np.asarray(row.salt, np.int64)
-            out = [np.stack([w.sum(1), w @ v, w @ (v * v), (w * (2 * np.cumsum(w, 1) - w)) @ v], axis=1) for _, w in counts_of(row, salts)]
+            by, out = np.stack([falls(v), falls(v * v)], axis=1), []
+            for _, c in counts_of(row, salts):
+                # An entity's draws, w, and those before it, c - w: w (2 c - w) = c ** 2 - (c - w) ** 2.
+                out.append(np.column_stack([c[:, -1].copy(), c @ by, np.square(c, out=c) @ by[:, 0]]))
             yield sums_of(row.block, salts, out)
 
 
@@ -96,7 +122,7 @@ def block_tops(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for frame in frames:
         for row in frame.itertuples():
             v, salts, takes = np.asarray(row.volume, float), np.asarray(row.salt, np.int64), np.asarray(row.take, np.int64)
-            out = [np.clip(takes[s][:, None] - (np.cumsum(w, 1) - w), 0, w) @ v for s, w in counts_of(row, salts)]
+            out = [np.minimum(c, takes[s][:, None]) @ falls(v) for s, c in counts_of(row, salts)]
             yield pd.DataFrame({"salt": salts, "measure": row.measure, "top": np.concatenate(out)})
 
 

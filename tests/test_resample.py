@@ -1,5 +1,6 @@
 """Resamples over blocks against brute force: that draws are of the named kind and number, that sums give the measures, fits and permutations."""
 
+import tracemalloc
 from types import SimpleNamespace
 
 import numpy as np
@@ -231,3 +232,23 @@ def test_turned_ranks_over_shards(spark):
         x, y = ranks.volume.to_numpy() - 102, ranks[pair].to_numpy() - 102
         dots, norm = np.array([x @ y[p] for p in to]), ((x @ x) * (y @ y)) ** 0.5
         assert got[pair].permutations == 700 and got[pair].rho == pytest.approx(x @ y / norm) and got[pair].hits == (np.abs(dots) >= abs(x @ y) - 1e-12 * norm).sum()
+
+
+def peak_memory(kernel, row: dict) -> float:
+    """Of a kernel on one pair, in MB."""
+    frames = iter([pd.DataFrame([row])])
+    tracemalloc.start()
+    list(kernel(frames))
+    most = tracemalloc.get_traced_memory()[1] / 1e6
+    tracemalloc.stop()
+    return most
+
+
+def test_sums_hold_a_few_replicates_at_a_time():
+    """A deal of 500 replicates over 4,096 entities is 16 MB of draws; counts of all replicates at once, and what is made of them, were several times that."""
+    v = np.sort(np.random.default_rng(2).pareto(1, 4096))[::-1]
+    row = {"deal": 3, "n": 50_000, "width": 4096, "block": 2, "volume": v, "salt": 3 * DEALT + np.arange(DEALT)}
+    assert peak_memory(kernels.block_sums, row) < 45
+    got, w = next(kernels.block_sums(iter([pd.DataFrame([row])]))), times(3, 50_000, 4096, 2, 4096)
+    assert (got.drawn == w.sum(1)).all() and got.held.to_numpy() == pytest.approx(w @ v) and got.squares.to_numpy() == pytest.approx(w @ (v * v))
+    assert got.inside.to_numpy() == pytest.approx((w * (2 * np.cumsum(w, 1) - w)) @ v)
