@@ -23,11 +23,13 @@ def keyed(keys: np.ndarray, salts: np.ndarray) -> np.ndarray:
     u = np.uint64
     with np.errstate(over="ignore"):
         h = np.asarray(keys, np.int64).view(u)[None, :] + (np.asarray(salts, np.int64).view(u) * u(0x9E3779B97F4A7C15))[:, None]
+        spare = np.empty_like(h)
         for shift, factor in ((30, 0xBF58476D1CE4E5B9), (27, 0x94D049BB133111EB)):
-            h ^= h >> u(shift)
+            h ^= np.right_shift(h, u(shift), out=spare)
             h *= u(factor)
-        h ^= h >> u(31)
-    return (h >> u(11)).view(np.int64)
+        h ^= np.right_shift(h, u(31), out=spare)
+        h >>= u(11)
+    return h.view(np.int64)
 
 
 def slices(rows: int, width: int) -> Iterator[slice]:
@@ -133,12 +135,15 @@ def near_limit(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for row in frame.itertuples():
             salts, m = np.asarray(row.salt, np.int64), np.asarray(row.m, float)
             width = 9 * np.sqrt(m) + 9
-            low, high = ((m + sign * width) / row.n * 2.0**53 for sign in (-1, 1))
-            below, near = [], []
-            for s in slices(len(salts), len(row.key)):
-                h = keyed(row.key, salts[s])
-                below += (h < low[s][:, None]).sum(1).tolist()
-                near += [x[(x >= a) & (x <= b)].tolist() for x, a, b in zip(h, low[s], high[s])]
+            low, high = np.ceil((m - width) / row.n * 2.0**53).astype(np.int64), np.floor((m + width) / row.n * 2.0**53).astype(np.int64)
+            below, near, key = [], [], np.asarray(row.key, np.int64)
+            for s in slices(len(salts), len(key)):
+                h = keyed(key, salts[s])
+                h -= low[s][:, None]
+                below += np.count_nonzero(h < 0, axis=1).tolist()
+                at = np.flatnonzero(h.view(np.uint64) <= (high - low)[s].view(np.uint64)[:, None])  # those below wrap round
+                which = at // len(key)
+                near += np.split(h.reshape(-1)[at] + low[s][which], np.searchsorted(which, np.arange(1, len(h))))
             yield pd.DataFrame({"salt": salts, "m": np.asarray(row.m, np.int64), "below": below, "near": near})
 
 

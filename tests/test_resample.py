@@ -252,3 +252,14 @@ def test_sums_hold_a_few_replicates_at_a_time():
     got, w = next(kernels.block_sums(iter([pd.DataFrame([row])]))), times(3, 50_000, 4096, 2, 4096)
     assert (got.drawn == w.sum(1)).all() and got.held.to_numpy() == pytest.approx(w @ v) and got.squares.to_numpy() == pytest.approx(w @ (v * v))
     assert got.inside.to_numpy() == pytest.approx((w * (2 * np.cumsum(w, 1) - w)) @ v)
+
+
+@pytest.mark.parametrize("m", [1, 70, 2000])
+def test_numbers_near_the_limit(m):
+    key, salts = np.random.default_rng(7).integers(-(2**63), 2**63, 4096), np.arange(DEALT)
+    row = {"salt": salts, "m": np.full(DEALT, m), "n": 4096, "key": key}
+    assert m > 1 or peak_memory(kernels.near_limit, row) < 8
+    got = next(kernels.near_limit(iter([pd.DataFrame([row])])))
+    for salt in (0, 7, 499):
+        h, r = np.sort(kernels.keyed(key, np.array([salt]))[0]), got.iloc[salt]
+        assert r.salt == salt and r.m == m and np.sort(r.near)[m - r.below - 1] == h[m - 1] and (h < min(r.near)).sum() == r.below
