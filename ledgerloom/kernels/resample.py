@@ -195,12 +195,22 @@ def peak(means: np.ndarray, most: float) -> tuple[float, float] | None:
 
 
 def refit_sums(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """For pairs of a block of a tail (excess as shares) and a deal: of each replicate, k of k draws, the sums of profile over the block's."""
+    """For pairs of a block of a tail (excess as shares) and a deal, ordered by deal: of each replicate, k of k draws, the sums of profile over the blocks that a task has."""
+    held, total = None, None
+
+    def out():
+        deal, k, most = held
+        return pd.DataFrame({"salt": deal * DEALT + np.arange(DEALT), "k": k, "most": most, "data": [x.tobytes() for x in total]})
+
     for frame in frames:
         for row in frame.itertuples():
-            q = np.asarray(row.share, float)
-            w = times(row.deal, row.k, row.width, row.block, len(q), stream=1)
-            yield pd.DataFrame({"salt": row.deal * DEALT + np.arange(DEALT), "k": row.k, "most": row.most, "data": [x.tobytes() for x in w @ profile(q)]})
+            q, about = np.asarray(row.share, float), (row.deal, row.k, row.most)
+            own = times(row.deal, row.k, row.width, row.block, len(q), stream=1).astype(float) @ profile(q)
+            if about != held and held is not None:
+                yield out()
+            held, total = about, total + own if about == held else own
+    if held is not None:
+        yield out()
 
 
 def refits(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -220,8 +230,8 @@ def tail_counts(deal: int, n: int, k: int) -> np.ndarray:
     return np.clip(generator(2, deal).binomial(n, k / n, DEALT), 1, max(1, n - 1))
 
 
-def tail_draws(row, salts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Place of the salt and value of the draws of a part (row.block of row.parts) of a fitted tail, by salt and falling value."""
+def tail_draws(row, salts: np.ndarray, falling: bool = True) -> tuple[np.ndarray, np.ndarray]:
+    """Place of the salt and value of the draws of a part (row.block of row.parts) of a fitted tail, by salt and, if asked for, falling value."""
     own = allotted(tail_counts(row.deal, row.n, row.k), row.parts, 1, row.block, 3, row.deal)
     u = (row.block + 1 - generator(3, row.deal, row.block).random(own.sum())) / row.parts
     who = np.repeat(np.arange(DEALT), own)
@@ -232,6 +242,8 @@ def tail_draws(row, salts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     shape, scale = np.asarray(row.shape, float)[who], np.asarray(row.scale, float)[who]
     flat = np.abs(shape) < 1e-9
     value = row.threshold + np.where(flat, -scale * np.log(u), scale * np.expm1(-shape * np.log(u)) / np.where(flat, 1, shape))
+    if not falling:
+        return who, value
     order = np.lexsort((u, who))  # the larger the value, the smaller what lies above it
     return who[order], value[order]
 
@@ -242,17 +254,19 @@ def tail_sums(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for row in frame.itertuples():
             salts = np.asarray(row.salt, np.int64)
             if row.volume is None:
-                who, x = tail_draws(row, salts)
+                who, x = tail_draws(row, salts, falling=False)
                 out = [np.bincount(who, weights, len(salts)) for weights in (None, x, x * x)]
                 yield sums_of(row.block, salts, [np.stack([*out, np.zeros(len(salts))], axis=1)])
             else:
-                v, w = np.asarray(row.volume, float), bulk_times(row)[salts % DEALT]
-                yield sums_of(row.block, salts, [np.stack([w.sum(1), w @ v, w @ (v * v), np.zeros(len(salts))], axis=1)])
+                v = np.asarray(row.volume, float)
+                by = np.stack([falls(v), falls(v * v)], axis=1)
+                yield sums_of(row.block, salts, [np.column_stack([c[:, -1], c @ by, np.zeros(len(c))]) for _, c in bulk_counts(row, salts)])
 
 
-def bulk_times(row) -> np.ndarray:
-    """How often the entities of a block below the tail are drawn; such blocks follow the tail's parts."""
-    return times(row.deal, row.n - row.k, row.width, row.block - row.parts, len(row.volume), row.n - tail_counts(row.deal, row.n, row.k), 4)
+def bulk_counts(row, salts: np.ndarray) -> Iterator[tuple[slice, np.ndarray]]:
+    """As counts_of, for a block of entities below the tail; such blocks follow the tail's parts."""
+    drawn = places(row.deal, row.n - row.k, row.width, row.block - row.parts, len(row.volume), row.n - tail_counts(row.deal, row.n, row.k), 4)
+    return drawn_up_to(*drawn, len(row.volume), salts % DEALT)
 
 
 def tail_tops(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -267,8 +281,8 @@ def tail_tops(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
                 ahead = np.concatenate([[0.0], np.cumsum(x)])
                 top = ahead[np.minimum(starts[at] + takes, starts[at + 1])] - ahead[starts[at]]
             else:
-                v, w = np.asarray(row.volume, float), bulk_times(row)[asked % DEALT]
-                top = np.clip(takes[:, None] - (np.cumsum(w, 1) - w), 0, w) @ v
+                by = falls(np.asarray(row.volume, float))
+                top = np.concatenate([np.minimum(c, takes[s][:, None]) @ by for s, c in bulk_counts(row, asked)])
             yield pd.DataFrame({"salt": asked, "measure": row.measure, "top": top})
 
 

@@ -262,8 +262,11 @@ def x90_x91_tail_intervals(spark: SparkSession, sf_dir: str) -> DataFrame:
     whole = cuts.join(fits.withColumnsRenamed({"shape": "own_shape", "scale": "own_scale"}), "problem").where("own_shape is not null").drop("window", "share").withColumn("parts", F.expr(f"(k + {ENTITIES - 1}) div {ENTITIES}"))
     salts = plain_salts(spark, len(WINDOWS) * len(SHARES), TAIL_REPLICATES)
     deals = dealt(salts).select("problem", "deal")
-    sums = spread_out(tails.join(F.broadcast(deals), "problem")).mapInPandas(kernels.refit_sums, "salt long, k long, most double, data binary")
-    refits = stored(sums.repartition(max(8, int(spark.conf.get("spark.sql.shuffle.partitions"))), "salt").mapInPandas(kernels.refits, "salt long, shape double, scale double"))
+    # Neighbouring blocks of a deal go to one task, which adds them up before they are exchanged.
+    tasks = max(8, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    pairs = tails.join(F.broadcast(deals), "problem").repartitionByRange(tasks, "problem", "deal", "block").sortWithinPartitions("problem", "deal", "block")
+    sums = pairs.mapInPandas(kernels.refit_sums, "salt long, k long, most double, data binary")
+    refits = stored(sums.repartition(tasks, "salt").mapInPandas(kernels.refits, "salt long, shape double, scale double"))
     drawn = salts.join(refits, "salt").join(F.broadcast(whole), "problem")
     failed = F.col("shape").isNull() | F.isnan("shape")
     drawn = stored(drawn.select("problem", "salt", F.when(failed, F.col("own_shape")).otherwise(F.col("shape")).alias("shape"), F.when(failed, F.col("own_scale")).otherwise(F.col("scale")).alias("scale"), failed.alias("failed")))

@@ -263,3 +263,14 @@ def test_numbers_near_the_limit(m):
     for salt in (0, 7, 499):
         h, r = np.sort(kernels.keyed(key, np.array([salt]))[0]), got.iloc[salt]
         assert r.salt == salt and r.m == m and np.sort(r.near)[m - r.below - 1] == h[m - 1] and (h < min(r.near)).sum() == r.below
+
+
+def test_refits_add_up_blocks_before_they_are_exchanged():
+    rng = np.random.default_rng(9)
+    q = [rng.random(64) for _ in range(5)]
+    row = lambda deal, b: {"deal": deal, "k": 320, "most": 2.0, "width": 64, "block": b, "share": q[b]}
+    got = list(kernels.refit_sums(iter([pd.DataFrame([row(0, b) for b in range(5)]), pd.DataFrame([row(1, 0)])])))
+    assert [len(f) for f in got] == [DEALT, DEALT] and got[1]["salt"].min() == DEALT
+    whole = sum(times(0, 320, 64, b, 64, stream=1) @ profile(q[b]) for b in range(5))
+    assert np.stack([np.frombuffer(x) for x in got[0]["data"]]) == pytest.approx(whole)
+    assert not list(kernels.refit_sums(iter([])))
