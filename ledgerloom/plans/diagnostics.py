@@ -21,6 +21,7 @@ from .interrupted import MAIN, OUTCOMES, days, design
 from .models import table
 from .named import q1_daily_activity, q3_bot_distribution, q4_bot_profiles, q5a_break_points, q5b_tier_impact, qp_protocols
 from .relational import bots
+from .resampling import WINDOWS, bootstrapped
 
 #: Lags of residuals that are looked at, an autocorrelation that is large, and a p that is small.
 RESIDUAL_LAGS, LARGE_ACF, SMALL_P = (1, 7, 14, 28), 0.20, 0.01
@@ -111,13 +112,17 @@ FAMILIES = {
 }
 
 
+#: Where a family is only a part of its query's rows that can be worked out alone: the windows of the bootstrap without all days.
+FAMILY_ROWS = {"x10_x11_bootstrap": lambda spark, sf_dir: bootstrapped(spark, sf_dir, WINDOWS)}
+
+
 @register()
 def x88_multiplicity_map(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every family of tests with its size, counted from its query's result, its correction, what its errors rest on, how it counts, and how many tests are significant after correction
     (null where a family has no corrected p)."""
     out = None
     for i, (query, (hypothesis, family, belongs, correction, basis, status)) in enumerate(FAMILIES.items()):
-        rows = QUERIES[query](spark, sf_dir).where(belongs)
+        rows = FAMILY_ROWS.get(query, QUERIES[query])(spark, sf_dir).where(belongs)
         corrected = next((c for c in ("p_holm", "p_bonferroni") if c in rows.columns), None)
         found = F.count_if(F.col(corrected) < LEVEL) if corrected else F.lit(None).cast("long")
         own = rows.agg(F.count(F.lit(1)).alias("family_size"), found.alias("significant"))

@@ -18,7 +18,8 @@ from ..kernels import resample as kernels
 from ..kernels.resample import DEALT, SEED, SUMS
 from ..registry import register
 from ..runtime import stored
-from ..sources.tables import LONGER, PRIMARY
+from ..sources.tables import FULL, LONGER, PRIMARY, relation
+from ..sources.tables import Window as Days
 from .concentration import SQL_VOLUMES, TOPS, mean_ranks, ranked, volumes
 
 #: Replicates: of the bootstrap, of subsamples of each size, of permutations, of a tail; entities of a block; windows that are resampled.
@@ -45,10 +46,13 @@ def numbered(names: list[str]) -> Column:
 
 
 def ranked_windows(spark: SparkSession, sf_dir: str, windows: dict = WINDOWS) -> DataFrame:
-    """problem, entity, volume, rank, n of every window's entities."""
-    rows = None
-    for i, window in enumerate(windows.values()):
-        own = ranked(volumes(spark, sf_dir, window)).withColumn("problem", F.lit(i).cast("long"))
+    """problem, entity, volume, rank, n of every window's entities, whose volumes come from one pass over the legs."""
+    days, rows = [window or FULL for window in windows.values()], None
+    legs = relation(spark, sf_dir, "attackers", ["tx_from", "amount_usd", "block_time"], Days(min(w.start for w in days), max(w.end for w in days)))
+    sums = [F.round(F.sum(F.when(w.holds(F.col("block_time")), F.col("amount_usd"))), 2).alias(f"v{i}") for i, w in enumerate(days)]
+    held = stored(legs.groupBy(F.col("tx_from").alias("entity")).agg(*sums))
+    for i in range(len(days)):
+        own = ranked(held.select("entity", F.col(f"v{i}").alias("volume")).where("volume > 0")).withColumn("problem", F.lit(i).cast("long"))
         rows = own if rows is None else rows.unionByName(own)
     return rows
 
@@ -99,11 +103,16 @@ def resampled(blocks: DataFrame, resamples: DataFrame, sums: Callable = kernels.
     return totals.unpivot(["problem", "salt"], ["gini", "hhi"], "measure", "value").unionByName(shares)
 
 
+def bootstrapped(spark: SparkSession, sf_dir: str, windows: dict) -> DataFrame:
+    """window, measure, mean, deviation and interval of the named windows. A window's draws hang on its place, not on which windows follow."""
+    blocks = stored(entity_blocks(ranked_windows(spark, sf_dir, windows)))
+    return interval(resampled(blocks, plain_salts(spark, len(windows), REPLICATES)).withColumn("window", numbered(list(windows))), "window")
+
+
 @register()
 def x10_x11_bootstrap(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Percentile intervals of Gini, Herfindahl index and the leading shares in both windows and over all days: every replicate draws exactly as many entities as there are, with replacement."""
-    blocks = stored(entity_blocks(ranked_windows(spark, sf_dir, ALSO_ALL)))
-    return interval(resampled(blocks, plain_salts(spark, len(ALSO_ALL), REPLICATES)).withColumn("window", numbered(list(ALSO_ALL))), "window")
+    return bootstrapped(spark, sf_dir, ALSO_ALL)
 
 
 @register()

@@ -274,3 +274,17 @@ def test_refits_add_up_blocks_before_they_are_exchanged():
     whole = sum(times(0, 320, 64, b, 64, stream=1) @ profile(q[b]) for b in range(5))
     assert np.stack([np.frombuffer(x) for x in got[0]["data"]]) == pytest.approx(whole)
     assert not list(kernels.refit_sums(iter([])))
+
+
+def test_windows_in_one_pass(spark, sf_dir):
+    """Each window's volumes are those of its own query."""
+    rows = resampling.ranked_windows(spark, sf_dir, resampling.ALSO_ALL).collect()
+    for i, window in enumerate(resampling.ALSO_ALL.values()):
+        own = {r.entity: r.volume for r in resampling.volumes(spark, sf_dir, window).collect()}
+        assert own and {r.entity: r.volume for r in rows if r.problem == i} == own and sorted(r["rank"] for r in rows if r.problem == i) == list(range(1, len(own) + 1))
+
+
+def test_fewer_windows_draw_the_same(spark, sf_dir):
+    of = lambda rows: {(r.window, r.measure): (r.mean, r.low, r.high, r.replicates) for r in rows.collect()}
+    some, every = of(resampling.bootstrapped(spark, sf_dir, resampling.WINDOWS)), of(QUERIES["x10_x11_bootstrap"](spark, sf_dir))
+    assert len(some) == 14 and some.items() <= every.items()
