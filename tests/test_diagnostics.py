@@ -5,6 +5,7 @@ import pandas as pd
 import pytest
 
 from ledgerloom import registry
+from ledgerloom.plans import diagnostics, resampling
 from ledgerloom.plans.diagnostics import CHECKS, FAMILIES, detectable, split_expressions
 from ledgerloom.plans.interrupted import OUTCOMES, days, design
 from ledgerloom.plans.relational import bots
@@ -86,3 +87,11 @@ def test_pareto_quantiles(spark, sf_dir):
 
 def test_checks_are_read_right():
     assert split_expressions("a AS b, f(c, (d, e)) AS g ,h") == ["a AS b", "f(c, (d, e)) AS g", "h"] and len(CHECKS) == 33
+
+
+def test_map_resamples_only_its_windows(spark, sf_dir, monkeypatch):
+    """Intervals over all days belong to no family."""
+    asked, own = [], resampling.ranked_windows
+    monkeypatch.setattr(diagnostics, "FAMILIES", {k: v for k, v in diagnostics.FAMILIES.items() if k == "x10_x11_bootstrap"})
+    monkeypatch.setattr(resampling, "ranked_windows", lambda spark, sf_dir, windows: (asked.append(list(windows)), own(spark, sf_dir, windows))[1])
+    assert QUERIES["x88_multiplicity_map"](spark, sf_dir).first().family_size == 14 and asked == [["primary", "longer"]]
