@@ -1,10 +1,15 @@
-"""What stays on disk: shuffle files of finished steps."""
+"""What stays on disk: shuffle files of finished steps, copies of members of large families."""
 
 import os
 import subprocess
 import sys
 from pathlib import Path
 
+import numpy as np
+from pyspark.sql import functions as F
+
+from ledgerloom.llm import similar
+
 ROOT = Path(__file__).parents[2]
 STEPS = """
 import sys, time
@@ -39,3 +44,23 @@ def test_finished_steps_leave_no_shuffle_files(tmp_path, sf_dir):
     assert "left" in run.stdout, run.stderr[-2000:]
     left, lines, rows = map(int, run.stdout.split("left")[1].split())
     assert rows and left < 100 * lines
+
+
+def test_members_of_a_large_family_are_copied_a_few_times(spark, monkeypatch):
+    """3,000 sets, of which a few pairs are linked: none goes to more than some seventeen pairs of blocks, and all links are found."""
+    rng = np.random.default_rng(7)
+    sets = [np.sort(rng.choice(1 << 40, 20, replace=False).astype(np.uint64)) for _ in range(3000)]
+    for i in range(0, 300, 3):
+        sets[i + 1500] = np.sort(np.append(sets[i][1:], np.uint64(1 << 41)))
+    rows = [(1, i, x.tobytes(), 3000) for i, x in enumerate(sets)]
+    members = spark.createDataFrame(rows, "family long, node long, data binary, size long").repartition(4)
+    copies, compare = [], similar.compared
+
+    def counted(dealt, *args):
+        copies.append(dealt.groupBy("node").agg(F.count(F.lit(1)).alias("n")).agg(F.max("n")).first()[0] or 0)
+        return compare(dealt, *args)
+
+    monkeypatch.setattr(similar, "compared", counted)
+    found = similar.verified_links(members, 80).collect()
+    assert {(min(r), max(r)) for r in found} == {(i, i + 1500) for i in range(0, 300, 3)}
+    assert copies[-1] <= similar.BLOCKS + 2
